@@ -1,0 +1 @@
+"""Routing and analytics of streaming-pipeline packets as Spark DataFrames."""
