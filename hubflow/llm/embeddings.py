@@ -18,6 +18,8 @@ from hubflow.llm.components import connected_components
 CODES = 4
 #: Filters that a vector passes on average, over all codes; more give a higher recall.
 FILTERS = 40
+#: Shorter vectors are decoded with zeros added, as caps in few dimensions don't follow the normal law.
+LEAST_DIM = 32
 #: Vectors that pass a filter on average; fewer give more, narrower caps.
 CAP = 128
 #: Largest part of a filter's vectors that one task compares with another part.
@@ -51,9 +53,10 @@ def decode(unit: np.ndarray, books: list[tuple[np.ndarray, np.ndarray, np.ndarra
     A direction (a, b)/sqrt 2 has the product (<x1, a> + <x2, b>)/sqrt 2. Both blocks' products are sorted, and for each
     a only the prefix of b that reaches the threshold is listed.
     """
-    dim = unit.shape[1]
+    dim = len(books[0][0])
     bound = height / math.sqrt(dim) * math.sqrt(2)
     out: list[list[np.ndarray]] = [[] for _ in unit]
+    unit = np.pad(unit, ((0, 0), (0, dim - unit.shape[1])))
     for k, (q, a, b) in enumerate(books):
         x = unit @ q
         left, right = x[:, : a.shape[1]] @ a.T, x[:, a.shape[1] :] @ b.T
@@ -167,7 +170,7 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.95, id_col: str = "vec_
         for batch in batches:
             for dim, part in batch.groupby(batch["v"].map(len)):
                 if dim not in books:
-                    books[dim] = codebooks(dim, words, codes)
+                    books[dim] = codebooks(max(dim, LEAST_DIM), words, codes)
                 for at in range(0, len(part), 1024):
                     some = part.iloc[at : at + 1024]
                     yield some.assign(passed=decode(_unit(np.array(some["v"].tolist(), np.float64)), books[dim], height), dim=dim)[["node", "size", "dim", "v", "passed"]]

@@ -17,7 +17,7 @@ from hubflow.llm.common import cut, whole
 SPACE = 1 << 20
 GRAMS = (3, 4, 5)
 #: Most labelled documents that the model is fitted on, and most features that it weighs.
-MAX_LABELLED, MAX_FEATURES = 10_000, 1024
+MAX_LABELLED, MAX_FEATURES = 10_000, 512
 #: Grades: 0 is not toxic, 1 to GRADES - 1 are toxic of rising severity.
 GRADES = 4
 #: Code points of a text that are hashed at a time.
@@ -66,7 +66,7 @@ def value(counts: np.ndarray) -> np.ndarray:
     return np.log1p(counts)
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, *, ridge: float = 1e-3, rounds: int = 300, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, *, ridge: float = 1e-4, rounds: int = 600, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood by Adam over all rows; thresholds as a first one and positive steps, so they stay ordered."""
     n, d = x.shape
     share = np.clip(np.cumsum(np.bincount(y, minlength=grades))[:-1] / max(n, 1), 0.02, 0.98)
