@@ -74,7 +74,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         i.alias("seq"), instant("ts").alias("ts"), F.lit(SPACE).alias("namespace"), run.alias("run"), step.alias("step_id"),
         F.when(F.col("event_type") == "signup", F.map_concat(meta, beat)).otherwise(meta).alias("metadata"),
-        F.col("props").alias("payload"), F.when(i % 2 == 0, F.to_json(F.struct(F.col("value").alias("v")))).alias("inputs"),
+        F.col("props").alias("payload"), F.when(i % 2 == 0, F.to_json(F.parse_json(F.to_json(F.struct(F.col("value").alias("v")))))).alias("inputs"),
     )
 
 

@@ -36,7 +36,7 @@ def one(spark, steps, p, **kw):
 
 
 def test_forward_unchanged(spark):
-    r = one(spark, [step("step1", "engram1"), step("step2", "engram2")], packet(spark, "step1"))
+    r = one(spark, [step("step1", "worker1"), step("step2", "worker2")], packet(spark, "step1"))
     assert (r.outcome, r.target_step, r.payload) == ("deliver", "step2", '{"key":"value"}')
 
 
