@@ -9,14 +9,26 @@ from pyspark.sql.window import Window
 from hubflow.functions import is_heartbeat
 from hubflow.names import MIB, NAMES, Names
 from hubflow.operators import packets as pk
-from hubflow.operators.resolve import attach_pipeline, attach_worker_mode, locate_step
-from hubflow.operators.steps import explode_steps, with_next
+from hubflow.operators.resolve import attach_worker_mode
+from hubflow.operators.steps import explode_steps, first_by_key, with_next
 from hubflow.operators.transform import apply_transform, definitions
 
 #: Outcomes that end a sender's session.
 ERRORS = ("unavailable", "internal", "resource_exhausted")
 
 
+def run_dimension(runs: DataFrame, pipelines: DataFrame, steps: DataFrame, workers: DataFrame) -> DataFrame:
+    """One row per resolved run: pipeline, by_key (a map from step key to pos, next_step, next_worker, is_job).
+
+    Everything that a decision needs meets here, on the dimension side, so packets are joined and shuffled once.
+    """
+    s = first_by_key(attach_worker_mode(with_next(steps), workers))
+    entry = F.struct("key", F.struct("pos", "next_step", "next_worker", "is_job").alias("at"))
+    maps = s.where("key IS NOT NULL").groupBy("namespace", "pipeline").agg(F.map_from_entries(F.collect_list(entry)).alias("by_key"))
+    known = pipelines.select("namespace", "pipeline").distinct().join(maps, ["namespace", "pipeline"], "left")
+    return runs.select("namespace", "run", "pipeline").dropDuplicates(["namespace", "run"]).join(known, ["namespace", "pipeline"])
+
+
 def route(packets: DataFrame, runs: DataFrame, pipelines: DataFrame, workers: DataFrame, *, steps: DataFrame | None = None, names: Names = NAMES, max_inputs: int = MIB) -> DataFrame:
     """R1, R2. Adds outcome, target_step, target_ref, payload (transformed), step_input, inputs_resolved, error.
 
@@ -26,9 +38,8 @@ def route(packets: DataFrame, runs: DataFrame, pipelines: DataFrame, workers: Da
     its link (see ``buffering``). Every packet gets exactly one outcome.
     """
     steps = explode_steps(pipelines) if steps is None else steps
-    d = attach_pipeline(packets, runs, pipelines)
-    d = locate_step(d, with_next(steps))
-    d = attach_worker_mode(d, workers)
+    d = packets.join(run_dimension(runs, pipelines, steps, workers), ["namespace", "run"], "left").withColumn("at", F.try_element_at("by_key", F.col("step_id")))
+    d = d.withColumns({c: F.col(f"at.{c}") for c in ("pos", "next_step", "next_worker", "is_job")} | {"resolved": F.col("pipeline").isNotNull()}).drop("at", "by_key")
     hb = is_heartbeat("metadata", names)
     due = ~hb & F.col("next_step").isNotNull() & F.col("next_step.ref").isNull() & F.col("next_step.type").eqNullSafe("transform")
     d = d.withColumns({"transform_with": F.col("next_step.with"), "transform_due": due, "target_with": F.col("next_worker.with"), "heartbeat": hb})
