@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the contracts: ``[\x20\x09-\x0D]``.
-WHITE = " \t\n\x0b\x0c\r"
+#: White space of the contracts.
+WHITE = r"[\x20\x09-\x0D]+"
 #: A word: a longest run of other characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,5 +40,15 @@ def whole(text: str | Column = "text") -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    """Lower-cases A-Z and nothing else. ``text`` is read three times, so it should be a column of its own."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(text))
+
+
+def no_white(text: Column) -> Column:
+    """The text without the characters of ``WHITE``."""
+    return F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")
+
+
+def split_words(text: Column, between: str) -> Column:
+    """The non-empty parts of a text between runs of ``between``, a regular expression of such a run."""
+    return F.array_remove(F.split(text, between), "")

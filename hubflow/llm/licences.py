@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hubflow.llm.common import ascii_lower, cut, whole
+from hubflow.llm.common import ascii_lower, cut, split_words, whole
 
 #: ASCII letters and digits in lower case, and everything outside ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -31,13 +31,18 @@ TEMPLATES = {
 CONTAINMENT = 0.8
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+#: What lies between words.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def phrase_places(words: Column, phrases: Mapping[str, str]) -> Column:
-    """Array of (start, label), one for each place where a phrase's words stand consecutively."""
-    return F.concat(*[_places(words, phrase, label) for phrase, label in phrases.items()])
+def words_of(low: Column) -> Column:
+    """Words of a text whose A-Z are in lower case."""
+    return split_words(low, BETWEEN)
+
+
+def phrase_places(words: str, phrases: Mapping[str, str]) -> Column:
+    """Array of (start, label), one for each place where a phrase's words stand consecutively; ``words`` names an array column."""
+    return F.concat(*[_places(F.col(words), phrase, label) for phrase, label in phrases.items()])
 
 
 def _places(words: Column, phrase: str, label: str) -> Column:
@@ -49,49 +54,40 @@ def _places(words: Column, phrase: str, label: str) -> Column:
     return F.filter(hit, lambda x: x.isNotNull())
 
 
-def template_index(frequencies: DataFrame, templates: Mapping[str, str], threshold: float) -> DataFrame:
+def least_shared(size: Column, threshold: float) -> Column:
+    """Words of a template of ``size`` words that a block must hold."""
+    return F.greatest(F.lit(1), F.ceil(size * F.lit(threshold) - F.lit(1e-9))).cast("int")
+
+
+def template_index(templates: DataFrame, frequencies: DataFrame, threshold: float) -> DataFrame:
     """One row per prefix word of each template: prefix_word, place, label, words (rarest first), least.
 
-    ``least`` = ceil(threshold x size) words must be shared, so a block that holds them holds one of the first
-    size - least + 1, the template's prefix.
+    A block that holds ``least`` of the words holds one of the first size - least + 1, the template's prefix.
     """
-    spark = frequencies.sparkSession
-    rows = spark.createDataFrame(list(templates.items()), "label string, body string").select("label", F.array_distinct(words_of(F.col("body"))).alias("set"))
-    ranked = rows.select("label", F.explode("set").alias("word")).join(frequencies, "word", "left")
+    ranked = templates.select("label", F.explode("set").alias("word")).join(frequencies, "word", "left")
     ordered = ranked.groupBy("label").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("o")).select("label", F.col("o.word").alias("words"))
-    sized = ordered.withColumn("least", F.greatest(F.lit(1), F.ceil(F.size("words") * F.lit(threshold) - F.lit(1e-9))).cast("int"))
+    sized = ordered.withColumn("least", least_shared(F.size("words"), threshold))
     return sized.select("label", "words", "least", F.posexplode(F.slice("words", F.lit(1), F.size("words") - F.col("least") + 1)).alias("place", "prefix_word"))
 
 
-def similar_blocks(docs: DataFrame, key: list[str], templates: Mapping[str, str], threshold: float, text_col: str = "text") -> DataFrame:
-    """Every pair of a text block (a line) and a template of which it holds at least ``threshold``: key, block, label, containment.
+def similar_blocks(held: DataFrame, key: list[str], templates: DataFrame, frequencies: DataFrame, known: Column, threshold: float) -> DataFrame:
+    """Every pair of a block (a line) and a template of which it holds at least ``threshold``: key, block, label, containment.
 
-    ``docs`` has the key columns and ``text_col``. Blocks are reduced to the words that occur in templates, as no other
-    word can be shared; words are ordered by their number of blocks in the whole corpus, rarest first. A block meets a
-    template on a word of the template's prefix (prefix filter), if it has at least ``least`` template words (length
-    filter) and enough are left from the place of the match in both (positional filter); the rest is counted exactly.
-    The template side is as large as the ``templates`` argument, whatever the corpus, so it is broadcast.
+    ``held``: key, low (a text in lower case). Blocks are reduced to words of templates, as no other word can be shared,
+    in the global order, rarest first. A block meets a template on a word of the template's prefix (prefix filter), if
+    it has at least ``least`` template words (length filter) and enough are left from the match on in both (positional
+    filter); what remains is counted exactly. The template side is as large as the ``templates`` argument, whatever
+    the corpus, so it is broadcast.
     """
-    spark = docs.sparkSession
-    vocabulary = sorted({w for r in spark.createDataFrame([(t,) for t in templates.values()], "t string").select(words_of(F.col("t")).alias("w")).collect() for w in r.w})
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    lines = docs.select(*key, F.posexplode(F.split(ascii_lower(F.col(text_col)), "\n")).alias("block", "line"))
-    blocks = lines.select(*key, "block", F.array_intersect(F.regexp_extract_all("line", F.lit(WORD), F.lit(0)), known).alias("set"))
-    frequencies = cut(blocks.select(F.explode("set").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
-    index = cut(template_index(frequencies, templates, threshold))
-    shortest = index.agg(F.min("least")).first()[0]
-    if shortest is None:
-        return docs.select(*key, F.lit(0).alias("block"), F.lit("").alias("label"), F.lit(0.0).alias("containment")).limit(0)
-    # the global order, rarest first; words that no block has come first and never match
+    index = F.broadcast(template_index(templates, frequencies, threshold))
     order = [r.word for r in frequencies.orderBy("n", "word").collect()]  # at most the templates' words
-    ordered = F.array_intersect(F.array(*[F.lit(w) for w in order]).cast("array<string>"), F.col("set"))
-    met = (
-        blocks.where(F.size("set") >= shortest).select(*key, "block", ordered.alias("own")).select("*", F.posexplode("own").alias("own_place", "prefix_word"))
-        .join(F.broadcast(index), "prefix_word")
-        .where((F.size("own") >= F.col("least")) & (F.least(F.size("own") - F.col("own_place") + F.col("place"), F.size("words")) >= F.col("least")))
-    )
-    shared = met.select(*key, "block", "label", (F.size(F.array_intersect("own", "words")) / F.size("words")).alias("containment"), F.size(F.array_intersect("own", "words")).alias("shared"), "least")
-    return shared.where("shared >= least").select(*key, "block", "label", "containment").distinct()
+    lines = held.select(*key, F.posexplode(F.split("low", "\n")).alias("block", "line")).select(*key, "block", F.array_intersect(words_of(F.col("line")), known).alias("set"))
+    own = lines.where(F.size("set") > 0).select(*key, "block", F.array_intersect(F.array(*[F.lit(w) for w in order]).cast("array<string>"), F.col("set")).alias("own"))
+    met = own.select("*", F.posexplode("own").alias("own_place", "prefix_word")).join(index, "prefix_word")
+    left = F.least(F.size("own") - F.col("own_place"), F.size("words") - F.col("place")) + F.least("own_place", "place")
+    met = met.where((F.size("own") >= F.col("least")) & (left >= F.col("least")))
+    shared = met.select(*key, "block", "label", F.size("words").alias("size"), F.size(F.array_intersect("own", "words")).alias("shared"), "least")
+    return shared.where("shared >= least").select(*key, "block", "label", (F.col("shared") / F.col("size")).alias("containment")).distinct()
 
 
 def scan_licences(docs: DataFrame, *, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, threshold: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,26 +97,34 @@ def scan_licences(docs: DataFrame, *, phrases: Mapping[str, str] = PHRASES, temp
     first_word and last_word are their smallest and largest start. ``labels`` adds those of templates of which a line
     holds at least ``threshold`` of the distinct words. score: the largest such share, 1 where a phrase stands, else 0.
 
+    The corpus is read and cut into words once: each text leaves its places, its words that occur in templates, and,
+    only if it holds enough words of some template for one of its lines to match, the text. Words are ordered by the
+    number of documents of the whole corpus that have them; the join then works on what was left.
+
     Nulls: a null text is empty; a null id stays null. No place gives null first_word and last_word, no label gives ''.
     Rows that repeat an id and a text share their results; other columns are ignored.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
-    base = base.withColumn("key", F.xxhash64("text"))
-    words = words_of(F.col("text"))
-    # every phrase has this word, so texts without it need no search; looking for it changes no result
+    spark = docs.sparkSession
+    sets = spark.createDataFrame(list(templates.items()), "label string, body string").select("label", F.array_distinct(words_of(ascii_lower(F.col("body")))).alias("set"))
+    of = [r.set for r in sets.collect()]  # as large as the argument
+    known = F.array(*[F.lit(w) for w in sorted({w for t in of for w in t})]).cast("array<string>")
+    base = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).select("doc_id", F.xxhash64("text").alias("key"), ascii_lower(F.col("text")).alias("low"))
+    cut_up = base.withColumn("words", words_of(F.col("low")))
+    # every phrase has these words, so texts without one need no search
     common = set.intersection(*[set(p.split(" ")) for p in phrases]) if phrases else set()
     may = F.lit(bool(phrases))
-    for w in common:
-        may = may & F.contains(ascii_lower(F.col("text")), F.lit(w))
+    for w in sorted(common):
+        may = may & F.contains("low", F.lit(w))
     none = F.array().cast("array<struct<start:bigint,label:string>>")
-    own = base.select("doc_id", "key", F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD)).cast("long").alias("n_words"), F.when(may, phrase_places(words, phrases) if phrases else none).otherwise(none).alias("places"))
-    found = similar_blocks(base, ["doc_id", "key"], templates, threshold) if templates else None
-    if found is None:
-        rows = own.withColumns({"more": F.array().cast("array<string>"), "most": F.lit(0.0)})
-    else:
-        by_doc = found.groupBy("doc_id", "key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("most"))
-        o, d = own.alias("o"), by_doc.alias("d")
-        rows = o.join(d, F.expr("o.doc_id <=> d.doc_id AND o.key = d.key"), "left").select("o.*", F.coalesce("d.more", F.array().cast("array<string>")).alias("more"), F.coalesce("d.most", F.lit(0.0)).alias("most"))
+    own = cut_up.select("doc_id", "key", "low", F.size("words").cast("long").alias("n_words"), F.when(may, phrase_places("words", phrases) if phrases else none).otherwise(none).alias("places"), F.array_intersect("words", known).alias("set"))
+    enough = F.lit(False)
+    for t in of:
+        enough = enough | (F.size(F.array_intersect(F.array(*[F.lit(w) for w in t]).cast("array<string>"), F.col("set"))) >= least_shared(F.lit(len(t)), threshold))
+    rows = cut(own.withColumn("low", F.when(enough, F.col("low"))))
+    frequencies = cut(rows.select(F.explode("set").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    found = similar_blocks(rows.where("low IS NOT NULL").select("doc_id", "key", "low"), ["doc_id", "key"], sets, frequencies, known, threshold)
+    r, d = rows.drop("low", "set").alias("r"), found.groupBy("doc_id", "key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("most")).alias("d")
+    rows = r.join(d, F.expr("r.doc_id <=> d.doc_id AND r.key = d.key"), "left").select("r.*", F.coalesce("d.more", F.array().cast("array<string>")).alias("more"), F.coalesce("d.most", F.lit(0.0)).alias("most"))
     starts, labels = F.col("places.start"), F.array_distinct(F.col("places.label"))
     n = F.size("places").cast("long")
     return rows.select(
