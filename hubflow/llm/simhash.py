@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hubflow.llm.common import WORD, ascii_lower, whole
+from hubflow.llm.common import WHITE, ascii_lower, cut, split_words, whole
 from hubflow.llm.components import connected_components
-from hubflow.llm.common import cut
 
 BITS = 64
 #: Largest part of a bucket that one task compares with another part; larger buckets are split into such parts.
@@ -32,9 +31,11 @@ def covering_masks(radius: int) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
 
-def shingle_hashes(text: str | Column = "text", size: int = 3) -> Column:
-    """XXH64 (seed 42) of every shingle of ``size`` words, repeats included; one hash of a shorter text, none of no words."""
-    words = F.regexp_extract_all(ascii_lower(whole(text)), F.lit(WORD), F.lit(0))
+def shingle_hashes(words: str, size: int = 3) -> Column:
+    """XXH64 (seed 42) of every shingle of ``size`` words, repeats included; one hash of fewer words, none of no words.
+
+    ``words`` is the name of an array column: an expression would be evaluated again for each use.
+    """
     n = F.size(words)
     ahead = F.arrays_zip(*[F.slice(words, F.lit(k + 1), n - (size - 1)).alias(f"w{k}") for k in range(size)])
     many = F.transform(ahead, lambda s: F.xxhash64(F.concat_ws(" ", *[s[f"w{k}"] for k in range(size)])))
@@ -56,7 +57,8 @@ def majority_bits(hashes: pd.Series) -> pd.Series:
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """doc_id and fp (long) of every row; built from whole texts, row by row, without a shuffle."""
-    hashed = docs.select(F.col(id_col).alias("doc_id"), shingle_hashes(text_col, shingle).alias("hashes"))
+    low = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).select("doc_id", ascii_lower(F.col("text")).alias("low"))
+    hashed = low.select("doc_id", split_words(F.col("low"), WHITE).alias("words")).select("doc_id", shingle_hashes("words", shingle).alias("hashes"))
     return hashed.select("doc_id", majority_bits("hashes").alias("fp"))
 
 
