@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hubflow import functions as X
-from hubflow import sources
+from hubflow import sources, streaming
 from hubflow.names import NAMES, Limits
 from hubflow.operators import buffering as buf
 from hubflow.operators import metrics as m
@@ -367,6 +368,24 @@ def w6_heartbeat_grid(s, d):
     return buf.heartbeat_grid(buf.link_sessions(fx.link_events(s, d)).where("ended_at IS NOT NULL"), "24 hours").select("run", _us("tick").alias("tick"))
 
 
+@query("SELECT run, seq, outcome FROM sized", "sized")
+def w2_stream_links(s, d):
+    """The streaming form over the same log, written and read back as a stream that ends when its files do."""
+    s.conf.set(*streaming.STATE_STORE)
+    path = f"{_scratch(s)}/links-{uuid.uuid4().hex}"
+    _log(s, d).select(*[c.split()[0] for c in streaming.LOG.split(", ")]).write.parquet(f"{path}/in")
+    fates = streaming.stream_link_fates(streaming.read_log(s, f"{path}/in"), Limits(**CAPS))
+    sources.write_routed(fates, f"{path}/out", checkpoint=f"{path}/checkpoint", by=("event",)).awaitTermination()
+    return s.read.parquet(f"{path}/out").where("event = 'sent'").select("run", "seq", "outcome")
+
+
+@query("SELECT run, step_id AS step, epoch_us(date_trunc('day', ts)) AS day, count(*) AS messages FROM packets WHERE NOT heartbeat GROUP BY ALL", "packets")
+def w7_windowed_messages(s, d):
+    """A1 with event-time windows and a watermark, which bound its state over a stream."""
+    counts = m.messages_received(streaming.with_watermark(fx.packets(s, d)), window="1 day")
+    return counts.select("run", "step", _us("window.start").alias("day"), "messages")
+
+
 # ---- metrics
 
 
