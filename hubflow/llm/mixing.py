@@ -129,12 +129,13 @@ def mix(docs: DataFrame, sources: Column | str = "source", size: Column | None =
        sums over the first three and the next three digits of the md5; only the documents that share all six digits
        with the border are sorted. A source of any size is thus cut exactly without meeting in one task.
 
-    Nulls: a null text has size 0, a null source is a source of its own, sorted last; a null id is ordered as ''. Ties
+    Nulls: a null text has size 0, a null source is a source of its own, sorted last, and so is a null array; a document
+    of no source (an empty array) is never taken; a null id is ordered as ''. Ties
     of md5 go by id, then size. Repeated rows count each. Reruns give the same rows.
     """
     spark = docs.sparkSession
     col = F.col(sources) if isinstance(sources, str) else sources
-    of = col if isinstance(docs.select(col).schema[0].dataType, T.ArrayType) else F.array(col)
+    of = F.coalesce(col, F.array(F.lit(None).cast("string"))) if isinstance(docs.select(col).schema[0].dataType, T.ArrayType) else F.array(col)
     rank = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     base = docs.select(*keep, F.col(id_col).alias("doc_id"), F.array_sort(F.array_distinct(of)).alias("members"), (n_words(text_col) if size is None else F.coalesce(size.cast("long"), F.lit(0))).alias("size"), rank.alias("md5"))
     slim = cut(base.drop(*keep))

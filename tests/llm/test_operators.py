@@ -48,6 +48,12 @@ def test_mixing_overlap(spark):
     assert [r.taken for r in sorted(out, key=lambda r: r.doc_id)] == [r.taken for r in sorted(mixing.mix(docs, weights={"a": 1, "b": 1, "c": 4}).collect(), key=lambda r: r.doc_id)]
 
 
+def test_mixing_odd_memberships(spark):
+    docs = spark.createDataFrame([(1, "a b", ["x"]), (2, "a b", None), (3, "a b", []), (4, "a", ["x", None])], "doc_id long, text string, source array<string>")
+    got = {r.doc_id: (r.members, r.copies) for r in mixing.mix(docs).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[2][0] == [None] and got[3] == ([], 0)
+
+
 def test_water_filling():
     assert mixing.water_fill([10, 10], [1, 3], 3) == [5, 15]
     assert mixing.water_fill([1, 99], [1, 1], 3) == [3, 97]
