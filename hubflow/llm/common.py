@@ -45,8 +45,8 @@ def ascii_lower(text: Column) -> Column:
 
 
 def no_white(text: Column) -> Column:
-    """The text without the characters of ``WHITE``."""
-    return F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")
+    """The text without the characters of ``WHITE``; at one match a word, cheaper than a regular expression."""
+    return F.translate(text, " \t\n\x0b\x0c\r", "")
 
 
 def split_words(text: Column, between: str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hubflow.llm.common import WHITE, cut, whole
+from hubflow.llm.common import cut, no_white, whole
 
 #: Fewest and most code points of a chunk.
 CHUNK = (512, 4096)
@@ -24,7 +24,7 @@ def _chunk_pattern(least: int, most: int) -> str:
 
 def normalised(text: str | Column = "text") -> Column:
     """The text without the characters of ``[\\x20\\x09-\\x0D]``; null counts as empty."""
-    return F.translate(whole(text), WHITE, "")
+    return no_white(whole(text))
 
 
 def chunks(norm: Column, least: int = CHUNK[0], most: int = CHUNK[1]) -> Column:
@@ -35,7 +35,7 @@ def chunks(norm: Column, least: int = CHUNK[0], most: int = CHUNK[1]) -> Column:
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chunk_size: tuple[int, int] = CHUNK, hash_fn: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """Groups documents whose texts are the same but for white space.
 
-    Returns one row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    Returns one row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_points (of the original).
 
     1. Each text becomes a recipe: the ordered identifiers (``hash_fn``) of its chunks.
     2. Identifiers are verified: the distinct chunks of the whole corpus are compared by content. Where two contents
@@ -44,10 +44,10 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
        most, as chunks that are first reduced to distinct ones within each task.
 
     Nulls: a null text is an empty one, and all empty texts form a group. A null id never wins over another. Ties on
-    length go to the smallest id. Rows that repeat both id and text are one document: they carry the same verdict,
-    and each counts in group_size. Other columns are ignored, whatever their names.
+    length go to the smallest id. Of rows that repeat both id and text one may stay, and each counts in group_size.
+    Other columns are ignored, whatever their names.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).withColumn("norm", F.translate("text", WHITE, ""))
+    base = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).withColumn("norm", no_white(F.col("text")))
     cut_up = base.withColumn("chunks", chunks(F.col("norm"), *chunk_size))
     recipe = F.transform("chunks", lambda c: hash_fn(c)).alias("recipe")
     columns = ["doc_id", F.length("text").alias("n_points"), F.sha2("norm", 256).alias("text_sha256"), recipe]
@@ -61,12 +61,20 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         used = cut_up.select(recipe).distinct()
         doubtful = used.select("recipe", F.explode("recipe").alias("h")).join(clashes, "h", "left_semi").select("recipe").distinct().withColumn("doubt", F.lit(True))
         rows = cut(cut_up.select(*columns, "norm").join(doubtful, "recipe", "left").withColumn("told_apart", F.when(F.col("doubt"), F.col("norm")).otherwise("")).drop("doubt", "norm"))
+    # rows that repeat an id and a text are one row with a number until the end
+    each = rows.groupBy("recipe", "told_apart", "doc_id", "n_points", "text_sha256").agg(F.count("*").alias("times"))
     best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("rev")))
-    groups = rows.groupBy("recipe", "told_apart").agg(F.count("*").alias("group_size"), best.alias("best"))
-    return rows.join(groups, ["recipe", "told_apart"]).select(
-        "doc_id",
-        F.bitwise_not("best.rev").alias("keep_id"),
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.bitwise_not("best.rev")) & (F.col("n_points") == F.col("best.n_points"))).alias("kept"),
-        "text_sha256",
-    )
+    # written first: Spark splits a hot key of a join only where both sides come straight from a shuffle or a scan
+    groups = cut(each.groupBy("recipe", "told_apart").agg(F.sum("times").alias("group_size"), best.alias("best")))
+    first = F.col("doc_id").eqNullSafe(F.bitwise_not("best.rev")) & (F.col("n_points") == F.col("best.n_points"))
+    named = each.join(groups, ["recipe", "told_apart"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return named.select("doc_id", F.bitwise_not("best.rev").alias("keep_id"), "group_size", (first & (F.col("copy") == 1)).alias("kept"), "text_sha256", F.col("n_points").cast("long").alias("n_points"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one of each group of equal texts, repeated rows once."""
+    kept = exact_groups(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_points").alias("_n"))
+    text = whole(text_col)
+    own = docs.withColumns({"_own_sha": F.sha2(no_white(text), 256), "_own_n": F.length(text).cast("long")})
+    same = own[id_col].eqNullSafe(kept["_id"]) & (own["_own_sha"] == kept["_sha"]) & (own["_own_n"] == kept["_n"])
+    return own.join(kept, same, "left_semi").dropDuplicates([id_col, "_own_sha", "_own_n"]).select(*docs.columns)

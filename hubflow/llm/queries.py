@@ -126,7 +126,7 @@ FROM g JOIN c ON g.vec_id = c.a LEFT JOIN n ON g.vec_id = n.a
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
 g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id))
-SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256, CAST(n AS BIGINT) AS n_points FROM g
 """
 
 

@@ -58,6 +58,8 @@ def test_defined_results(spark, model):
     by = lambda df: {(r.doc_id, i): r for i, r in enumerate(df.where("doc_id IN (1, 2, 3, 4, 5, 6, 7)").orderBy("doc_id").collect())}
     ex = {r.doc_id: r for r in exact.exact_groups(documents(spark)).where("doc_id IS NOT NULL").collect()}
     assert (ex[1].keep_id, ex[1].group_size, ex[2].keep_id, ex[2].kept) == (2, 3, 2, True)  # the longest original stays
+    twice = exact.exact_groups(spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a"), (None, "a")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.group_size, r.kept) for r in twice) == [(0, 2, False), (0, 2, True), (1, 2, False), (1, 2, True)]
     assert ex[3].keep_id == 5 and ex[4].group_size == 4 and ex[5].kept
     n = {r.doc_id: r.n_tokens for r in tokens.token_counts(documents(spark), tokenizer_path("piece_bpe_32k.model")).collect()}
     assert n[3] == n[4] == 0
