@@ -160,3 +160,22 @@ def test_windowed_metrics_over_a_stream(spark, tmp_path):
     q = m.messages_received(streaming.with_watermark(src), window="10 seconds").writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.messages for r in spark.sql("SELECT messages FROM windowed").collect()] == [10] * 10
+
+
+def test_limits_and_heartbeats(spark):
+    assert tuple(m.buffer_limits(spark).first()) == (100, 10 << 20)
+    log = frame(spark, [("ns", "r", "s", 0, 0, "connect", None), ("ns", "r", "s", 35, 1, "disconnect", None), ("ns", "r", "s", 100, 2, "connect", None)])
+    sessions = buf.link_sessions(log.select("namespace", "run", "step", "ts", "seq", "kind"))
+    beats = buf.heartbeat_rows(sessions, until="1970-01-01 00:02:00").withColumn("t", F.unix_seconds("ts")).collect()
+    assert sorted(r.t for r in beats) == [10, 20, 30, 110] and {r.payload for r in beats} == {"{}"}
+    assert buf.heartbeat_rows(sessions.limit(0)).count() == 0
+
+
+def test_metrics_of_deliveries(spark):
+    rows = spark.createDataFrame([({"storyrun-name": "r", "current-step-id": "s"},), ({"storyrun-name": "r"},), ({"storyrun-name": "", "current-step-id": "s"},), (None,)], "metadata map<string,string>")
+    assert [tuple(r) for r in m.messages_sent(rows).collect()] == [("r", "s", 1)]
+    calls = spark.createDataFrame([("m", "OK", 0.005), ("m", "OK", 0.2), ("m", "OK", 99.0)], "method string, code string, duration_s double")
+    got = {r.le: r.cumulative for r in m.rpc_duration_histogram(calls).collect()}
+    assert (got["0.005"], got["0.1"], got["0.25"], got["10"], got["+Inf"]) == (1, 1, 2, 2, 3)
+    pods = spark.createDataFrame([(200,), (300,)], "buffer_size int")
+    assert tuple(m.scale_signal(pods).first()) == (250.0, 10)
