@@ -73,8 +73,12 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one of each group of equal texts, repeated rows once."""
-    kept = exact_groups(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_points").alias("_n"))
+    def keyed(df: DataFrame, sha: Column, points: Column) -> DataFrame:
+        return df.withColumns({"_id": F.coalesce(F.col(id_col), F.lit(0)), "_none": F.col(id_col).isNull(), "_sha": sha, "_points": points.cast("long")})
+
+    # plain equality on the same columns in both steps, so that texts are shuffled once
+    key = ["_id", "_none", "_sha", "_points"]
     text = whole(text_col)
-    own = docs.withColumns({"_own_sha": F.sha2(no_white(text), 256), "_own_n": F.length(text).cast("long")})
-    same = own[id_col].eqNullSafe(kept["_id"]) & (own["_own_sha"] == kept["_sha"]) & (own["_own_n"] == kept["_n"])
-    return own.join(kept, same, "left_semi").dropDuplicates([id_col, "_own_sha", "_own_n"]).select(*docs.columns)
+    kept = exact_groups(docs, id_col=id_col, text_col=text_col).where("kept").withColumnRenamed("doc_id", id_col)
+    kept = keyed(kept, F.col("text_sha256"), F.col("n_points")).select(*key)
+    return keyed(docs, F.sha2(no_white(text), 256), F.length(text)).join(kept, key, "left_semi").dropDuplicates(key).select(*docs.columns)
