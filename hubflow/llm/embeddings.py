@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -18,7 +17,9 @@ from hubflow.llm.components import connected_components
 CODES = 4
 #: Filters that a vector passes on average, over all codes; more give a higher recall.
 FILTERS = 40
-#: Shorter vectors are decoded with zeros added, as caps in few dimensions don't follow the normal law.
+#: Filters of a code that every vector passes; one that reaches fewer caps gets its best ones.
+FEWEST = 8
+#: Shorter vectors are decoded with zeros added, as few dimensions don't give both blocks of a code room.
 LEAST_DIM = 32
 #: Vectors that pass a filter on average; fewer give more, narrower caps.
 CAP = 128
@@ -28,11 +29,22 @@ BLOCK = 2048
 SMALL = 100_000
 
 
-def code_size(n: int, cap: int = CAP, filters: int = FILTERS, codes: int = CODES) -> tuple[int, float]:
-    """Codewords a block, and the cap's height in standard deviations, for n vectors: n x P(pass) = ``cap``."""
+def code_size(n: int, cap: float = CAP, filters: int = FILTERS, codes: int = CODES) -> tuple[int, float]:
+    """Codewords a block, and the share of all directions that a cap holds, for n vectors: n x share = ``cap``."""
     share = min(0.02, cap / max(n, 1))
-    height = NormalDist().inv_cdf(1 - share)
-    return max(2, math.ceil(math.sqrt(filters / codes / share))), height
+    return max(2, math.ceil(math.sqrt(filters / codes / share))), share
+
+
+def cap_height(dim: int, share: float) -> float:
+    """The product with a cap's direction that a ``share`` of the sphere in ``dim`` dimensions reaches.
+
+    A direction is a unit vector, and the random rotation makes any vector's product with it follow the law of the
+    sphere, whose density is (1 - t^2)^((dim - 3)/2). Its tail is lighter than that of the normal law.
+    """
+    t = np.linspace(0, 1, 100_001)
+    density = (1 - t * t) ** ((dim - 3) / 2)
+    above = np.cumsum(((density[1:] + density[:-1]) / 2)[::-1])[::-1]
+    return float(np.interp(-share, -above / (2 * above[0]), t[:-1]))
 
 
 def codebooks(dim: int, words: int, codes: int = CODES, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -47,14 +59,15 @@ def codebooks(dim: int, words: int, codes: int = CODES, seed: int = 7) -> list[t
     return out
 
 
-def decode(unit: np.ndarray, books: list[tuple[np.ndarray, np.ndarray, np.ndarray]], height: float) -> list[np.ndarray]:
-    """Per unit vector the sorted numbers of all directions whose product with it reaches the cap.
+def decode(unit: np.ndarray, books: list[tuple[np.ndarray, np.ndarray, np.ndarray]], height: float, fewest: int = FEWEST) -> list[np.ndarray]:
+    """Per unit vector the sorted numbers of all directions whose product with it reaches the cap, ``fewest`` a code at least.
 
     A direction (a, b)/sqrt 2 has the product (<x1, a> + <x2, b>)/sqrt 2. Both blocks' products are sorted, and for each
-    a only the prefix of b that reaches the threshold is listed.
+    a only the prefix of b that reaches the threshold is listed. Where a code gives fewer, the threshold of this vector
+    is lowered to its ``fewest``-th best direction, which is among the pairs of as many best a and b.
     """
     dim = len(books[0][0])
-    bound = height / math.sqrt(dim) * math.sqrt(2)
+    bound = height * math.sqrt(2)
     out: list[list[np.ndarray]] = [[] for _ in unit]
     unit = np.pad(unit, ((0, 0), (0, dim - unit.shape[1])))
     for k, (q, a, b) in enumerate(books):
@@ -64,6 +77,9 @@ def decode(unit: np.ndarray, books: list[tuple[np.ndarray, np.ndarray, np.ndarra
         top = np.take_along_axis(right, order, axis=1)
         for i in range(len(unit)):
             take = np.searchsorted(-top[i], left[i] - bound, side="right")
+            if take.sum() < fewest:
+                best = np.sort((np.sort(left[i])[-fewest:, None] + top[i, :fewest]).ravel())
+                take = np.searchsorted(-top[i], left[i] - best[-fewest:][0] + 1e-12, side="right")
             first = np.repeat(np.arange(len(a)), take)
             second = order[i][np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)]
             out[i].append((k * len(a) + first) * len(b) + second)
@@ -142,13 +158,13 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def near_vectors(vectors: DataFrame, *, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", filters: int = FILTERS, cap: int = CAP, codes: int = CODES, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", filters: int = FILTERS, cap: float = CAP, codes: int = CODES, block: int = BLOCK) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept (vec_id = component_id).
 
     1. Equal vectors become one class with the smallest id and the number of its rows.
     2. Each class's unit vector is list-decoded by random product codes to the filters (spherical caps) that it
        passes. The caps get narrower as the classes grow in number, so a filter holds about ``cap`` vectors and a
-       vector passes about ``filters`` filters at any size.
+       vector passes about ``filters`` filters on average at any size, and ``FEWEST`` a code at least.
     3. Vectors meet in filters. A filter with many vectors is dealt into parts of about ``block``; each two parts meet
        in one task, which checks cosines in double precision. A pair counts in its smallest common filter only, so
        counts of links are exact without listing pairs; a task returns counts and a spanning forest.
@@ -163,17 +179,18 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.95, id_col: str = "vec_
     classes = cut(good.groupBy("v").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("size")).select(F.xxhash64("v").alias("h"), "v", "least_id", "size"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     n = classes.count()
-    words, height = code_size(n, cap, filters, codes)
+    words, share = code_size(n, cap, filters, codes)
 
     def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         books: dict[int, list] = {}
+        heights: dict[int, float] = {}
         for batch in batches:
             for dim, part in batch.groupby(batch["v"].map(len)):
                 if dim not in books:
-                    books[dim] = codebooks(max(dim, LEAST_DIM), words, codes)
+                    books[dim], heights[dim] = codebooks(max(dim, LEAST_DIM), words, codes), cap_height(max(dim, LEAST_DIM), share)
                 for at in range(0, len(part), 1024):
                     some = part.iloc[at : at + 1024]
-                    yield some.assign(passed=decode(_unit(np.array(some["v"].tolist(), np.float64)), books[dim], height), dim=dim)[["node", "size", "dim", "v", "passed"]]
+                    yield some.assign(passed=decode(_unit(np.array(some["v"].tolist(), np.float64)), books[dim], heights[dim]), dim=dim)[["node", "size", "dim", "v", "passed"]]
 
     kind = classes.schema["v"].dataType.simpleString()
     met = classes.select("node", "size", "v").mapInPandas(passed, f"node long, size long, dim int, v {kind}, passed array<int>")

@@ -352,6 +352,24 @@ def test_near_the_threshold(spark, block):
     assert links[0] == n[0]
 
 
+def test_recall_of_large_tables(spark):
+    """Pairs near the threshold are found with the narrow caps of 10 million vectors; each vector passes filters."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((500, 64))
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.9502, 0.952, (500, 1))
+    x = np.vstack([base, c * base + np.sqrt(1 - c * c) * side])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = embeddings.near_vectors(df, cap=embeddings.CAP * len(x) / 1e7).collect()
+    assert sum(r.n_links for r in out) >= 0.99 * brute_vectors(x)[0].sum()
+    words, share = embeddings.code_size(10**7)
+    passed = embeddings.decode(base, embeddings.codebooks(64, words), embeddings.cap_height(64, share))
+    assert min(len(p) for p in passed) >= embeddings.CODES * embeddings.FEWEST and 40 < np.mean([len(p) for p in passed]) < 60
+
+
 # ---- 9
 
 
