@@ -27,7 +27,7 @@ TEMPLATES = {
     "mit-released": "Released under the MIT License",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
-#: Least share of a template's words that a block must hold.
+#: Least share of a template's words that a block must hold; a block is at most 1 / CONTAINMENT times as long as the template.
 CONTAINMENT = 0.8
 
 
@@ -60,54 +60,63 @@ def least_shared(size: Column, threshold: float) -> Column:
 
 
 def template_index(templates: DataFrame, frequencies: DataFrame, threshold: float) -> DataFrame:
-    """One row per prefix word of each template: prefix_word, place, label, words (rarest first), least.
+    """One row per prefix word of each template: prefix_word, label, words (rarest first), least, length.
 
     A block that holds ``least`` of the words holds one of the first size - least + 1, the template's prefix.
     """
-    ranked = templates.select("label", F.explode("set").alias("word")).join(frequencies, "word", "left")
-    ordered = ranked.groupBy("label").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("o")).select("label", F.col("o.word").alias("words"))
+    ranked = templates.select("label", "length", F.explode("set").alias("word")).join(frequencies, "word", "left")
+    ordered = ranked.groupBy("label", "length").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("o")).select("label", "length", F.col("o.word").alias("words"))
     sized = ordered.withColumn("least", least_shared(F.size("words"), threshold))
-    return sized.select("label", "words", "least", F.posexplode(F.slice("words", F.lit(1), F.size("words") - F.col("least") + 1)).alias("place", "prefix_word"))
+    return sized.select("label", "length", "words", "least", F.explode(F.slice("words", F.lit(1), F.size("words") - F.col("least") + 1)).alias("prefix_word"))
 
 
-def similar_blocks(held: DataFrame, key: list[str], templates: DataFrame, frequencies: DataFrame, known: Column, threshold: float) -> DataFrame:
-    """Every pair of a block (a line) and a template of which it holds at least ``threshold``: key, block, label, containment.
+def similar_blocks(held: DataFrame, key: list[str], templates: DataFrame, frequencies: DataFrame, known: list[str], longest: int, threshold: float) -> DataFrame:
+    """Every pair of a text and a template of which one of its blocks holds at least ``threshold``: key, label, containment.
 
-    ``held``: key, low (a text in lower case). Blocks are reduced to words of templates, as no other word can be shared,
-    in the global order, rarest first. A block meets a template on a word of the template's prefix (prefix filter), if
-    it has at least ``least`` template words (length filter) and enough are left from the match on in both (positional
-    filter); what remains is counted exactly. The template side is as large as the ``templates`` argument, whatever
-    the corpus, so it is broadcast.
+    A block is a run of consecutive words, whatever lies between them, of at most ``length`` words of the template;
+    ``longest`` is the largest length. So wrapped text is found, and words that are strewn over a long line are not.
+
+    ``held``: key, low (a text in lower case). Texts are reduced to words of templates and their places, as no other
+    word can be shared. A block meets a template on a word of the template's prefix, its rarest words in the global
+    order (prefix filter), if at least ``least`` of the template's words lie around it (length filter); what remains is
+    counted exactly. The template side is as large as the ``templates`` argument, whatever the corpus, so it is broadcast.
     """
     index = F.broadcast(template_index(templates, frequencies, threshold))
-    order = [r.word for r in frequencies.orderBy("n", "word").collect()]  # at most the templates' words
-    lines = held.select(*key, F.posexplode(F.split("low", "\n")).alias("block", "line")).select(*key, "block", F.array_intersect(words_of(F.col("line")), known).alias("set"))
-    own = lines.where(F.size("set") > 0).select(*key, "block", F.array_intersect(F.array(*[F.lit(w) for w in order]).cast("array<string>"), F.col("set")).alias("own"))
-    met = own.select("*", F.posexplode("own").alias("own_place", "prefix_word")).join(index, "prefix_word")
-    left = F.least(F.size("own") - F.col("own_place"), F.size("words") - F.col("place")) + F.least("own_place", "place")
-    met = met.where((F.size("own") >= F.col("least")) & (left >= F.col("least")))
-    shared = met.select(*key, "block", "label", F.size("words").alias("size"), F.size(F.array_intersect("own", "words")).alias("shared"), "least")
-    return shared.where("shared >= least").select(*key, "block", "label", (F.col("shared") / F.col("size")).alias("containment")).distinct()
+    cut_up = held.select(*key, words_of(F.col("low")).alias("all_words"))
+    placed = cut_up.select(*key, F.filter(F.transform("all_words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].isin(known)).alias("hits"))
+    # words stand at places of their own, so as many neighbours as a block has words are enough
+    around = F.transform("hits", lambda x, i: F.struct(x["at"].alias("at"), x["word"].alias("prefix_word"), F.slice("hits", F.greatest(i - (longest - 2), F.lit(1)), F.lit(2 * longest - 1)).alias("near")))
+    met = placed.select(*key, F.explode(around).alias("x")).select(*key, "x.*").join(index, "prefix_word")
+    of = F.filter("near", lambda x: F.array_contains("words", x["word"]) & (F.abs(x["at"] - F.col("at")) < F.col("length")))
+    met = met.select(*key, "label", "words", "least", "length", of.alias("own")).where(F.size("own") >= F.col("least"))
+    block = lambda first: F.filter("own", lambda x: (x["at"] >= first["at"]) & (x["at"] < first["at"] + F.col("length")))
+    held_words = F.transform("own", lambda first: F.size(F.array_distinct(F.transform(block(first), lambda x: x["word"]))))
+    shared = met.select(*key, "label", F.size("words").alias("size"), F.array_max(held_words).alias("shared"), "least")
+    return shared.where("shared >= least").select(*key, "label", (F.col("shared") / F.col("size")).alias("containment")).distinct()
 
 
 def scan_licences(docs: DataFrame, *, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, threshold: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base labels are those of phrases whose words stand consecutively; places are counted for each phrase, and
-    first_word and last_word are their smallest and largest start. ``labels`` adds those of templates of which a line
-    holds at least ``threshold`` of the distinct words. score: the largest such share, 1 where a phrase stands, else 0.
+    first_word and last_word are their smallest and largest start. ``labels`` adds those of templates of which a
+    block (a run of words at most 1 / ``threshold`` times as long as the template, line feeds or not) holds at least
+    ``threshold`` of the distinct words. score: the largest such share, 1 where a phrase stands, else 0.
 
     The corpus is read and cut into words once: each text leaves its places, its words that occur in templates, and,
-    only if it holds enough words of some template for one of its lines to match, the text. Words are ordered by the
+    only if it holds enough words of some template for one of its blocks to match, the text. Words are ordered by the
     number of documents of the whole corpus that have them; the join then works on what was left.
 
     Nulls: a null text is empty; a null id stays null. No place gives null first_word and last_word, no label gives ''.
     Rows that repeat an id and a text share their results; other columns are ignored.
     """
     spark = docs.sparkSession
-    sets = spark.createDataFrame(list(templates.items()), "label string, body string").select("label", F.array_distinct(words_of(ascii_lower(F.col("body")))).alias("set"))
-    of = [r.set for r in sets.collect()]  # as large as the argument
-    known = F.array(*[F.lit(w) for w in sorted({w for t in of for w in t})]).cast("array<string>")
+    sets = spark.createDataFrame(list(templates.items()), "label string, body string").select("label", words_of(ascii_lower(F.col("body"))).alias("all"))
+    sets = sets.select("label", F.array_distinct("all").alias("set"), F.floor(F.size("all") / F.lit(threshold) + F.lit(1e-9)).cast("int").alias("length"))
+    rules = sets.collect()  # as large as the argument
+    of = [r.set for r in rules]
+    names = sorted({w for t in of for w in t})
+    known = F.array(*[F.lit(w) for w in names]).cast("array<string>")
     base = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).select("doc_id", F.xxhash64("text").alias("key"), ascii_lower(F.col("text")).alias("low"))
     cut_up = base.withColumn("words", words_of(F.col("low")))
     # every phrase has these words, so texts without one need no search
@@ -122,7 +131,7 @@ def scan_licences(docs: DataFrame, *, phrases: Mapping[str, str] = PHRASES, temp
         enough = enough | (F.size(F.array_intersect(F.array(*[F.lit(w) for w in t]).cast("array<string>"), F.col("set"))) >= least_shared(F.lit(len(t)), threshold))
     rows = cut(own.withColumn("low", F.when(enough, F.col("low"))))
     frequencies = cut(rows.select(F.explode("set").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
-    found = similar_blocks(rows.where("low IS NOT NULL").select("doc_id", "key", "low"), ["doc_id", "key"], sets, frequencies, known, threshold)
+    found = similar_blocks(rows.where("low IS NOT NULL").select("doc_id", "key", "low"), ["doc_id", "key"], sets, frequencies, names, max([r.length for r in rules], default=1), threshold)
     r, d = rows.drop("low", "set").alias("r"), found.groupBy("doc_id", "key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("most")).alias("d")
     rows = r.join(d, F.expr("r.doc_id <=> d.doc_id AND r.key = d.key"), "left").select("r.*", F.coalesce("d.more", F.array().cast("array<string>")).alias("more"), F.coalesce("d.most", F.lit(0.0)).alias("most"))
     starts, labels = F.col("places.start"), F.array_distinct(F.col("places.label"))

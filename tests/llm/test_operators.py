@@ -4,6 +4,7 @@ import html as stdhtml
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -252,6 +253,21 @@ def test_licences(spark):
     assert {r.doc_id: tuple(r)[1:] for r in got} == {i: brute_licences(t) for i, t in rows}
 
 
+def test_wrapped_licences(spark):
+    """Wrapped and commented headers give their label and 1.0; words strewn over a long line, or in a block too long, give none."""
+    rows, want = [], {}
+    for i, (label, body) in enumerate(licences.TEMPLATES.items()):
+        for k, (width, mark) in enumerate([(30, ""), (40, "# "), (72, " * ")]):
+            rows.append((10 * i + k, "\n".join(["x y z", *[mark + x for x in textwrap.wrap("Here some words come before. " + body + ". And some come after it.", width)]])))
+            want[10 * i + k] = label
+        strewn = " ".join(w + " lorem" * 30 for w in body.split())
+        rows += [(10 * i + 3, strewn), (10 * i + 4, strewn.replace(" lorem", "\n"+ "lorem"))]
+    got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score == 1.0 for i, label in want.items())
+    assert all(got[i].labels == "" and got[i].score == 0.0 for i in got.keys() - want.keys())
+    assert len(want) == 27 and licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), templates={}).where("score > 0 AND n_base = 0").count() == 0
+
+
 # ---- 6
 
 
