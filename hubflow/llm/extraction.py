@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hubflow.llm.common import whole
+from hubflow.llm.common import cut, whole
 
 #: Fixed values of HTML: elements without content, without text to read, and those that end a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,10 +34,9 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(
 
 #: What structure says of a line.
 OUTSIDE, ARTICLE, ASIDE_LINE = 0, 1, 2
-#: Pages of one host that are sorted and paired together.
+#: Pages of a range of addresses that are sorted and paired together; a range has more where there would be more than RANGES.
 PAIRED = 200
-#: Hosts above 1/SHARE of all pages are dealt into groups; there are fewer than SHARE of them.
-SHARE = 20_000
+RANGES = 2000
 
 
 def _apart(name: str, attributes: str, in_article: bool) -> bool:
@@ -139,13 +139,72 @@ def _prefix(a: str | None, b: str | None) -> int:
     return n
 
 
+#: What pages are sorted by.
+ADDRESS = ("host", "path", "query", "page_id")
+
+
+def _place(address: tuple) -> tuple:
+    """Sorts addresses as Spark does, a null id first."""
+    *names, page_id = address
+    return (*names, page_id is not None, page_id or 0)
+
+
+def _mark(lines: list[str]) -> int:
+    """A hash of a page's lines."""
+    return int.from_bytes(blake2b("\n".join(lines).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def range_bounds(rows: DataFrame, paired: int, ranges: int = RANGES) -> list[tuple]:
+    """Addresses that cut the sorted pages into ranges of about ``paired``, from a sample of at least 8 a range."""
+    total = rows.count()
+    parts = min(-(-total // paired), ranges)
+    if parts < 2:
+        return []
+    sample = rows.select(*ADDRESS).where(F.pmod(F.xxhash64(*ADDRESS), F.lit(total)) < 8 * parts).distinct().collect()
+    places = sorted(_place(tuple(r)) for r in sample)
+    return sorted({places[len(places) * k // parts] for k in range(1, parts)}) if places else []
+
+
+def range_edges(slim: DataFrame) -> dict[tuple, list[int]]:
+    """From ``range`` and the rows' ``ADDRESS`` and mark: which rows the ranges need from other ranges of their host.
+
+    A range's first lines need the nearest page before it with other lines, its last lines the nearest after it. Of
+    each range only the outermost row of a host and the outermost one with other lines come to the driver.
+    """
+    row = F.struct("path", "query", "page_id", "mark")
+    ends = cut(slim.groupBy("host", "range").agg(F.min(row).alias("first"), F.max(row).alias("last")))
+    wide = ends.groupBy("host").count().where("count > 1").select("host")
+    ends = cut(ends.join(wide, "host", "left_semi"))  # at most two hosts a range
+    inner = slim.join(F.broadcast(ends), ["host", "range"])
+    inner = inner.groupBy("host", "range").agg(F.min(F.when(F.col("mark") != F.col("first.mark"), row)).alias("second"), F.max(F.when(F.col("mark") != F.col("last.mark"), row)).alias("last_but"))
+    by_host = defaultdict(list)
+    for r in ends.join(F.broadcast(inner), ["host", "range"]).collect():
+        by_host[r["host"]].append(r)
+    needs = defaultdict(list)
+    for host, found in by_host.items():
+        found.sort(key=lambda r: r["range"])
+        for line, near, far, outer in ((found, "first", "last", "last_but"), (found[::-1], "last", "first", "second")):
+            known = None
+            for before, r in zip(line, line[1:]):
+                if before[far]["mark"] != r[near]["mark"]:
+                    known = before[far]
+                elif before[outer] is not None:
+                    known = before[outer]
+                # else all of the range before has these lines, and what it needed is needed here
+                if known is not None:
+                    needs[(host, *known)].append(r["range"])
+    return dict(needs)
+
+
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", paired: int = PAIRED) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
     1. Every page becomes its lines of text with what structure says of them (article, apart, neither).
-    2. Pages of a host are sorted by URL path; each is paired with the neighbour whose path shares the longer prefix
-       (the one before on a tie; a neighbour with the very same lines shows nothing and is passed over). Hosts with
-       many pages are dealt by a hash of the path into groups of about ``paired`` first, so none meets in one task.
+    2. Pages of a host are sorted by URL path and query; each is paired with the neighbour whose path and query share
+       the longer prefix (the one before on a tie; a neighbour with the very same lines shows nothing and is passed
+       over). The sorted pages of all hosts are cut into ranges of about ``paired``, so no host meets in one task.
+       Pages at the end of a range are copied to the ranges that need them, so pairs don't depend on the ranges; for
+       that, tables of more than one range are read twice.
     3. Lines are aligned by longest common subsequence and shared ones deleted. Differencing alone can't give right
        results: adverts differ from page to page, and articles repeat passages. So lines inside an article element
        stay, and lines that structure sets apart go.
@@ -153,29 +212,55 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     Nulls: a null html is empty and gives an empty text; pages with a null or odd URL form a host of their own.
     Repeated rows stay. Other columns are ignored.
     """
-    address = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*([^?#]*)"
+    address = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*([^?#]*)(\?[^#]*)?"
     url = F.coalesce(F.col(url_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.lower(F.regexp_extract(url, address, 1)).alias("host"), F.regexp_extract(url, address, 2).alias("path"), whole(html_col).alias("html"))
-    per_host = rows.groupBy("host").agg(F.count("*").alias("n"))
-    total = per_host.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = per_host.where(F.col("n") > max(paired, total / SHARE)).select("host", F.ceil(F.col("n") / paired).cast("int").alias("groups"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.lower(F.regexp_extract(url, address, 1)).alias("host"), F.regexp_extract(url, address, 2).alias("path"), F.regexp_extract(url, address, 3).alias("query"), whole(html_col).alias("html"))
+    bounds = range_bounds(rows, paired)
+
+    def ranged(batch: pa.RecordBatch) -> tuple[list[tuple], list[int]]:
+        addresses = list(zip(*[batch.column(c).to_pylist() for c in ADDRESS], strict=True))
+        return addresses, [bisect_right(bounds, _place(a)) for a in addresses]
+
+    def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [_mark(lines_of(x.as_py())[0]) for x in batch.column("html")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ADDRESS], pa.array(marks, pa.int64()), pa.array(ranged(batch)[1], pa.int32())], [*ADDRESS, "mark", "range"])
+
+    kinds_of_address = "host string, path string, query string, page_id long"
+    needs = range_edges(cut(rows.drop("url").mapInArrow(slim, f"{kinds_of_address}, mark long, range int"))) if bounds else {}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = set()
         for batch in batches:
             found = [lines_of(x.as_py()) for x in batch.column("html")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("page_id", "url", "host", "path")], pa.array([x[0] for x in found], pa.list_(pa.string())), pa.array([x[1] for x in found], pa.list_(pa.int32()))], ["page_id", "url", "host", "path", "lines", "kinds"])
+            marks = [_mark(x[0]) for x in found]
+            addresses, at = ranged(batch)
+            guests = []
+            for n, key in enumerate(zip(addresses, marks, strict=True)):
+                key = (*key[0], key[1])
+                if key in needs and key not in sent:  # of equal rows one is enough
+                    sent.add(key)
+                    guests += [(n, k) for k in needs[key]]
+            columns = [*[batch.column(c) for c in (*ADDRESS, "url")], pa.array(marks, pa.int64()), pa.array([x[0] for x in found], pa.list_(pa.string())), pa.array([x[1] for x in found], pa.list_(pa.int32()))]
+            names = [*ADDRESS, "url", "mark", "lines", "kinds", "range", "guest"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(at, pa.int32()), pa.array([False] * len(at), pa.bool_())], names)
+            if guests:
+                which = pa.array([n for n, _ in guests], pa.int64())
+                yield pa.RecordBatch.from_arrays([*[c.take(which) for c in columns], pa.array([k for _, k in guests], pa.int32()), pa.array([True] * len(guests), pa.bool_())], names)
 
-    parsed = rows.mapInArrow(read, "page_id long, url string, host string, path string, lines array<string>, kinds array<int>")
-    dealt = parsed.join(F.broadcast(hot), "host", "left").withColumn("group", F.coalesce(F.pmod(F.xxhash64("path"), F.col("groups")), F.lit(0)))
-    near = Window.partitionBy("host", "group").orderBy("path", "page_id", F.xxhash64("lines"))
-    paired_rows = dealt.select("page_id", "url", "path", "lines", "kinds", *[f(c).over(near).alias(f"{k}_{c}") for k, f in (("before", F.lag), ("after", F.lead)) for c in ("path", "lines")])
+    parsed = rows.mapInArrow(read, f"{kinds_of_address}, url string, mark long, lines array<string>, kinds array<int>, range int, guest boolean")
+    order = ["path", "query", "page_id", "mark"]
+    near = Window.partitionBy("range", "host").orderBy(*order)
+    where = F.concat("path", "query").alias("where")
+    dealt = parsed.select("page_id", "url", "range", "host", "path", "query", "mark", where, "lines", "kinds", "guest")
+    paired_rows = dealt.select("page_id", "url", "where", "lines", "kinds", "guest", *[f(c).over(near).alias(f"{k}_{c}") for k, f in (("before", F.lag), ("after", F.lead)) for c in ("where", "lines")]).where("NOT guest").drop("guest")
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for r in batch.to_pylist():
-                around = [(r[f"{k}_path"], r[f"{k}_lines"]) for k in ("before", "after") if r[f"{k}_lines"] is not None and r[f"{k}_lines"] != r["lines"]]
-                partner = max(around, key=lambda x: _prefix(x[0], r["path"]))[1] if around else None
+                around = [(r[f"{k}_where"], r[f"{k}_lines"]) for k in ("before", "after") if r[f"{k}_lines"] is not None and r[f"{k}_lines"] != r["lines"]]
+                partner = max(around, key=lambda x: _prefix(x[0], r["where"]))[1] if around else None
                 texts.append(main_text(r["lines"], r["kinds"], partner))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

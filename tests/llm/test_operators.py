@@ -426,6 +426,21 @@ def test_differencing(spark):
     assert {r.page_id: r.text for r in extraction.extract(df, paired=10).collect()} == {i: f"Story {i}\nMore {i}" for i in range(45)}
 
 
+def test_large_host(spark):
+    """Sections of a large host with menus of their own, pages told apart by path or by query: ranges change nothing."""
+    rows = []
+    for s in range(30):
+        for k in range(12):
+            menu = "".join(f"<p>Section {s} item {m}</p>" for m in range(4))
+            tail = f"p{k:02d}" if s % 2 else f"index?page={k:02d}"
+            rows.append((100 * s + k, f"http://big.example/section{s:02d}/{tail}", page(f"{menu}<p>Own text {s} {k}</p>")))
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for paired in (7, 200, 1000):
+        got = {r.page_id: r.text for r in extraction.extract(df, paired=paired).collect()}
+        assert got == {100 * s + k: f"Own text {s} {k}" for s in range(30) for k in range(12)}
+
+
 def test_longest_common_lines():
     rng = random.Random(0)
     for _ in range(200):
