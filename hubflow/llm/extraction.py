@@ -201,8 +201,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     1. Every page becomes its lines of text with what structure says of them (article, apart, neither).
     2. Pages of a host are sorted by URL path and query; each is paired with the neighbour whose path and query share
-       the longer prefix (the one before on a tie; a neighbour with the very same lines shows nothing and is passed
-       over). The sorted pages of all hosts are cut into ranges of about ``paired``, so no host meets in one task.
+       the longer prefix (the one before on a tie). Neighbours with the very same lines show nothing, so on each side
+       the nearest page with other lines is taken, however many copies lie between. The sorted pages of all hosts are cut into ranges of about ``paired``, so no host meets in one task.
        Pages at the end of a range are copied to the ranges that need them, so pairs don't depend on the ranges; for
        that, tables of more than one range are read twice.
     3. Lines are aligned by longest common subsequence and shared ones deleted. Differencing alone can't give right
@@ -249,18 +249,21 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 yield pa.RecordBatch.from_arrays([*[c.take(which) for c in columns], pa.array([k for _, k in guests], pa.int32()), pa.array([True] * len(guests), pa.bool_())], names)
 
     parsed = rows.mapInArrow(read, f"{kinds_of_address}, url string, mark long, lines array<string>, kinds array<int>, range int, guest boolean")
-    order = ["path", "query", "page_id", "mark"]
-    near = Window.partitionBy("range", "host").orderBy(*order)
-    where = F.concat("path", "query").alias("where")
-    dealt = parsed.select("page_id", "url", "range", "host", "path", "query", "mark", where, "lines", "kinds", "guest")
-    paired_rows = dealt.select("page_id", "url", "where", "lines", "kinds", "guest", *[f(c).over(near).alias(f"{k}_{c}") for k, f in (("before", F.lag), ("after", F.lead)) for c in ("where", "lines")]).where("NOT guest").drop("guest")
+    dealt = parsed.withColumn("where", F.concat("path", "query"))
+    order = [F.col(c) for c in ("path", "query", "page_id", "mark")]
+    for side, by in (("before", order), ("after", [c.desc() for c in order])):
+        # in a run of pages with the same lines all look at the row before the run
+        near = Window.partitionBy("range", "host").orderBy(*by)
+        starts = F.when(F.lag("mark").over(near) != F.col("mark"), F.struct(F.lag("where").over(near).alias("where"), F.lag("lines").over(near).alias("lines")))
+        dealt = dealt.withColumn("starts", starts).withColumn(side, F.last("starts", ignorenulls=True).over(near.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("starts")
+    paired_rows = dealt.where("NOT guest").select("page_id", "url", "where", "lines", "kinds", "before", "after")
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for r in batch.to_pylist():
-                around = [(r[f"{k}_where"], r[f"{k}_lines"]) for k in ("before", "after") if r[f"{k}_lines"] is not None and r[f"{k}_lines"] != r["lines"]]
-                partner = max(around, key=lambda x: _prefix(x[0], r["where"]))[1] if around else None
+                around = [r[k] for k in ("before", "after") if r[k] is not None]
+                partner = max(around, key=lambda x: _prefix(x["where"], r["where"]))["lines"] if around else None
                 texts.append(main_text(r["lines"], r["kinds"], partner))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -441,6 +441,33 @@ def test_large_host(spark):
         assert got == {100 * s + k: f"Own text {s} {k}" for s in range(30) for k in range(12)}
 
 
+def test_runs_of_equal_pages(spark):
+    """Copies with adjacent addresses are compared with the nearest other page, wherever ranges end."""
+    body = lambda own: page(f"<p>Menu</p><p>{own}</p><p>Notice</p>")
+    rows = [(k, f"http://a.example/p{k:02d}", body("copy" if 2 <= k <= 12 else f"own {k}")) for k in range(16)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for paired in (3, 200):
+        got = {r.page_id: r.text for r in extraction.extract(df, paired=paired).collect()}
+        assert got == {k: "copy" if 2 <= k <= 12 else f"own {k}" for k in range(16)}
+
+
+def test_ranges_against_brute_force(spark):
+    rng, rows = random.Random(2), []
+    for i in range(150):  # few different pages, so runs cross ranges
+        lines = [f"line {x}" for x in rng.choice([(1, 2), (1, 3), (2, 3, 4), (1,)])] + ([f"own {i}"] if rng.random() < 0.15 else [])
+        rows.append((i, f"http://{rng.choice('aab')}.example/{rng.choice('xyz')}{rng.randrange(6)}{rng.choice(['', '?q=1', '?q=2'])}", page("".join(f"<p>{x}</p>" for x in lines)), lines))
+    split = lambda r: (r[1].split("/")[2], *(r[1].split("/")[3] + "?").split("?")[:2])
+    order, want = sorted(rows, key=lambda r: (*split(r), r[0])), {}
+    for n, r in enumerate(order):
+        sides = [next((o for o in side if o[3] != r[3] and split(o)[0] == split(r)[0]), None) for side in (order[:n][::-1], order[n + 1 :])]
+        around = [o for o in sides if o]
+        partner = max(around, key=lambda o: extraction._prefix(o[1], r[1]))[3] if around else None
+        want[r[0]] = extraction.main_text(r[3], [extraction.OUTSIDE] * len(r[3]), partner)
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    for paired in (4, 20, 200):
+        assert {r.page_id: r.text for r in extraction.extract(df, paired=paired).collect()} == want
+
+
 def test_longest_common_lines():
     rng = random.Random(0)
     for _ in range(200):
