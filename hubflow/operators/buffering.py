@@ -1,6 +1,8 @@
 """Links as tables: sessions, admission to bounded buffers, flush and eviction.
 
 A *log* has one row per event: namespace, run, step, ts, seq, kind (connect, disconnect, packet), size.
+``link_fates`` and its streaming form also take the kinds send_failed (a packet whose send over an open link failed: it
+waits in the buffer) and flush_failed (a flush that ended after ``size`` messages: the others stay buffered, in order).
 """
 
 from __future__ import annotations
@@ -34,14 +36,15 @@ def link_sessions(link_events: DataFrame) -> DataFrame:
 
 def with_connection(log: DataFrame) -> DataFrame:
     """Adds to the packets of a log: connect_no (connects before), connected, next_connect (time of the next one)."""
-    w = Window.partitionBy(*LINK).orderBy("ts", "seq")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy(*LINK).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    # backwards in time, as a frame that grows costs one step a row and one that shrinks is read again for each row
+    after = Window.partitionBy(*LINK).orderBy(F.desc("ts"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     is_connect = F.col("kind") == "connect"
     state = F.last(F.when(F.col("kind") != "packet", is_connect), ignorenulls=True).over(so_far)
     rows = log.withColumns({
         "connect_no": F.count(F.when(is_connect, 1)).over(so_far),
         "connected": F.coalesce(state, F.lit(False)),
-        "next_connect": F.first(F.when(is_connect, F.col("ts")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+        "next_connect": F.last(F.when(is_connect, F.col("ts")), ignorenulls=True).over(after),
     })
     return rows.where("kind = 'packet'").drop("kind")
 

@@ -47,13 +47,23 @@ class Link:
         yield from ((LEFT, seq, now, "delivered", None, None) for seq, _ in self.held)
         self.held, self.total, self.last_active = [], 0, None
 
+    def flush_in_part(self, now: int, sent: int) -> Iterator[tuple]:
+        """A flush that ends after ``sent`` messages, by a failed send or a cancelled session: what is left stays, in order."""
+        yield from self.evict(now)
+        out, self.held = self.held[:sent], self.held[sent:]
+        yield from ((LEFT, seq, now, "delivered", None, None) for seq, _ in out)
+        self.total -= sum(size for _, size in out)
+        if out:
+            self.last_active = now
+
     def disconnect(self, now: int) -> Iterator[tuple]:
         yield from self.evict(now)
         self.connected = False
 
-    def send(self, seq: int, now: int, size: int) -> Iterator[tuple]:
+    def send(self, seq: int, now: int, size: int, fails: bool = False) -> Iterator[tuple]:
+        """A packet over an open link is delivered; without one, or where its send ``fails``, it waits if there is room."""
         yield from self.evict(now)
-        if self.connected:
+        if self.connected and not fails:
             yield SENT, seq, now, "delivered", 0, 0
             return
         if self.last_active is None:
@@ -75,4 +85,6 @@ class Link:
             return self.connect(now)
         if kind == "disconnect":
             return self.disconnect(now)
-        return self.send(seq, now, size or 0)
+        if kind == "flush_failed":
+            return self.flush_in_part(now, size or 0)
+        return self.send(seq, now, size or 0, kind == "send_failed")

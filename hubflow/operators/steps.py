@@ -25,12 +25,12 @@ def worker_steps(steps: DataFrame) -> DataFrame:
 def with_next(steps: DataFrame) -> DataFrame:
     """P2 and P3. Adds next_step, the step right after, and next_worker, the first step after that has a ref (null: none).
 
-    One sort per pipeline serves both.
+    Both look backwards over the steps in descending order, so a pipeline of any length takes one step a row.
     """
-    w = Window.partitionBy(*KEY).orderBy("pos")
+    w = Window.partitionBy(*KEY).orderBy(F.desc("pos"))
     this = F.struct("pos", "key", *STEP_FIELDS)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
-    return steps.withColumns({"next_step": F.lead(this).over(w), "next_worker": F.first(F.when(F.col("ref").isNotNull(), this), ignorenulls=True).over(after)})
+    after = w.rowsBetween(Window.unboundedPreceding, -1)
+    return steps.withColumns({"next_step": F.lag(this).over(w), "next_worker": F.last(F.when(F.col("ref").isNotNull(), this), ignorenulls=True).over(after)})
 
 
 def next_step(steps: DataFrame) -> DataFrame:

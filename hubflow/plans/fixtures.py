@@ -144,6 +144,14 @@ SQL = {
   UNION ALL SELECT w.run, w.connect_no, w.rn, w.seq, w.size, w.ts, w.next_connect, CASE WHEN w.size > 60 THEN 'oversize' WHEN f.n >= 5 OR f.b + w.size > 60 THEN 'buffer_full' ELSE 'buffered' END,
   f.n + CASE WHEN w.size > 60 OR f.n >= 5 OR f.b + w.size > 60 THEN 0 ELSE 1 END, f.b + CASE WHEN w.size > 60 OR f.n >= 5 OR f.b + w.size > 60 THEN 0 ELSE w.size END
   FROM fold f JOIN waiting w ON w.run = f.run AND w.connect_no = f.connect_no AND w.rn = f.rn + 1""",
+    # the whole state of a link after each of its events: two days to live, looked at every six hours; what a tick takes is in gone
+    "evicting": """SELECT DISTINCT run, CAST(0 AS BIGINT) AS rn, false AS connected, CAST([] AS BIGINT[]) AS held, CAST(0 AS BIGINT) AS bytes, CAST(NULL AS BIGINT) AS active, CAST([] AS BIGINT[]) AS gone, CAST(NULL AS BIGINT) AS due FROM log
+  UNION ALL SELECT run, rn, CASE kind WHEN 'packet' THEN connected ELSE kind = 'connect' END, CASE WHEN kind = 'connect' THEN [] WHEN fits THEN list_append(had, seq) ELSE had END,
+  CASE WHEN kind = 'connect' THEN 0 WHEN fits THEN had_bytes + size ELSE had_bytes END, CASE WHEN kind = 'connect' THEN NULL WHEN fits THEN t WHEN kind = 'packet' AND NOT connected THEN coalesce(had_active, t) ELSE had_active END, gone, due FROM (
+  SELECT *, kind = 'packet' AND NOT connected AND size <= 60 AND len(had) < 5 AND had_bytes + size <= 60 AS fits FROM (
+  SELECT run, rn, kind, seq, size, t, connected, due, CASE WHEN due <= t THEN held ELSE [] END AS gone, CASE WHEN due <= t THEN [] ELSE held END AS had, CASE WHEN due <= t THEN 0 ELSE bytes END AS had_bytes, CASE WHEN due <= t THEN NULL ELSE active END AS had_active FROM (
+  SELECT e.run, e.rn, e.kind, e.seq, e.size, epoch_us(e.ts) AS t, f.connected, f.held, f.bytes, f.active, ((f.active + 172800000000) // 21600000000 + 1) * 21600000000 AS due
+  FROM evicting f JOIN (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts, seq) AS rn FROM log) e ON e.run = f.run AND e.rn = f.rn + 1)))""",
     "sized": """SELECT run, connect_no, ts, seq, next_connect, 'delivered' AS outcome FROM linked WHERE kind = 'packet' AND connected UNION ALL SELECT run, connect_no, ts, seq, next_connect, outcome FROM fold""",
     "paired": """SELECT *, lag(pos) OVER w AS up_pos, lag(key) OVER w AS up_key, lag(name) OVER w AS up_name, lag(ref) OVER w AS up_ref, lag(hubs) OVER w AS up_hubs, lead(name) OVER w AS down_name, lead(ref) OVER w AS down_ref, lead(hubs) OVER w AS down_hubs
   FROM (SELECT *, sum(CASE WHEN ref IS NULL AND type IN ('transform', 'filter') THEN 1 ELSE 0 END) OVER (PARTITION BY pipeline ORDER BY pos) AS hubs FROM steps) WHERE ref IS NOT NULL WINDOW w AS (PARTITION BY pipeline ORDER BY pos)""",
@@ -155,7 +163,7 @@ SQL = {
   FROM paired s JOIN live l ON s.pipeline = l.pipeline WHERE l.phase = 'active') GROUP BY run, pipeline, worker""",
 }
 #: The views that each view needs.
-NEEDS = {"nexts": ["steps"], "located": ["packets", "runs", "steps", "nexts", "workers"], "routed": ["located"], "linked": ["log"], "counted": ["linked"], "waiting": ["linked"], "fold": ["waiting"], "sized": ["linked", "fold"], "paired": ["steps"], "live": ["runs", "pipelines"], "assigned": ["paired", "live"]}
+NEEDS = {"nexts": ["steps"], "located": ["packets", "runs", "steps", "nexts", "workers"], "routed": ["located"], "linked": ["log"], "counted": ["linked"], "waiting": ["linked"], "fold": ["waiting"], "evicting": ["log"], "sized": ["linked", "fold"], "paired": ["steps"], "live": ["runs", "pipelines"], "assigned": ["paired", "live"]}
 
 
 def sql(body: str, *views: str) -> str:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +17,7 @@ from hubflow.operators import resolve, steps, topology, transform
 from hubflow.operators import route as rt
 from hubflow.plans import fixtures as fx
 from hubflow.plans.fixtures import sql
+from hubflow.sources import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,16 +62,11 @@ def _us(c: str) -> F.Column:
 @query("SELECT seq, run, step_id FROM packets", "packets")
 def s1_read_packets(s, d):
     """Packets written as Parquet in the envelope schema and scanned back."""
-    path = f"{_scratch(s)}/packets"
-    fx.packets(s, d).write.mode("overwrite").parquet(path)
+    path = scratch(s, "packets")
+    fx.packets(s, d).write.parquet(path)
     return sources.read_packets(s, path).select("seq", "run", "step_id")
 
 
-def _scratch(s: SparkSession) -> str:
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or tempfile.gettempdir()
-    return f"{base}/hubflow-{s.sparkContext.applicationId}"
-
-
 @query("SELECT seq, run FROM packets WHERE seq % 13 <> 0", "packets")
 def s2_unwrap_packets(s, d):
     p = fx.packets(s, d)
@@ -83,8 +77,8 @@ def s2_unwrap_packets(s, d):
 @query("SELECT outcome, count(*) AS packets FROM routed GROUP BY outcome", "routed")
 def s3_write_routed(s, d):
     """Routed packets written by outcome and counted from the files."""
-    path = f"{_scratch(s)}/routed"
-    _routed(s, d).select("seq", "ts", "run", "target_step", "payload", "outcome").write.mode("overwrite").partitionBy("outcome").parquet(path)
+    path = scratch(s, "routed")
+    _routed(s, d).select("seq", "ts", "run", "target_step", "payload", "outcome").write.partitionBy("outcome").parquet(path)
     return s.read.parquet(path).groupBy("outcome").agg(F.count("*").alias("packets"))
 
 
@@ -357,9 +351,8 @@ def w4_flush_on_connect(s, d):
 EVICT = Limits(5, 60, ttl_s=2 * 86400, every_s=6 * 3600)
 
 
-@query()
+@query("SELECT run, unnest(gone) AS seq, due AS evicted_at FROM evicting", "evicting")
 def w5_evict_idle(s, d):
-    """Feedback of eviction on admission needs the ordered pass; tests replay it."""
     return buf.evict_idle(buf.link_fates(_log(s, d), EVICT)).select("run", "seq", _us("at").alias("evicted_at"))
 
 
@@ -371,11 +364,15 @@ def w6_heartbeat_grid(s, d):
 @query("SELECT run, seq, outcome FROM sized", "sized")
 def w2_stream_links(s, d):
     """The streaming form over the same log, written and read back as a stream that ends when its files do."""
+    path, before = scratch(s, "links"), s.conf.get(streaming.STATE_STORE[0])
+    # a link's rows lie in one file, so a limit on the bytes of a micro-batch never parts them
+    _log(s, d).select(*[c.split()[0] for c in streaming.LOG.split(", ")]).repartition(*buf.LINK).write.parquet(f"{path}/in")
     s.conf.set(*streaming.STATE_STORE)
-    path = f"{_scratch(s)}/links-{uuid.uuid4().hex}"
-    _log(s, d).select(*[c.split()[0] for c in streaming.LOG.split(", ")]).write.parquet(f"{path}/in")
-    fates = streaming.stream_link_fates(streaming.read_log(s, f"{path}/in"), Limits(**CAPS))
-    sources.write_routed(fates, f"{path}/out", checkpoint=f"{path}/checkpoint", by=("event",)).awaitTermination()
+    try:
+        fates = streaming.stream_link_fates(streaming.read_log(s, f"{path}/in"), Limits(**CAPS))
+        sources.write_routed(fates, f"{path}/out", checkpoint=f"{path}/checkpoint", by=("event",)).awaitTermination()
+    finally:
+        s.conf.set(streaming.STATE_STORE[0], before)
     return s.read.parquet(f"{path}/out").where("event = 'sent'").select("run", "seq", "outcome")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,16 @@ from hubflow.names import NAMES, Names
 DEAD = ("unavailable", "internal", "resource_exhausted", "oversize", "buffer_full", "invalid", "late", "evicted")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one that the cluster names; a folder of this machine only where Spark runs on it alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def read_packets(spark: SparkSession, path: str, *, streaming: bool = False, fmt: str = "parquet", layout: str = schema.PACKETS, **options: str) -> DataFrame:
     """S1. Scans packets in the envelope schema; a stream ends when its source does (``availableNow``)."""
     reader = spark.readStream if streaming else spark.read

@@ -59,7 +59,7 @@ class LinkProcessor(StatefulProcessor):
         events: list[tuple] = []
         for seq, kind, size, at in zip(batch["seq"], batch["kind"], batch["size"], batch["at_us"], strict=True):
             if self.lateness is not None and at < latest - self.lateness * 1e6:
-                events += [(SENT, int(seq), int(at), "late", None, None)] if kind == "packet" else []
+                events += [(SENT, int(seq), int(at), "late", None, None)] if kind in ("packet", "send_failed") else []
                 continue
             latest = max(latest, int(at))
             events += link.handle(kind, int(seq), int(at), None if pd.isna(size) else int(size))
@@ -87,8 +87,12 @@ def stream_link_fates(log: DataFrame, limits: Limits = LIMITS, *, lateness_s: fl
     return rows.groupBy(*LINK).transformWithStateInPandas(LinkProcessor(limits, lateness_s), outputStructType=FATES, outputMode="Append", timeMode="EventTime" if timed else "None")
 
 
-def read_log(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    return spark.readStream.schema(LOG).options(**options).parquet(path)
+def read_log(spark: SparkSession, path: str, *, max_bytes: int = 256 << 20, **options: str) -> DataFrame:
+    """A stream over log files; a micro-batch takes files of at most ``max_bytes`` (or one), which bounds a link's rows in it.
+
+    Batches follow the files' times, so a link's files must be written in the order of its events, or be one file.
+    """
+    return spark.readStream.schema(LOG).options(**({"maxBytesPerTrigger": str(max_bytes)} if "maxFilesPerTrigger" not in options else {}) | options).parquet(path)
 
 
 def with_watermark(packets: DataFrame, delay: str = "10 minutes", ts: str = "ts") -> DataFrame:

@@ -179,3 +179,21 @@ def test_metrics_of_deliveries(spark):
     assert (got["0.005"], got["0.1"], got["0.25"], got["10"], got["+Inf"]) == (1, 1, 2, 2, 3)
     pods = spark.createDataFrame([(200,), (300,)], "buffer_size int")
     assert tuple(m.scale_signal(pods).first()) == (250.0, 10)
+
+
+def test_long_link(spark):
+    """One link with 200,000 packets: the next connect is found in one step a row."""
+    n = 200_000
+    log = spark.range(n).select(F.lit("ns").alias("namespace"), F.lit("r").alias("run"), F.lit("s").alias("step"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("seq"), F.when(F.col("id") % 50_000 == 49_999, "connect").when(F.col("id") % 50_000 == 10, "disconnect").otherwise("packet").alias("kind"), F.lit(1).cast("long").alias("size"))
+    rows = buf.with_connection(log)
+    wrong = rows.where("NOT (next_connect <=> CASE WHEN seq < 199999 THEN timestamp_seconds((seq div 50000) * 50000 + 49999) END)")
+    assert rows.count() == n - 8 and wrong.count() == 0
+    assert buf.send_or_buffer(log, 100, None).where("outcome = 'buffered' AND delivered_at IS NOT NULL").count() == 400
+
+
+def test_failed_sends_and_flushes(spark):
+    """A failed send waits, and a flush that ends early keeps what it has not sent, in order, within the limits."""
+    events = [("packet", 4), ("packet", 3), ("packet", 2), ("flush_failed", 0), ("packet", 9), ("flush_failed", 2), ("packet", 8), ("connect", None), ("send_failed", 1), ("packet", 1), ("disconnect", None), ("packet", 5), ("connect", None)]
+    got = buf.link_fates(frame(spark, [("ns", "r", "s", t, t, k, size) for t, (k, size) in enumerate(events)]), Limits(3, 10))
+    assert [o for _, o in sent_of(got)] == ["buffered", "buffered", "buffered", "buffer_full", "buffered", "buffered", "delivered", "buffered"]
+    assert left_of(got) == [(0, 5, "delivered"), (1, 5, "delivered"), (2, 7, "delivered"), (6, 7, "delivered"), (8, 12, "delivered"), (11, 12, "delivered")]
