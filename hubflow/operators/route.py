@@ -17,16 +17,16 @@ from hubflow.operators.transform import apply_transform, definitions
 ERRORS = ("unavailable", "internal", "resource_exhausted")
 
 
-def run_dimension(runs: DataFrame, pipelines: DataFrame, steps: DataFrame, workers: DataFrame) -> DataFrame:
-    """One row per resolved run: pipeline, by_key (a map from step key to pos, next_step, next_worker, is_job).
+def run_dimension(runs: DataFrame, pipelines: DataFrame) -> DataFrame:
+    """One row per resolved run: namespace, run, pipeline; two strings, however long the pipeline is."""
+    known = pipelines.select("namespace", "pipeline").distinct()
+    return runs.select("namespace", "run", "pipeline").dropDuplicates(["namespace", "run"]).join(known, ["namespace", "pipeline"], "left_semi")
 
-    Everything that a decision needs meets here, on the dimension side, so packets are joined and shuffled once.
-    """
-    s = first_by_key(attach_worker_mode(with_next(steps), workers))
-    entry = F.struct("key", F.struct("pos", "next_step", "next_worker", "is_job").alias("at"))
-    maps = s.where("key IS NOT NULL").groupBy("namespace", "pipeline").agg(F.map_from_entries(F.collect_list(entry)).alias("by_key"))
-    known = pipelines.select("namespace", "pipeline").distinct().join(maps, ["namespace", "pipeline"], "left")
-    return runs.select("namespace", "run", "pipeline").dropDuplicates(["namespace", "run"]).join(known, ["namespace", "pipeline"])
+
+def step_dimension(steps: DataFrame, workers: DataFrame) -> DataFrame:
+    """One row per pipeline and step key: pos, next_step, next_worker, is_job. It grows with the definitions, not with their runs."""
+    s = first_by_key(attach_worker_mode(with_next(steps), workers)).where("key IS NOT NULL")
+    return s.select("namespace", "pipeline", F.col("key").alias("step_id"), "pos", "next_step", "next_worker", "is_job")
 
 
 def route(packets: DataFrame, runs: DataFrame, pipelines: DataFrame, workers: DataFrame, *, steps: DataFrame | None = None, names: Names = NAMES, max_inputs: int = MIB) -> DataFrame:
@@ -38,8 +38,9 @@ def route(packets: DataFrame, runs: DataFrame, pipelines: DataFrame, workers: Da
     its link (see ``buffering``). Every packet gets exactly one outcome.
     """
     steps = explode_steps(pipelines) if steps is None else steps
-    d = packets.join(run_dimension(runs, pipelines, steps, workers), ["namespace", "run"], "left").withColumn("at", F.try_element_at("by_key", F.col("step_id")))
-    d = d.withColumns({c: F.col(f"at.{c}") for c in ("pos", "next_step", "next_worker", "is_job")} | {"resolved": F.col("pipeline").isNotNull()}).drop("at", "by_key")
+    # Spark broadcasts either dimension where its size is known to be small enough
+    d = packets.join(run_dimension(runs, pipelines), ["namespace", "run"], "left")
+    d = d.join(step_dimension(steps, workers), ["namespace", "pipeline", "step_id"], "left").withColumn("resolved", F.col("pipeline").isNotNull())
     hb = is_heartbeat("metadata", names)
     due = ~hb & F.col("next_step").isNotNull() & F.col("next_step.ref").isNull() & F.col("next_step.type").eqNullSafe("transform")
     d = d.withColumns({"transform_with": F.col("next_step.with"), "transform_due": due, "target_with": F.col("next_worker.with"), "heartbeat": hb})

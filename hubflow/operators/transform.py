@@ -14,8 +14,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most distinct definitions of one plan.
-MAX_DEFINITIONS = 500
+#: Most distinct definitions of one projection; more are applied in groups.
+GROUP = 500
 TEMPLATE = re.compile(r"^\{\{(.*)\}\}$", re.S)
 REFERENCE = re.compile(r"""('(?:[^'\\]|\\.)*')|\b(?:payload|inputs)((?:\.[A-Za-z_]\w*)+)(?:::([a-z]+))?""")
 FORBIDDEN = re.compile(r"\b(select|rand|randn|uuid|shuffle|random|now|current_\w+|monotonically_increasing_id|java_method|reflect)\b", re.I)
@@ -72,22 +72,35 @@ def compile_definition(with_json: str | None) -> tuple[Column | None, str | None
     return F.when(~failed, F.to_json(F.to_variant_object(F.struct(*values)))), None
 
 
-def definitions(steps: DataFrame, limit: int = MAX_DEFINITIONS) -> list[str | None]:
-    """The distinct definitions of all transform steps; their number is checked before they come to the driver."""
-    rows = steps.where("type = 'transform'").select("with").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} distinct transforms; route pipelines in groups with fewer of them")
+def definitions(steps: DataFrame) -> list[str | None]:
+    """The distinct definitions of all transform steps: as many as have been written, whatever the number of packets."""
+    rows = steps.where("type = 'transform'").select("with").distinct().collect()
     return sorted((r["with"] for r in rows), key=lambda x: (x is not None, x or ""))
 
 
-def apply_transform(df: DataFrame, texts: list[str | None], with_col: str = "transform_with", due: str | Column = "transform_due") -> DataFrame:
+def apply_transform(df: DataFrame, texts: list[str | None], with_col: str = "transform_with", due: str | Column = "transform_due", group: int = GROUP) -> DataFrame:
     """T1, T3, F13. Adds new_payload and transform_error.
 
     Where ``due``, the definition in ``with_col`` makes the payload, evaluated on the payload alone; a failure gives its
     text. Elsewhere the payload passes through. One chained condition picks the compiled definition, all in one
-    projection, without a shuffle or a Python worker.
+    projection, without a shuffle or a Python worker. More than ``group`` definitions are dealt into groups of about that
+    many by a hash of their text; each takes the rows that need it, so every row is transformed once.
     """
     due = F.col(due) if isinstance(due, str) else due
+    if len(texts) <= group:
+        return _apply(df, texts, with_col, due)
+    groups = -(-len(texts) // group)
+    number = lambda text: F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(groups))
+    of = df.sparkSession.createDataFrame([(t,) for t in texts], "t string").select("t", number(F.col("t")).alias("g")).collect()
+    mine = F.when(due, number(F.col(with_col))).otherwise(0)
+    parts = [_apply(df.where(mine == k), [r["t"] for r in of if r["g"] == k], with_col, due) for k in range(groups)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _apply(df: DataFrame, texts: list[str | None], with_col: str, due: Column) -> DataFrame:
     compiled = [(t, *compile_definition(t)) for t in texts]
     payload, error = None, None
     for text, made, wrong in compiled:

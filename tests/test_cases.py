@@ -170,3 +170,15 @@ def test_stream_of_routed_packets(spark, tmp_path):
     sources.write_routed(live, f"{tmp_path}/out", checkpoint=f"{tmp_path}/ck").awaitTermination()
     pick = lambda df: sorted((r.seq, r.outcome, r.payload) for r in df.collect())
     assert pick(spark.read.parquet(f"{tmp_path}/out")) == pick(rt.route(rows, *dims))
+
+
+def test_many_definitions(spark):
+    """More definitions than one projection takes: each packet is transformed once, by its own; others pass through."""
+    texts = [None, "no object", *[f'{{"n":"{{{{ payload.k || \'-{i}\' }}}}"}}' for i in range(2000)]]
+    rows = [(i, t, '{"k":"a"}', i % 5 != 4) for i, t in enumerate(texts)] + [(9000, "unknown", '{"k":"a"}', True), (9001, None, "{}", False)]
+    df = spark.createDataFrame(rows, "i long, transform_with string, payload string, transform_due boolean")
+    got = {r.i: r for r in transform.apply_transform(df, texts, group=100).collect()}
+    assert len(got) == len(rows) and got[0].transform_error.endswith("missing 'with' block") and got[1].transform_error.endswith("not a JSON object")
+    for i, t, payload, due in rows[2:-2]:
+        assert (got[i].new_payload, got[i].transform_error) == (f'{{"n":"a-{i - 2}"}}' if due else payload, None)
+    assert got[9000].transform_error == "evaluation error" and got[9001].new_payload == "{}"
