@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,24 +17,38 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set."""
+    """The shared folder that the cluster names; one of this machine only where none is set and Spark runs on it alone."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Where the rows of frames made by ``cut`` lie.
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """The same rows, computed now, written as Parquet to the shared folder and read from there, with their lineage cut.
 
-    The files go when the driver ends.
+    The files go when the driver ends; those of ``instead_of``, an earlier result of ``cut`` that nothing else reads, go
+    as soon as the new ones are written.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(files)
-    return spark.read.schema(df.schema).parquet(path)
+    store = files.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.deleteOnExit(files)
+    old = _written.pop(instead_of, None) if instead_of is not None else None
+    if old:
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(old), True)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

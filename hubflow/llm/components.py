@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Returns ``node, root``; loops and repeated edges are ignored, an empty input gives no rows. A node's edges never
     meet in one task: its smallest neighbour is found with partial sums, and the join back is one that Spark can split.
-    Each round is cut in the checkpoint folder, so a lost executor costs one round at most.
+    Each round is cut in the checkpoint folder, so a lost executor costs one round at most; a round's table goes once
+    the next is written.
     """
     x, y = F.col(a), F.col(b)
     e = cut(edges.where(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct())
@@ -29,9 +31,34 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(small, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct())
+        e = cut(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), instead_of=e)
         after = _mark(e)
         if after == before:
             break
         before = after
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def local_forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what the given ones connect, fewer than n of them."""
+    up = list(range(n))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    label, out = np.arange(n), []
+    while len(i):  # one link a node and round, so a dense group costs a few vector operations and not one a link
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        keep = low != high
+        i, j, low, high = i[keep], j[keep], low[keep], high[keep]
+        _, one = np.unique(high, return_index=True)
+        for x in one:
+            a, b = root(int(low[x])), root(int(high[x]))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                out.append((int(i[x]), int(j[x])))
+        label = np.array([root(x) for x in range(n)])
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hubflow.llm.common import cut
-from hubflow.llm.components import connected_components
+from hubflow.llm.components import connected_components, local_forest
 
 #: Independent product codes.
 CODES = 4
@@ -182,31 +182,6 @@ def _linked(unit: np.ndarray, passed: list[np.ndarray], this: int, least: float,
     return i[~seen], j[~seen]
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what the given ones connect, fewer than n of them."""
-    up = list(range(n))
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    label, out = np.arange(n), []
-    while len(i):  # one link a node and round, so a dense group costs a few vector operations and not one a link
-        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
-        keep = low != high
-        i, j, low, high = i[keep], j[keep], low[keep], high[keep]
-        _, one = np.unique(high, return_index=True)
-        for x in one:
-            a, b = root(int(low[x])), root(int(high[x]))
-            if a != b:
-                up[max(a, b)] = min(a, b)
-                out.append((int(i[x]), int(j[x])))
-        label = np.array([root(x) for x in range(n)])
-    return out
-
-
 def usable(vector: Column) -> Column:
     """True for vectors that can link: not null, not zero, all components finite."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -303,7 +278,7 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.95, id_col: str = "vec_
         a, b = _linked(unit, part["dense"].tolist(), key[0], least, part["mine"].to_numpy(), key[1] != key[2])
         links = np.bincount(a, size[b], len(ids)) + np.bincount(b, size[a], len(ids))
         hit = np.flatnonzero(links)
-        edges = _forest(len(ids), a, b)
+        edges = local_forest(len(ids), a, b)
         nodes = [*ids[hit].tolist(), *[int(ids[x]) for x, _ in edges]]
         others = pd.array([*[None] * len(hit), *[int(ids[y]) for _, y in edges]], "Int64")
         return pd.DataFrame({"a": nodes, "b": others, "n": [*links[hit].astype(int).tolist(), *[0] * len(edges)]})
