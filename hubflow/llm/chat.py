@@ -21,13 +21,20 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def chain(rows: DataFrame, tree: str, order: str) -> DataFrame:
-    """Rows by turn as a tree: adds node (place in the conversation, from 0) and parent (the place before; null at first).
+def keyed(rows: DataFrame) -> DataFrame:
+    """Adds tree_key and tree_none, which name a tree as ``tree`` does but are never null: plain equality joins on them."""
+    if "tree_key" in rows.columns:
+        return rows
+    return rows.withColumns({"tree_key": F.coalesce(F.col("tree").cast("string"), F.lit("")), "tree_none": F.col("tree").isNull()})
 
-    The place of a row is the number of rows before it, by turn, then by role and text (nulls first).
+
+def chain(rows: DataFrame, order: str) -> DataFrame:
+    """Rows by turn as trees: adds node (place in the conversation, from 0) and parent (the place before; null at first).
+
+    The place of a row is the number of rows of its tree before it, by turn, then by role and text (nulls first).
     """
-    before = Window.partitionBy(tree).orderBy(F.col(order).asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return rows.withColumn("node", F.row_number().over(before).cast("long") - 1).withColumn("parent", F.when(F.col("node") > 0, F.col("node") - 1))
+    before = Window.partitionBy("tree_key", "tree_none").orderBy(*[F.col(c).asc_nulls_first() for c in (order, "role", "text") if c in rows.columns])
+    return keyed(rows).withColumn("node", F.row_number().over(before).cast("long") - 1).withColumn("parent", F.when(F.col("node") > 0, F.col("node") - 1))
 
 
 def branches(nodes: DataFrame, best: int | None = 1) -> DataFrame:
@@ -50,9 +57,9 @@ def branches(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     while not jump.isEmpty():
         p, j = paths.alias("p"), jump.alias("j")
         longer = p.join(j, F.expr("p.tree <=> j.tree AND p.node = j.node")).select("p.tree", "p.leaf", (F.col("p.up") + step).alias("up"), F.col("j.above").alias("node"))
-        paths = cut(paths.unionByName(longer))
+        paths = cut(paths.unionByName(longer), instead_of=paths)
         a, b = jump.alias("a"), jump.alias("b")
-        jump = cut(a.join(b, F.expr("a.tree <=> b.tree AND a.above = b.node")).select("a.tree", "a.node", "b.above"))
+        jump = cut(a.join(b, F.expr("a.tree <=> b.tree AND a.above = b.node")).select("a.tree", "a.node", "b.above"), instead_of=jump)
         step *= 2
     q, s = paths.alias("q"), n.alias("s")
     scored = q.join(s, F.expr("q.tree <=> s.tree AND q.node = s.node")).groupBy("q.tree", "q.leaf").agg(F.avg("s.score").alias("score"))
@@ -63,29 +70,38 @@ def branches(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     return q.join(c, F.expr("q.tree <=> c.tree AND q.leaf = c.leaf")).select("q.tree", "q.leaf", "c.rank", "q.up", "q.node")
 
 
-def format_branches(nodes: DataFrame, best: int | None = 1) -> DataFrame:
+def format_branches(nodes: DataFrame, best: int | None = 1, skeleton: DataFrame | None = None) -> DataFrame:
     """Each chosen path as one conversation: tree, leaf, rank, formatted, loss (array of start, length in code points).
 
-    ``nodes``: tree, node, parent, score, role, text; node is unique within its tree. A turn is written as
+    ``nodes``: tree, node, parent, score, role, text; node is unique within its tree. ``skeleton``: the same without
+    role and text, where these rows can be made for less. A turn is written as
     ``<|im_start|>role LF text<|im_end|> LF`` with role and text escaped reversibly; the loss mask holds the texts of
     assistant turns. Null roles and texts are empty ones; a null tree is a tree of its own; an empty table gives no rows.
+
+    Paths are found without texts. Then the texts of each tree's chosen nodes meet once, by tree, and all that follows
+    (picking the turns of each path, their places by a running sum, the text) stays where they met.
     """
-    p, n = branches(nodes, best).alias("p"), nodes.alias("n")
-    turns = p.join(n, F.expr("p.tree <=> n.tree AND p.node = n.node")).select(
-        "p.tree", "p.leaf", "p.rank", (-F.col("p.up")).alias("at"),
-        F.coalesce("n.role", F.lit("")).alias("role"), escape(F.coalesce("n.text", F.lit(""))).alias("body"),
-    )
-    head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
-    row = F.struct("at", head.alias("head"), F.concat("body", F.lit(f"{END}\n")).alias("tail"), (F.col("role") == "assistant").alias("loss"))
-    whole = turns.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(row)).alias("turns"))
-    # where each text starts: the running sum of the turns before it, by a window over exploded lengths
-    lengths = turns.select("tree", "leaf", "at", F.length(head).alias("h"), F.length("body").alias("b"), (F.col("role") == "assistant").alias("loss"))
-    w = Window.partitionBy("tree", "leaf").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("h") + F.col("b") + F.lit(len(END) + 1)).over(w), F.lit(0)) + F.col("h")
-    spans = lengths.select("tree", "leaf", "at", "loss", start.cast("long").alias("start"), F.col("b").cast("long").alias("length")).where("loss").groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("loss"))
-    f, s = whole.alias("f"), spans.alias("s")
-    text = F.array_join(F.transform("f.turns", lambda t: F.concat(t["head"], t["tail"])), "")
-    return f.join(s, F.expr("f.tree <=> s.tree AND f.leaf = s.leaf"), "left").select("f.tree", "f.leaf", "f.rank", text.alias("formatted"), F.coalesce("s.loss", F.array().cast("array<struct<start:bigint,length:bigint>>")).alias("loss"))
+    tree = ["tree_key", "tree_none"]
+    slim = cut(keyed((nodes if skeleton is None else skeleton).select("tree", "node", "parent", "score")))
+    paths = cut(keyed(branches(slim, best)))
+    on_paths = cut(paths.select(*tree, "node").distinct())
+    at = F.row_number().over(Window.partitionBy(*tree).orderBy("node")) - 1
+    steps = F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "i"))).alias("steps")
+    chosen = paths.join(on_paths.withColumn("i", at), [*tree, "node"]).groupBy(*tree, "leaf", "rank").agg(steps)
+    full = keyed(nodes)
+    if on_paths.count() < slim.count():
+        full = full.join(on_paths, [*tree, "node"], "left_semi")
+    said = F.struct("node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = full.groupBy(*tree).agg(F.first("tree").alias("tree"), F.array_sort(F.collect_list(said)).alias("said"))
+    turns = texts.join(chosen, tree).select(*tree, "tree", "leaf", "rank", F.explode(F.transform("steps", lambda x: F.struct(x["at"].alias("at"), F.get("said", x["i"]).alias("t")))).alias("x"))
+    head = F.concat(F.lit(START), F.replace(escape(F.col("x.t.role")), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
+    turns = turns.select(*tree, "tree", "leaf", "rank", "x.at", head.alias("head"), escape(F.col("x.t.text")).alias("body"), (F.col("x.t.role") == "assistant").alias("loss"))
+    before = Window.partitionBy(*tree, "leaf").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("head") + F.length("body") + F.lit(len(END) + 1)).over(before), F.lit(0)) + F.length("head")
+    turns = turns.withColumn("span", F.when(F.col("loss"), F.struct(start.cast("long").alias("start"), F.length("body").cast("long").alias("length"))))
+    turn = F.struct("at", F.concat("head", "body", F.lit(f"{END}\n")).alias("text"))
+    whole = turns.groupBy(*tree, "leaf", "rank").agg(F.first("tree").alias("tree"), F.array_sort(F.collect_list(turn)).alias("turns"), F.array_sort(F.collect_list("span")).alias("loss"))
+    return whole.select("tree", "leaf", "rank", F.array_join("turns.text", "").alias("formatted"), "loss")
 
 
 def read_turns(formatted: Column) -> Column:

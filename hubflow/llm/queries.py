@@ -48,8 +48,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = f"{chat.END}{chat.START}assistant ok"
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("tree"), "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("tree"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    nodes = chat.chain(rows.unionByName(extra), "tree", "turn").withColumn("score", F.lit(0.0))
-    made = chat.format_branches(nodes).withColumn("turns", chat.read_turns(F.col("formatted")))
+    rows = rows.unionByName(extra)
+    scored = lambda df: chat.chain(df, "turn").withColumn("score", F.lit(0.0))
+    # a chain's places are the numbers from 0, whatever breaks ties, so its skeleton needs no texts
+    made = chat.format_branches(scored(rows), skeleton=scored(rows.select("tree", "turn"))).withColumn("turns", chat.read_turns(F.col("formatted")))
     under = F.array_join(chat.read_loss(F.col("formatted"), F.col("loss")), "")
     return made.select(
         F.col("tree").alias("conv_id"),
