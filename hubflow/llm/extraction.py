@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,9 @@ from hubflow.llm.common import cut, whole
 
 #: Fixed values of HTML: elements without content, without text to read, and those that end a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|head|audio|video"
+SILENT = frozenset("script style title textarea noscript template svg math iframe object canvas select head audio video".split())
+#: Of these, the ones whose content is no markup: without an end tag they last to the end of the page.
+RAW = frozenset("script style title textarea".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: End tags that authors leave out: their elements are not tracked.
 LOOSE = frozenset("p li dt dd b i em strong u s a span font small big tt code br option tr td th thead tbody tfoot colgroup".split())
@@ -29,38 +32,77 @@ ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
 
-TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({SILENT})\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S | re.I)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: Words that make a class name one of a state ("has-sidebar", "comments-open") and not of a part of the page.
+STATE_WORDS = frozenset("has with without no not is open closed enabled disabled free".split())
+
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"""[\s/]*+(?:([^\s=>/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?|=)?""")
+END_TAG = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in SILENT}
+NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+PARTS = re.compile(r"[^a-z0-9]+")
 
 #: What structure says of a line.
 OUTSIDE, ARTICLE, ASIDE_LINE = 0, 1, 2
+#: Pairs of equal lines up to which lines are aligned directly.
+FEW = 20_000
 #: Pages of a range of addresses that are sorted and paired together; a range has more where there would be more than RANGES.
 PAIRED = 200
 RANGES = 2000
 
 
-def _apart(name: str, attributes: str, in_article: bool) -> bool:
+def _apart(name: str, attributes: dict[str, str], in_article: bool) -> bool:
+    """True for elements that hold what is not the article.
+
+    A class or id counts by its words, but not if it names a state; on ``article`` and ``main`` only as a whole, and on
+    the page's root elements not at all.
+    """
     if name in ASIDE or name == "header" and not in_article:
         return True
     if not attributes:
         return False
-    for key, raw in ATTRIBUTE.findall(attributes):
-        key, v = key.lower(), raw.strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and v == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v):
-            return True
-        if key == "role" and v in ASIDE_ROLES:
-            return True
-        if key in ("class", "id") and (not ASIDE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", v)) or not in_article and "header" in re.split(r"[^a-z0-9]+", v)):
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or NOT_SHOWN.search(attributes.get("style", "")) or attributes.get("role") in ASIDE_ROLES:
+        return True
+    if name in ("html", "body"):
+        return False
+    for token in (attributes.get("class", "") + " " + attributes.get("id", "")).split():
+        words = {token} if name in ("article", "main") else set(PARTS.split(token))
+        if not words & STATE_WORDS and (words & ASIDE_WORDS or not in_article and "header" in words):
             return True
     return False
 
 
+def _tag_end(html: str, at: int) -> tuple[int, dict[str, str], bool]:
+    """Where a tag ends whose name ends at ``at`` (-1: nowhere), its attributes in lower case, and whether it closes itself.
+
+    A ``>`` inside a quoted value is no end. Attributes are read once from left to right, so the time is linear: a quote
+    without a partner is looked for in vain only where no such quote follows.
+    """
+    end = html.find(">", at)
+    if end < 0 or "=" not in (between := html[at:end]):
+        return end, {"hidden": ""} if end >= 0 and "hidden" in between.lower().split() else {}, end > 0 and html[end - 1] == "/"
+    found: dict[str, str] = {}
+    while at < len(html):
+        if html[at] == ">":
+            return at, found, html[at - 1] == "/"
+        m = ATTRIBUTE.match(html, at)
+        if m[1]:
+            found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+        at = m.end()
+    return -1, found, False
+
+
 def lines_of(html: str) -> tuple[list[str], list[int]]:
-    """The lines of text of a page, and for each whether it lies in the article, apart from it, or in neither."""
+    """The lines of text of a page, and for each whether it lies in the article, apart from it, or in neither.
+
+    Reads the page once from left to right. A tag that the page's end cuts off is no text; elements without text to
+    read are skipped to their end tags, or, without one, only their tags are (but see ``RAW``).
+    """
     lines: list[str] = []
     kinds: list[int] = []
     words: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements, each with the kind outside it
+    open_: dict[str, int] = defaultdict(int)
+    endless: set[str] = set()
     kind, at = OUTSIDE, 0
 
     def end_line() -> None:
@@ -71,39 +113,64 @@ def lines_of(html: str) -> tuple[list[str], list[int]]:
                 lines.append(line)
                 kinds.append(kind)
 
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            words.append(html[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
-        if not name:
+    while (tag := html.find("<", at)) >= 0:
+        closing = html.startswith("/", tag + 1)
+        m = NAME.match(html, tag + 1 + closing)
+        if not m:
+            declaration = html.startswith(("<!", "<?", "</"), tag)
+            words.append(html[at : tag if declaration else tag + 1])
+            if not declaration:
+                at = tag + 1
+                continue
+            mark = "-->" if html.startswith("<!--", tag) else ">"
+            end = html.find(mark, tag + 2)
+            at = len(html) if end < 0 else end + len(mark)
+            continue
+        words.append(html[at:tag])
+        name = m[0].lower()
+        end, attributes, closed = _tag_end(html, m.end())
+        at = len(html) if end < 0 else end + 1
+        if end < 0:
+            break
+        if name in SILENT and not closing:
+            if not (closed and name in ("svg", "math")) and name not in endless:
+                over = END_TAG[name].search(html, at)
+                if over:
+                    at = over.end()
+                elif name in RAW:
+                    at = len(html)
+                else:
+                    endless.add(name)
             continue
         if name == "br":
             words.append(" ")
         if name in BLOCK:
             end_line()
-        if name in VOID or name in LOOSE and not (m[4] and not m[2] and kind != ASIDE_LINE and _apart(name, m[4], kind == ARTICLE)) and all(n != name for n, _ in stack):
+        if name in VOID or name in LOOSE and not (attributes and not closing and kind != ASIDE_LINE and _apart(name, attributes, kind == ARTICLE)) and not open_[name]:
             continue
-        if m[2]:
-            if any(n == name for n, _ in stack):
+        if closing:
+            if open_[name]:
                 while True:
                     end_line()
                     n, kind = stack.pop()
+                    open_[n] -= 1
                     if n == name:
                         break
-        elif not m[4].endswith("/"):
+        elif not closed:
             if name in LOOSE:  # a marked element, or one inside it of the same name
                 end_line()
             stack.append((name, kind))
-            if kind != ASIDE_LINE:
-                kind = ASIDE_LINE if _apart(name, m[4], kind == ARTICLE) else ARTICLE if name in ("article", "main") or re.search(r"\brole\s*=\s*[\"']?main\b", m[4]) else kind
+            open_[name] += 1
+            main = name == "main" or attributes.get("role") == "main"
+            if kind != ASIDE_LINE or main:  # a page has one main part, whatever its surroundings are called
+                kind = ASIDE_LINE if _apart(name, attributes, kind == ARTICLE) else ARTICLE if main or name == "article" else kind
     words.append(html[at:])
     end_line()
     return lines, kinds
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence of lines (Hunt and Szymanski, 1977)."""
+def _few_matches(a: list[str], b: list[str], first: int, found: set[int]) -> None:
+    """Hunt and Szymanski (1977): time follows the number of equal pairs."""
     where = defaultdict(list)
     for j, x in enumerate(b):
         where[x].append(j)
@@ -112,16 +179,58 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     for i, x in enumerate(a):
         for j in reversed(where.get(x, ())):
             k = bisect_left(ends, j)
-            link = (i, chain[k - 1] if k else None)
+            link = (first + i, chain[k - 1] if k else None)
             if k == len(ends):
                 ends.append(j)
                 chain.append(link)
             elif ends[k] != j:
                 ends[k], chain[k] = j, link
-    found, link = set(), chain[-1] if chain else None
+    link = chain[-1] if chain else None
     while link:
         found.add(link[0])
         link = link[1]
+
+
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """For each prefix of ``b`` the length of its longest common subsequence with ``a``; a word of bits at a time (Hyyro, 2004)."""
+    bits: dict[str, int] = defaultdict(int)
+    for j, x in enumerate(b):
+        bits[x] |= 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        u = v & bits.get(x, 0)
+        v = (v + u | v - u) & full
+    zeros = 1 - np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)].astype(np.int64)
+    return np.concatenate([[0], np.cumsum(zeros)])
+
+
+def common_lines(a: list[str], b: list[str]) -> set[int]:
+    """Places in ``a`` of a longest common subsequence of lines.
+
+    Equal ends are taken first. Where few lines are equal the rest is found directly; else ``a`` is halved and ``b`` cut
+    where the halves share most (Hirschberg, 1975), so a page of very many equal lines takes little time and memory.
+    """
+    found: set[int] = set()
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and a[i] == b[j]:
+            found.add(i)
+            i, j = i + 1, j + 1
+        while i < n and j < m and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+            found.add(n)
+        if i == n or j == m:
+            continue
+        times = Counter(b[j:m])
+        if n - i == 1 or sum(times[x] for x in a[i:n]) <= FEW:
+            _few_matches(a[i:n], b[j:m], i, found)
+            continue
+        half = (i + n) // 2
+        total = _lengths(a[i:half], b[j:m]) + _lengths(a[half:n][::-1], b[j:m][::-1])[::-1]
+        cut_at = j + int(np.argmax(total))
+        todo += [(i, half, j, cut_at), (half, n, cut_at, m)]
     return found
 
 
