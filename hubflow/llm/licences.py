@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hubflow.llm.common import ascii_lower, cut, split_words, whole
@@ -15,19 +15,51 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The phrases of the contract and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Sentences by which the licences' own texts name themselves, public wording.
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-by": "This work is licensed under a Creative Commons Attribution International License",
-    "cc-by-nc": "Licensed under CC BY-NC 4.0",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "gpl-notice": "This program is free software you can redistribute it and or modify it under the terms of the GNU General Public License",
-    "mit-grant": "Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-    "mit-released": "Released under the MIT License",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-}
-#: Least share of a template's words that a block must hold; a block is at most 1 / CONTAINMENT times as long as the template.
+#: Public licence texts, their notices for files, and sentences that name a licence; a label may have several.
+TEMPLATES = (
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in
+writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or
+implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions
+in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution."""),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+are met"""),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution International License"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("gpl-notice", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the
+hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+the GNU General Public License for more details."""),
+    ("gpl-notice", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+the above copyright notice and this permission notice appear in all copies."""),
+    ("lgpl-notice", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License
+as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."""),
+    ("mit-grant", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following
+conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE
+SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+THE SOFTWARE."""),
+    ("mit-grant", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"""),
+    ("mit-released", "Released under the MIT License"),
+    ("mpl-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell,
+or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to
+alter it and redistribute it freely, subject to the following restrictions"""),
+)
+#: Least share of a template's word pairs that a block must hold; a block is at most 1 / CONTAINMENT times as long as the template.
 CONTAINMENT = 0.8
 
 
@@ -55,67 +87,82 @@ def _places(words: Column, phrase: str, label: str) -> Column:
 
 
 def least_shared(size: Column, threshold: float) -> Column:
-    """Words of a template of ``size`` words that a block must hold."""
+    """Word pairs of a template of ``size`` pairs that a block must hold."""
     return F.greatest(F.lit(1), F.ceil(size * F.lit(threshold) - F.lit(1e-9))).cast("int")
 
 
-def template_index(templates: DataFrame, frequencies: DataFrame, threshold: float) -> DataFrame:
-    """One row per prefix word of each template: prefix_word, label, words (rarest first), least, length.
+def word_pairs(words: str) -> Column:
+    """Array of (at, pair): each two neighbouring words as one token, and the place of the first; ``words`` names an array column."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    beside = F.arrays_zip(F.slice(words, F.lit(1), n).alias("a"), F.slice(words, F.lit(2), n).alias("b"))
+    return F.transform(beside, lambda r, i: F.struct(i.alias("at"), F.concat_ws(" ", r["a"], r["b"]).alias("pair")))
 
-    A block that holds ``least`` of the words holds one of the first size - least + 1, the template's prefix.
+
+def template_sets(spark: SparkSession, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
+    """Per template: t, label, words (distinct), pairs (distinct), length (most words of a block), least (pairs that a block must hold)."""
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(templates)], "t int, label string, body string")
+    rows = rows.select("t", "label", words_of(ascii_lower(F.col("body"))).alias("all")).where(F.size("all") > 1)
+    sets = rows.select("t", "label", F.array_distinct("all").alias("words"), F.array_distinct(F.transform(word_pairs("all"), lambda x: x["pair"])).alias("pairs"), F.floor(F.size("all") / F.lit(threshold) + F.lit(1e-9)).cast("int").alias("length"))
+    return sets.withColumn("least", least_shared(F.size("pairs"), threshold))
+
+
+def template_index(sets: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """One row per prefix pair of each template: prefix_pair, t.
+
+    Pairs are in one global order, by the documents that hold the rarer of the two words and so at most the pair, the
+    rarest first. A block that holds ``least`` of the pairs holds one of the first size - least + 1, the template's prefix.
     """
-    ranked = templates.select("label", "length", F.explode("set").alias("word")).join(frequencies, "word", "left")
-    ordered = ranked.groupBy("label", "length").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("o")).select("label", "length", F.col("o.word").alias("words"))
-    sized = ordered.withColumn("least", least_shared(F.size("words"), threshold))
-    return sized.select("label", "length", "words", "least", F.explode(F.slice("words", F.lit(1), F.size("words") - F.col("least") + 1)).alias("prefix_word"))
+    ranked = sets.select("t", "least", F.explode("pairs").alias("pair")).withColumn("word", F.explode(F.split("pair", " "))).join(frequencies, "word", "left")
+    ranked = ranked.groupBy("t", "least", "pair").agg(F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    ordered = ranked.groupBy("t", "least").agg(F.array_sort(F.collect_list(F.struct("n", "pair"))).alias("o"))
+    return ordered.select("t", F.explode(F.slice("o.pair", F.lit(1), F.size("o") - F.col("least") + 1)).alias("prefix_pair"))
 
 
-def similar_blocks(held: DataFrame, key: list[str], templates: DataFrame, frequencies: DataFrame, known: list[str], longest: int, threshold: float) -> DataFrame:
-    """Every pair of a text and a template of which one of its blocks holds at least ``threshold``: key, label, containment.
+def similar_blocks(held: DataFrame, key: list[str], sets: DataFrame, frequencies: DataFrame, known: list[str]) -> DataFrame:
+    """Every text and template of which one of its blocks holds at least ``least`` pairs: key, label, containment.
 
-    A block is a run of consecutive words, whatever lies between them, of at most ``length`` words of the template;
-    ``longest`` is the largest length. So wrapped text is found, and words that are strewn over a long line are not.
+    A block is a run of consecutive words, whatever lies between them, of at most ``length`` words of the template. So
+    wrapped text is found, and neither words strewn over a long line nor the same words in another order are.
 
-    ``held``: key, low (a text in lower case). Texts are reduced to words of templates and their places, as no other
-    word can be shared. A block meets a template on a word of the template's prefix, its rarest words in the global
-    order (prefix filter), if at least ``least`` of the template's words lie around it (length filter); what remains is
-    counted exactly. The template side is as large as the ``templates`` argument, whatever the corpus, so it is broadcast.
+    ``held``: key, low (a text in lower case). Texts are reduced to the pairs of templates (``known``) and their places,
+    as no other pair can be shared. A text meets a template on a pair of the template's prefix (prefix filter) if it has
+    ``least`` of its pairs in all (length filter); then for each place the distinct pairs of the block that begins there
+    are counted (positional filter: only places within the block's length are looked at). The template side is as large
+    as the ``templates`` argument, whatever the corpus, so it is broadcast.
     """
-    index = F.broadcast(template_index(templates, frequencies, threshold))
     cut_up = held.select(*key, words_of(F.col("low")).alias("all_words"))
-    placed = cut_up.select(*key, F.filter(F.transform("all_words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].isin(known)).alias("hits"))
-    # words stand at places of their own, so as many neighbours as a block has words are enough
-    around = F.transform("hits", lambda x, i: F.struct(x["at"].alias("at"), x["word"].alias("prefix_word"), F.slice("hits", F.greatest(i - (longest - 2), F.lit(1)), F.lit(2 * longest - 1)).alias("near")))
-    met = placed.select(*key, F.explode(around).alias("x")).select(*key, "x.*").join(index, "prefix_word")
-    of = F.filter("near", lambda x: F.array_contains("words", x["word"]) & (F.abs(x["at"] - F.col("at")) < F.col("length")))
-    met = met.select(*key, "label", "words", "least", "length", of.alias("own")).where(F.size("own") >= F.col("least"))
-    block = lambda first: F.filter("own", lambda x: (x["at"] >= first["at"]) & (x["at"] < first["at"] + F.col("length")))
-    held_words = F.transform("own", lambda first: F.size(F.array_distinct(F.transform(block(first), lambda x: x["word"]))))
-    shared = met.select(*key, "label", F.size("words").alias("size"), F.array_max(held_words).alias("shared"), "least")
-    return shared.where("shared >= least").select(*key, "label", (F.col("shared") / F.col("size")).alias("containment")).distinct()
-
-
-def scan_licences(docs: DataFrame, *, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, threshold: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    placed = cut(cut_up.select(*key, F.filter(word_pairs("all_words"), lambda x: x["pair"].isin(known)).alias("hits")))
+    # rows may share a key: equal texts share their results
+    placed = placed.dropDuplicates(key)
+    met = placed.select(*key, F.explode(F.array_distinct("hits.pair")).alias("prefix_pair")).join(F.broadcast(template_index(sets, frequencies)), "prefix_pair").select(*key, "t").distinct()
+    p, m = placed.alias("p"), met.alias("m")
+    both = p.join(m, F.expr(" AND ".join(f"p.{k} <=> m.{k}" for k in key))).select("p.*", "m.t").join(F.broadcast(sets.select("t", "label", "pairs", "least", "length")), "t")
+    own = both.select(*key, "label", "pairs", "least", "length", F.filter("hits", lambda x: F.array_contains("pairs", x["pair"])).alias("own")).where(F.size(F.array_distinct("own.pair")) >= F.col("least"))
+    # pairs stand at places of their own, so as many as a block has words are enough
+    block = lambda x, i: F.filter(F.slice("own", i + 1, F.col("length")), lambda y: y["at"] < x["at"] + F.col("length") - 1)
+    most = F.array_max(F.transform("own", lambda x, i: F.size(F.array_distinct(F.transform(block(x, i), lambda y: y["pair"])))))
+    shared = own.select(*key, "label", F.size("pairs").alias("size"), most.alias("shared"), "least")
+    return shared.where("shared >= least").select(*key, "label", (F.col("shared") / F.col("size")).alias("containment"))
+
+
+def scan_licences(docs: DataFrame, *, phrases: Mapping[str, str] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base labels are those of phrases whose words stand consecutively; places are counted for each phrase, and
     first_word and last_word are their smallest and largest start. ``labels`` adds those of templates of which a
     block (a run of words at most 1 / ``threshold`` times as long as the template, line feeds or not) holds at least
-    ``threshold`` of the distinct words. score: the largest such share, 1 where a phrase stands, else 0.
+    ``threshold`` of the distinct word pairs. score: the largest such share, 1 where a phrase stands, else 0.
 
     The corpus is read and cut into words once: each text leaves its places, its words that occur in templates, and,
-    only if it holds enough words of some template for one of its blocks to match, the text. Words are ordered by the
-    number of documents of the whole corpus that have them; the join then works on what was left.
+    only if it holds enough words of some template for one of its blocks to match, the text. Words are counted over the
+    documents of the whole corpus, and that orders their pairs; the join then works on what was left.
 
     Nulls: a null text is empty; a null id stays null. No place gives null first_word and last_word, no label gives ''.
     Rows that repeat an id and a text share their results; other columns are ignored.
     """
-    spark = docs.sparkSession
-    sets = spark.createDataFrame(list(templates.items()), "label string, body string").select("label", words_of(ascii_lower(F.col("body"))).alias("all"))
-    sets = sets.select("label", F.array_distinct("all").alias("set"), F.floor(F.size("all") / F.lit(threshold) + F.lit(1e-9)).cast("int").alias("length"))
+    sets = template_sets(docs.sparkSession, templates, threshold)
     rules = sets.collect()  # as large as the argument
-    of = [r.set for r in rules]
-    names = sorted({w for t in of for w in t})
+    names = sorted({w for r in rules for w in r["words"]})
     known = F.array(*[F.lit(w) for w in names]).cast("array<string>")
     base = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).select("doc_id", F.xxhash64("text").alias("key"), ascii_lower(F.col("text")).alias("low"))
     cut_up = base.withColumn("words", words_of(F.col("low")))
@@ -127,11 +174,11 @@ def scan_licences(docs: DataFrame, *, phrases: Mapping[str, str] = PHRASES, temp
     none = F.array().cast("array<struct<start:bigint,label:string>>")
     own = cut_up.select("doc_id", "key", "low", F.size("words").cast("long").alias("n_words"), F.when(may, phrase_places("words", phrases) if phrases else none).otherwise(none).alias("places"), F.array_intersect("words", known).alias("set"))
     enough = F.lit(False)
-    for t in of:
-        enough = enough | (F.size(F.array_intersect(F.array(*[F.lit(w) for w in t]).cast("array<string>"), F.col("set"))) >= least_shared(F.lit(len(t)), threshold))
+    for r in rules:  # a missing pair costs a block one word at most
+        enough = enough | (F.size(F.array_intersect(F.array(*[F.lit(w) for w in r["words"]]), F.col("set"))) >= len(r["words"]) - (len(r["pairs"]) - r["least"]))
     rows = cut(own.withColumn("low", F.when(enough, F.col("low"))))
     frequencies = cut(rows.select(F.explode("set").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
-    found = similar_blocks(rows.where("low IS NOT NULL").select("doc_id", "key", "low"), ["doc_id", "key"], sets, frequencies, names, max([r.length for r in rules], default=1), threshold)
+    found = similar_blocks(rows.where("low IS NOT NULL").select("doc_id", "key", "low"), ["doc_id", "key"], sets, frequencies, sorted({x for r in rules for x in r["pairs"]}))
     r, d = rows.drop("low", "set").alias("r"), found.groupBy("doc_id", "key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("most")).alias("d")
     rows = r.join(d, F.expr("r.doc_id <=> d.doc_id AND r.key = d.key"), "left").select("r.*", F.coalesce("d.more", F.array().cast("array<string>")).alias("more"), F.coalesce("d.most", F.lit(0.0)).alias("most"))
     starts, labels = F.col("places.start"), F.array_distinct(F.col("places.label"))

@@ -103,6 +103,31 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 3) AS ta
   CAST(whole + CASE WHEN rest > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END AS BIGINT) AS copies, source FROM o
 """
 
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP5_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, {_WORDS}) AS w FROM documents),
+p AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licences.PHRASES.items())}) x(phrase, label)),
+e AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d),
+n AS (SELECT *, lead(word) OVER v AS word2, lead(word, 2) OVER v AS word3 FROM e WINDOW v AS (PARTITION BY r ORDER BY pos)),
+b AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(label) AS labels FROM n JOIN p ON p[1] = word AND p[2] = word2 AND (len(p) = 2 OR p[3] = word3) GROUP BY r),
+t AS (SELECT t, label, regexp_extract_all({_LOW.format("body")}, {_WORDS}) AS w FROM (VALUES {", ".join(f"({i}, {_quoted(a)}, {_quoted(b)})" for i, (a, b) in enumerate(licences.TEMPLATES))}) x(t, label, body)),
+u AS (SELECT DISTINCT t, label, len(w) AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pair FROM t),
+l AS (SELECT t, label, any_value(floor(n / {licences.CONTAINMENT} + 1e-9)) AS length, count(*) AS size FROM u GROUP BY t, label),
+h AS (SELECT n.r, u.t, l.label, l.length, l.size, u.pair, n.pos FROM n JOIN u ON u.pair = n.word || ' ' || n.word2 JOIN l ON l.t = u.t),
+c AS (SELECT a.r, a.t, a.label, a.size, count(DISTINCT o.pair) AS shared FROM h a JOIN h o ON o.r = a.r AND o.t = a.t AND o.pos >= a.pos AND o.pos < a.pos + a.length - 1 GROUP BY a.r, a.t, a.label, a.size, a.pos),
+m AS (SELECT r, list(label) AS labels, max(shared / size) AS most FROM c WHERE shared >= greatest(1, ceil(size * {licences.CONTAINMENT} - 1e-9)) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(list_distinct(b.labels)), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,
+  CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(most, 0) END AS DOUBLE) AS score FROM d LEFT JOIN b ON b.r = d.r LEFT JOIN m ON m.r = d.r
+"""
+
 OP7_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
@@ -133,4 +158,4 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op7_chat": OP7_SQL, "op8_embeddings": OP8_SQL, "op10_exact": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op5_licences": OP5_SQL, "op7_chat": OP7_SQL, "op8_embeddings": OP8_SQL, "op10_exact": OP10_SQL}
