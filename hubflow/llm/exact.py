@@ -11,15 +11,22 @@ from hubflow.llm.common import cut, no_white, whole
 
 #: Fewest and most code points of a chunk.
 CHUNK = (512, 4096)
+#: Most clashing identifiers that recipes are compared with in place; more of them are joined by a shuffle.
+FEW_CLASHES = 10_000
 
 
 def _chunk_pattern(least: int, most: int) -> str:
-    """A chunk ends after two characters whose code points leave 5 when divided by 8, else after ``most``.
+    """A chunk ends after two characters of an eighth of all code points, else after ``most``.
 
-    The rule looks only at the text near the cut, so an insertion moves the cuts near it and no others.
+    That eighth holds every eighth code point of the Latin blocks (below U+0250), 4 of each 32 in the alphabets after
+    them and 128 of each 1024 from U+3100 on, so texts of any script are cut at content. The rule looks only at the text
+    near the cut, so an insertion moves the cuts near it and no others.
     """
-    ends = "".join(f"\\x{{{c:x}}}" for c in range(0x20, 0x250) if c % 8 == 5)
-    return rf"(?s).{{{least},{most}}}?(?:(?<=[{ends}]{{2}})|\z)|.{{1,{most}}}"
+    latin = "".join(f"\\x{{{c:x}}}" for c in range(0x20, 0x250) if c % 8 == 5)
+    starts = [(c, 4) for c in range(0x254, 0x3100, 32)] + [(c, 128) for c in range(0x3100, 0x30000, 1024)]
+    others = "".join(f"\\x{{{c:x}}}-\\x{{{c + n - 1:x}}}" for c, n in starts)
+    # the second class is asked only of characters from U+0250 on
+    return rf"(?s).{{{least},{most}}}?(?:(?<=[{latin}]{{2}})|(?<=[\x{{250}}-\x{{10ffff}}&&[{others}]]{{2}})|\z)|.{{1,{most}}}"
 
 
 def normalised(text: str | Column = "text") -> Column:
@@ -39,7 +46,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     1. Each text becomes a recipe: the ordered identifiers (``hash_fn``) of its chunks.
     2. Identifiers are verified: the distinct chunks of the whole corpus are compared by content. Where two contents
-       share an identifier, recipes that use it are told apart by their texts too.
+       share an identifier, recipes that use it are told apart by their texts too; no other text moves for that.
     3. Equal recipes are equal texts. Recipes, not texts, are grouped and joined, so a long document moves once at
        most, as chunks that are first reduced to distinct ones within each task.
 
@@ -58,9 +65,14 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     if clashes.isEmpty():
         rows = cut(cut_up.select(*columns, F.lit("").alias("told_apart")))
     else:
-        used = cut_up.select(recipe).distinct()
-        doubtful = used.select("recipe", F.explode("recipe").alias("h")).join(clashes, "h", "left_semi").select("recipe").distinct().withColumn("doubt", F.lit(True))
-        rows = cut(cut_up.select(*columns, "norm").join(doubtful, "recipe", "left").withColumn("told_apart", F.when(F.col("doubt"), F.col("norm")).otherwise("")).drop("doubt", "norm"))
+        if clashes.count() <= FEW_CLASHES:
+            doubt = F.arrays_overlap("recipe", F.array(*[F.lit(r["h"]) for r in clashes.collect()]))
+            told = cut_up.select(*columns, F.col("norm")).withColumn("doubt", doubt)
+        else:
+            used = cut_up.select(recipe).distinct()
+            doubtful = used.select("recipe", F.explode("recipe").alias("h")).join(clashes, "h", "left_semi").select("recipe").distinct().withColumn("doubt", F.lit(True))
+            told = cut_up.select(*columns, "norm").join(doubtful, "recipe", "left")
+        rows = cut(told.withColumn("told_apart", F.when(F.col("doubt"), F.col("norm")).otherwise("")).drop("doubt", "norm"))
     # rows that repeat an id and a text are one row with a number until the end
     each = rows.groupBy("recipe", "told_apart", "doc_id", "n_points", "text_sha256").agg(F.count("*").alias("times"))
     best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("rev")))
@@ -73,12 +85,12 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one of each group of equal texts, repeated rows once."""
-    def keyed(df: DataFrame, sha: Column, points: Column) -> DataFrame:
-        return df.withColumns({"_id": F.coalesce(F.col(id_col), F.lit(0)), "_none": F.col(id_col).isNull(), "_sha": sha, "_points": points.cast("long")})
-
-    # plain equality on the same columns in both steps, so that texts are shuffled once
-    key = ["_id", "_none", "_sha", "_points"]
+    # the caller's columns stay in a struct, so no name can clash; plain equality on the same columns in both steps, so
+    # that texts are shuffled once
+    key = ["id", "none", "sha", "points"]
+    of = lambda i: [F.coalesce(i, F.lit(0)).alias("id"), i.isNull().alias("none")]
     text = whole(text_col)
-    kept = exact_groups(docs, id_col=id_col, text_col=text_col).where("kept").withColumnRenamed("doc_id", id_col)
-    kept = keyed(kept, F.col("text_sha256"), F.col("n_points")).select(*key)
-    return keyed(docs, F.sha2(no_white(text), 256), F.length(text)).join(kept, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    kept = exact_groups(docs, id_col=id_col, text_col=text_col).where("kept")
+    kept = kept.select(*of(F.col("doc_id").cast("long")), F.col("text_sha256").alias("sha"), F.col("n_points").alias("points"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *of(F.col(id_col).cast("long")), F.sha2(no_white(text), 256).alias("sha"), F.length(text).cast("long").alias("points"))
+    return rows.join(kept, key, "left_semi").dropDuplicates(key).select("row.*")
