@@ -72,6 +72,18 @@ def test_defined_results(spark, model):
     assert sh[3].fp == sh[4].fp == sh[5].fp == 0 and sh[5].component_id == 3 and sh[2].component_id == 1
 
 
+def test_clashing_names_pass_through(spark, model):
+    """Operators that hand rows on return the caller's columns as they were, whatever they are called."""
+    names = [*CLASHES, "_id", "_none", "_sha", "_points", "id", "none", "sha", "points", "row", "t1", "t2", "node", "best", "copies", "tree"]
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "a b c d e f g  h"), (None, None), (3, "x y")], "doc_id long, text string").withColumns({c: F.concat(F.lit(f"{c} "), F.length("text")) for c in names})
+    for kept, ids in ((exact.keep_one(docs), [None, 2, 3]), (simhash.keep_unlike(docs), [1, None, 3]), (toxicity.keep_clean(docs, model), [1, 1, 2, None, 3])):
+        out = kept.collect()
+        assert kept.columns == docs.columns and sorted((r.doc_id for r in out), key=str) == sorted(ids, key=str)
+        assert all(r[c] == (None if r.text is None else f"{c} {len(r.text)}") for r in out for c in names)
+    mixed = mixing.mix(docs.drop("copies", "size", "members", "target", "target"), F.lit("s"), keep=["_id", "rest", "digits", "md5", "root"])
+    assert all(r[c] == (None if r.size == 0 else f"{c} {len('a b c d e f g h') + (r.doc_id == 2) if r.doc_id != 3 else 3}") for r in mixed.collect() for c in ("_id", "root"))
+
+
 def test_packing_edges(spark):
     out = packing.pack(documents(spark), tokenizer_path("byte_bpe_50k.json"), window=64).collect()
     assert sum(r.length for r in out if r.doc_id == 3) == 1  # the end id alone

@@ -1,14 +1,16 @@
 """Each stage against a brute-force version on the stage's own input."""
 
+import itertools
+import random
 import re
 from collections import Counter
 
 import pytest
 
 import corpus_pipeline as cp
-from hubflow.llm import mixing, toxicity
+from hubflow.llm import mixing, simhash, toxicity
 from tests.llm.test_edges import ROWS, SCHEMA
-from tests.llm.test_operators import brute_components, check_packing, fingerprint
+from tests.llm.test_operators import brute_components, check_packing, fingerprint, words
 
 SF = "/root/testdata/sf0.01"
 KEY = lambda r: (r.doc_id is None, r.doc_id or 0)
@@ -47,12 +49,72 @@ def test_one_of_equal_texts_stays(stages):
     assert ids(stages[2]) == sorted(i for _, i in best.values())
 
 
+def near_copies(rows, similarity=0.8, shingle=5):
+    """All pairs with that Jaccard similarity of their shingles, over an inverted index of all shingles."""
+    sets, where, shared = {}, {}, Counter()
+    for i, t in rows:
+        w = words(t or "")
+        sets[i] = {tuple(w[k : k + shingle]) for k in range(len(w) - shingle + 1)} if len(w) >= shingle else {tuple(w)}
+        for x in sets[i]:
+            where.setdefault(x, []).append(i)
+    for found in where.values():
+        shared.update(itertools.combinations(found, 2))
+    return [(a, b) for (a, b), n in shared.items() if n >= similarity * (len(sets[a]) + len(sets[b]) - n) - 1e-9]
+
+
 def test_one_of_near_copies_stays(stages):
-    prints = {r.doc_id: fingerprint(r.text) for r in stages[2].collect()}
-    order = sorted(prints)
-    linked = [(a, b) for i, a in enumerate(order) for b in order[i + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 3]
-    comp = brute_components(order, linked)
-    assert ids(stages[3]) == sorted(i for i in order if comp[i] == i)
+    rows = [(r.doc_id, r.text) for r in stages[2].collect()]
+    comp = brute_components(sorted(i for i, _ in rows), near_copies(rows))
+    assert len(set(comp.values())) < len(rows) and ids(stages[3]) == sorted(set(comp.values()))
+
+
+@pytest.mark.parametrize("dense, block, group", [(8, 4096, 512), (0.05, 4096, 10), (0.05, 16, 512), (10**9, 4096, 512)])
+def test_groups_of_near_copies(spark, dense, block, group):
+    """Groups of edited copies, large ones too: no two linked documents stay, and who goes reaches who stays by links.
+
+    Links are pairs at 0.8 or more within the radius; nearly all pairs at 0.8 are within it.
+    """
+    rng = random.Random(6)
+    text = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    rows = []
+    for size in (2, 3, 40, 250):
+        base = text(rng.randint(60, 300))
+        for _ in range(size):
+            w = base.copy()
+            for _ in range(rng.randint(1, max(1, len(w) // 50))):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(9999)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + i, " ".join(text(rng.randint(0, 80)))) for i in range(120)]
+    rng.shuffle(rows)
+    out = simhash.keep_unlike(spark.createDataFrame(rows, "doc_id long, text string"), dense=dense, block=block, group=group)
+    kept = {r.doc_id for r in out.collect()}
+    prints = {i: fingerprint(t) for i, t in rows}
+    pairs = near_copies(rows)
+    links = [(a, b) for a, b in pairs if (prints[a] ^ prints[b]).bit_count() <= 11]
+    assert len(links) >= 0.98 * len(pairs) and not any(a in kept and b in kept for a, b in links)
+    comp = brute_components(sorted(prints), links)
+    assert {comp[i] for i in kept} == set(comp.values())
+    if dense == 10**9:
+        assert kept == set(comp.values())
+
+
+def test_rows_without_and_with_repeated_ids(spark):
+    """An id alone is no key: texts of one id and rows without an id are judged by what they say."""
+    long = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcd"]
+    rows = [(5, long[0]), (1, long[0] + " more"), (5, long[1]), (None, long[2]), (None, long[2] + " more"), (None, long[3]), (7, long[3]), (8, None), (9, ""), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    kept = sorted(((r.doc_id, r.text) for r in cp.near_dedup(spark, df, SF).collect()), key=str)
+    assert (1, long[0] + " more") in kept and (5, long[1]) in kept and (7, long[3]) in kept and (8, None) in kept
+    assert len(kept) == 5 and sum(i is None for i, _ in kept) == 1
+
+
+def test_wide_radius_masks_cover():
+    for radius, parts in ((11, 2), (9, 2), (7, 4), (5, 3)):
+        masks, rng = [m & (1 << 64) - 1 for m in simhash.split_masks(radius, parts)], random.Random(radius)
+        assert min(m.bit_count() for m in masks) >= 64 // parts // 2 - 3
+        for _ in range(3000):
+            d = sum(1 << b for b in rng.sample(range(64 // parts * parts), radius))
+            assert any(not d & m for m in masks)
 
 
 def test_mix_takes_effect(stages):
@@ -75,7 +137,9 @@ def test_copies_are_packed(stages):
 
 def test_run(spark, stages):
     out = cp.run(spark, SF)
-    assert out.columns == stages[5].columns and out.count() > 0 and cp.ORACLE_SQL is None
+    firsts = lambda df: Counter((r.doc_id, r.doc_tokens) for r in df.where("start = 0").collect())
+    assert out.columns == stages[5].columns and cp.ORACLE_SQL is None
+    assert firsts(out) == firsts(stages[5]) and sum(firsts(out).values()) == stages[4].count()
 
 
 def test_packing_of_single_copies(spark):
