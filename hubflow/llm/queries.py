@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubflow.llm import chat, embeddings, exact, extraction, licences, mixing, packing, simhash, tokens, toxicity
+from hubflow.llm import chat, embeddings, exact, extraction, langid, lexical, licences, mixing, packing, simhash, tokens, toxicity, trie
 from hubflow.llm.common import table
 
 
@@ -75,6 +75,19 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs, tokenizer_path("piece_bpe_32k.model")))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_simhash, op4_packing, op5_licences, op6_toxicity, op7_chat, op8_embeddings, op9_html, op10_exact, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_simhash, op4_packing, op5_licences, op6_toxicity, op7_chat, op8_embeddings, op9_html, op10_exact, op11_trie, op12_language, op13_search, pipeline)}
 
 
 WHITE_SQL = r"[\x20\x09-\x0D]"
@@ -156,6 +169,35 @@ g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256, CAST(n AS BIGINT) AS n_points FROM g
 """
 
+#: CRC-32 in SQL: a table of 256 remainders, then a fold over the digits. A turn is the hash of its role and text.
+OP11_SQL = """
+WITH RECURSIVE k AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END, i)) AS tab),
+t AS (SELECT conv_id AS c, turn, substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) || ':' || length(coalesce(text, '')) AS b FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(b ORDER BY turn NULLS FIRST, b) AS s FROM t GROUP BY c),
+h AS (SELECT c, s, xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda a, x: xor(a >> 8, tab[CAST(xor(a & 255, x) + 1 AS INTEGER)]), 4294967295), 4294967295) % 6 AS h FROM o, k),
+r AS (SELECT h.c, list_concat(coalesce(b.s[1:h], []), h.s[h + 1:]) AS s FROM h LEFT JOIN o b ON b.c = h.c - h.c % 100),
+n AS (SELECT c, d, s[1:d] AS p, len(s) = d AS ends FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM r)),
+g AS (SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM n GROUP BY d, p),
+x AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM g WHERE d > 0 GROUP BY 1),
+w AS (SELECT g.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * CAST(split_part(p[d], ':', 2) AS BIGINT) ELSE 0 END AS own FROM g LEFT JOIN x USING (p)),
+u AS (SELECT p[1:e] AS p, sum(own) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM w) GROUP BY 1)
+SELECT w.conv_id, w.d AS depth, v.conv_id AS parent_conv_id, w.n_convs, w.n_children, u.n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM w JOIN u USING (p) LEFT JOIN g v ON w.d > 0 AND v.d = w.d - 1 AND v.p = w.p[1:w.d - 1]
+"""
+
+_TERMS = f"regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS w FROM benchmark),
+q AS (SELECT i, item_id, term, count(*) AS times FROM (SELECT i, item_id, unnest(w) AS term FROM i) GROUP BY ALL),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+m AS (SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)) AS impact FROM p, s),
+c AS (SELECT i, item_id, r, doc_id, CAST(sum(times * weight * impact) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN m USING (term) GROUP BY i, item_id, r, doc_id)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS k FROM c WHERE score > 0) WHERE k <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op5_licences": OP5_SQL, "op7_chat": OP7_SQL, "op8_embeddings": OP8_SQL, "op10_exact": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op5_licences": OP5_SQL, "op7_chat": OP7_SQL, "op8_embeddings": OP8_SQL, "op10_exact": OP10_SQL, "op11_trie": OP11_SQL, "op13_search": OP13_SQL}
