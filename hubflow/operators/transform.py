@@ -1,24 +1,25 @@
 """Per-packet transforms: definitions are compiled once into columns.
 
-A definition is the ``with`` object of a transform step. A string of the form ``{{ expr }}`` is an expression in Spark
-SQL; ``payload.a.b`` and ``inputs.a.b`` both read the packet's payload, as text or as ``payload.a.b::double`` (any type
-of ``try_variant_get``). Other values stand for themselves. An expression that gives null is an evaluation error.
-Expressions are trusted configuration of the pipeline's owner.
+A definition is the ``with`` object of a transform step. Strings in it, also in nested objects and lists, may hold
+expressions between ``{{`` and ``}}`` (see ``expressions``). One that is all of a string keeps its type; others are joined
+with the text around them. Other values stand for themselves. A packet whose values can't be computed fails alone, and a
+definition that can't be compiled fails its own packets alone. Expressions are trusted configuration of the pipeline's
+owner.
 """
 
 from __future__ import annotations
 
-import json
-import re
+from contextlib import nullcontext
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most distinct definitions of one projection; more are applied in groups.
-GROUP = 500
-TEMPLATE = re.compile(r"^\{\{(.*)\}\}$", re.S)
-REFERENCE = re.compile(r"""('(?:[^'\\]|\\.)*')|\b(?:payload|inputs)((?:\.[A-Za-z_]\w*)+)(?:::([a-z]+))?""")
-FORBIDDEN = re.compile(r"\b(select|rand|randn|uuid|shuffle|random|now|current_\w+|monotonically_increasing_id|java_method|reflect)\b", re.I)
+from hubflow.operators.expressions import Bad, Compiler, abstract, has_sql, lenient, lower, made_json
+
+#: Most distinct definitions that are columns of their own; more are data, and only their shapes are columns.
+GROUP = 64
+#: Most bytes of definitions that are broadcast.
+SMALL_BYTES = 32 << 20
 
 
 def rewrite_legacy(with_json: str | Column = "with") -> Column:
@@ -42,34 +43,12 @@ def rewrite_legacy(with_json: str | Column = "with") -> Column:
 
 
 def compile_expression(text: str, payload: str = "payload_variant") -> Column:
-    """An expression between ``{{`` and ``}}`` as a column over the payload."""
-    if FORBIDDEN.search(re.sub(r"'(?:[^'\\]|\\.)*'", "''", text)):
-        raise ValueError(f"not allowed in an expression: {text}")
-    return F.expr(REFERENCE.sub(lambda m: m[1] or f"try_variant_get({payload}, '${m[2]}', '{m[3] or 'string'}')", text.strip()))
-
-
-def compile_definition(with_json: str | None) -> tuple[Column | None, str | None]:
-    """(new payload as JSON, null on an evaluation error; None), or (None, the text of the definition's own error)."""
-    if with_json is None:
-        return None, "transform step is missing 'with' block"
-    try:
-        fields = json.loads(with_json)
-    except ValueError:
-        fields = None
-    if not isinstance(fields, dict):
-        return None, "transform step's 'with' is not a JSON object"
-    values, failed = [], F.lit(False)
-    for key, value in sorted(fields.items()):
-        template = TEMPLATE.match(value) if isinstance(value, str) else None
-        if template:
-            x = compile_expression(template[1])
-            failed = failed | x.isNull()
-            values.append(x.alias(key))
-        else:
-            values.append(F.parse_json(F.lit(json.dumps(value))).alias(key))
-    if not values:
-        return F.lit("{}"), None
-    return F.when(~failed, F.to_json(F.to_variant_object(F.struct(*values)))), None
+    """An expression between ``{{`` and ``}}`` as a column over the payload; raises ``ValueError`` if it is none."""
+    return lower(Compiler(_session()).expression(text), payload)[1]
+
+
+def _session() -> SparkSession:
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
 
 def definitions(steps: DataFrame) -> list[str | None]:
@@ -82,42 +61,73 @@ def apply_transform(df: DataFrame, texts: list[str | None], with_col: str = "tra
     """T1, T3, F13. Adds new_payload and transform_error.
 
     Where ``due``, the definition in ``with_col`` makes the payload, evaluated on the payload alone; a failure gives its
-    text. Elsewhere the payload passes through. One chained condition picks the compiled definition, all in one
-    projection, without a shuffle or a Python worker. More than ``group`` definitions are dealt into groups of about that
-    many by a hash of their text; each takes the rows that need it, so every row is transformed once.
+    text. Elsewhere the payload passes through. Packets are read once, without a shuffle or a Python worker, in one
+    projection: up to ``group`` definitions are a chained condition. Of more, definitions that are the same but for names
+    and literals share a shape; the names and literals come to the packets by a join with the definitions, and a tree of
+    conditions picks the shape.
     """
     due = F.col(due) if isinstance(due, str) else due
-    if len(texts) <= group:
-        return _apply(df, texts, with_col, due)
-    groups = -(-len(texts) // group)
-    number = lambda text: F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(groups))
-    of = df.sparkSession.createDataFrame([(t,) for t in texts], "t string").select("t", number(F.col("t")).alias("g")).collect()
-    mine = F.when(due, number(F.col(with_col))).otherwise(0)
-    parts = [_apply(df.where(mine == k), [r["t"] for r in of if r["g"] == k], with_col, due) for k in range(groups)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _apply(df: DataFrame, texts: list[str | None], with_col: str, due: Column) -> DataFrame:
-    compiled = [(t, *compile_definition(t)) for t in texts]
-    payload, error = None, None
-    for text, made, wrong in compiled:
-        this = F.col(with_col).eqNullSafe(F.lit(text))
-        if made is not None:
-            payload = F.when(this, made) if payload is None else payload.when(this, made)
-        else:
-            error = F.when(this, F.lit(wrong)) if error is None else error.when(this, F.lit(wrong))
-    out = df.withColumn("payload_variant", F.try_parse_json("payload"))
-    out = out.withColumn("made", F.when(due, payload) if payload is not None else F.lit(None).cast("string"))
-    own = error if error is not None else F.lit(None).cast("string")
-    failure = F.when(due, F.coalesce(own, F.when(F.col("made").isNull(), F.lit("evaluation error"))))
-    return out.withColumns({"transform_error": failure, "new_payload": F.when(due, F.col("made")).otherwise(F.col("payload"))}).drop("payload_variant", "made")
+    compiler, nodes, errors = Compiler(df.sparkSession), {}, {}
+    for t in dict.fromkeys(texts):
+        try:
+            nodes[t] = compiler.definition(t)
+        except Bad as e:
+            errors[t] = str(e)
+    mode = lenient(df.sparkSession) if any(map(has_sql, nodes.values())) else nullcontext()
+    with mode:
+        out = df.withColumn("payload_variant", F.try_parse_json("payload"))
+        made, own = (_by_text if len(nodes) + len(errors) <= group else _by_shape)(nodes, errors, with_col)
+        if len(nodes) + len(errors) > group:
+            out = _with_slots(out, nodes, errors, with_col)
+        out = out.withColumns({"made": F.when(due, made), "own_error": F.when(due, own)})
+    failure = F.when(due, F.coalesce("own_error", F.when(F.col("made").isNull(), F.lit("evaluation error"))))
+    out = out.withColumns({"transform_error": failure, "new_payload": F.when(due, F.col("made")).otherwise(F.col("payload"))})
+    return out.drop("payload_variant", "made", "own_error", "definition")
+
+
+def _by_text(nodes: dict, errors: dict, with_col: str) -> tuple[Column, Column]:
+    made, own = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for t, node in nodes.items():
+        made = F.when(F.col(with_col) == t, made_json(node)).otherwise(made)
+    for t, error in errors.items():
+        own = F.when(F.col(with_col).eqNullSafe(F.lit(t)), F.lit(error)).otherwise(own)
+    return made, own
+
+
+def _shapes(nodes: dict) -> tuple[dict, list[tuple]]:
+    """For each definition its shape's number and its names and literals; the shapes."""
+    of, shapes = {}, {}
+    for t, node in nodes.items():
+        values: list[str] = []
+        of[t] = (shapes.setdefault(abstract(node, values), len(shapes)), values)
+    return of, list(shapes)
+
+
+def _by_shape(nodes: dict, errors: dict, with_col: str) -> tuple[Column, Column]:
+    shapes = [made_json(s, F.col("definition.slots")) for s in _shapes(nodes)[1]] or [F.lit(None).cast("string")]
+
+    def pick(low: int, high: int) -> Column:
+        middle = (low + high) // 2
+        return shapes[low] if high - low == 1 else F.when(F.col("definition.shape") < middle, pick(low, middle)).otherwise(pick(middle, high))
+
+    own = F.coalesce("definition.error", F.when(F.col(with_col).isNull(), F.lit(errors.get(None))))
+    return F.when(F.col("definition.shape").isNotNull(), pick(0, len(shapes))), own
+
+
+def _with_slots(df: DataFrame, nodes: dict, errors: dict, with_col: str) -> DataFrame:
+    rows = [(t, shape, slots, None) for t, (shape, slots) in _shapes(nodes)[0].items()] + [(t, None, None, e) for t, e in errors.items() if t is not None]
+    of = df.sparkSession.createDataFrame(rows, "text string, shape int, slots array<string>, error string").select(F.col("text").alias("definition_text"), F.struct("shape", "slots", "error").alias("definition"))
+    small = sum(len(t) + sum(map(len, slots or ())) + len(e or "") for t, _, slots, e in rows) <= SMALL_BYTES
+    return df.join(F.broadcast(of) if small else of, df[with_col] == of["definition_text"], "left").drop("definition_text")
 
 
 def transform_errors(steps: DataFrame) -> DataFrame:
-    """T3. Transform steps whose definition is missing or no JSON object, with the error's text."""
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("with")).startswith("OBJECT"), F.lit(False))
-    text = F.when(F.col("with").isNull(), "transform step is missing 'with' block").when(~is_object, "transform step's 'with' is not a JSON object")
-    return steps.where("type = 'transform'").withColumn("error", text).where("error IS NOT NULL")
+    """T3. Transform steps whose definition is missing, no JSON object, or can't be compiled, with the error's text."""
+    compiler, wrong = Compiler(steps.sparkSession), []
+    for t in definitions(steps):
+        try:
+            compiler.definition(t)
+        except Bad as e:
+            wrong.append((t, str(e)))
+    of = steps.sparkSession.createDataFrame(wrong, "wrong_text string, error string")
+    return steps.where("type = 'transform'").join(of, F.col("with").eqNullSafe(F.col("wrong_text"))).drop("wrong_text")

@@ -296,6 +296,40 @@ def t4_user_expression(s, d):
     return fx.packets(s, d).withColumn("payload_variant", F.try_parse_json("payload")).select("seq", transform.compile_expression("payload.k::double * 2").alias("doubled"))
 
 
+NESTED = '{"a":{"b":["{{ payload.k }}","k is {{ payload.k }}, twice {{ payload.k * 2 }}"]},"big":"{{ payload.k > 50 ? \'yes\' : null }}","s":"x"}'
+
+
+@query("""SELECT seq, '{"a":{"b":[' || k || ',"k is ' || k || ', twice ' || CAST(k * 2 AS DOUBLE) || '"]},"big":' || CASE WHEN k > 50 THEN '"yes"' ELSE 'null' END || ',"s":"x"}' AS payload FROM (SELECT seq, CAST(payload::JSON->>'k' AS BIGINT) AS k FROM packets)""", "packets")
+def t1_nested_templates(s, d):
+    due = fx.packets(s, d).withColumns({"transform_with": F.lit(NESTED), "transform_due": F.lit(True)})
+    return transform.apply_transform(due, [NESTED]).select("seq", F.col("new_payload").alias("payload"))
+
+
+#: Definitions that fail by packet or as a whole, by packet number modulo 5, and payloads by packet number modulo 4.
+FAILING = ('{"x":"{{ 120 % payload.k }}"}', '{"x":"{{ payload.k::int + 1 }}"}', '{"x":"{{ foo( }}"}', '{"x":"{{ payload.k + \'-x\' }}"}', '{"x":"{{ cast(payload.k AS INT) * 2 }}"}')
+
+
+@query("""SELECT seq, CASE seq % 5 WHEN 0 THEN '{"x":' || CAST(120.0::DOUBLE % nullif(n, 0) AS VARCHAR) || '}' WHEN 1 THEN '{"x":' || (CAST(n AS BIGINT) + 1) || '}' WHEN 3 THEN '{"x":"' || w || '-x"}' WHEN 4 THEN '{"x":' || (CAST(n AS BIGINT) * 2) || '}' END AS payload,
+  CASE WHEN seq % 5 = 2 THEN 'cannot compile ''foo('': expected a value' WHEN seq % 5 = 3 AND w IS NULL OR seq % 5 <> 3 AND n IS NULL OR seq % 5 = 0 AND n = 0 THEN 'evaluation error' END AS error
+  FROM (SELECT seq, CASE seq % 4 WHEN 0 THEN CAST(payload::JSON->>'k' AS DOUBLE) WHEN 3 THEN 0 END AS n, CASE WHEN seq % 4 = 1 THEN 'word' END AS w FROM packets)""", "packets")
+def t3_failing_packets(s, d):
+    i = F.col("seq")
+    payload = F.when(i % 4 == 0, F.col("payload")).when(i % 4 == 1, '{"k":"word"}').when(i % 4 == 2, "no object").otherwise('{"k":0}')
+    which = F.element_at(F.array(*[F.lit(t) for t in FAILING]), (i % 5 + 1).cast("int"))
+    due = fx.packets(s, d).withColumns({"payload": payload, "transform_with": which, "transform_due": F.lit(True)})
+    return transform.apply_transform(due, list(FAILING)).select("seq", F.col("new_payload").alias("payload"), F.col("transform_error").alias("error"))
+
+
+@query("""SELECT seq, CASE WHEN outcome IN ('unavailable', 'step_not_found', 'end_of_pipeline', 'heartbeat') OR outcome = 'end_of_worker_chain' AND heartbeat THEN outcome
+  WHEN n_ref IS NULL AND n_type = 'transform' AND (n_definition <> 1 OR CAST(payload::JSON->>'k' AS BIGINT) % 2 = 0) THEN 'internal'
+  WHEN w_key IS NULL THEN 'end_of_worker_chain' WHEN mode = 'job' THEN 'batch_submitted' ELSE 'deliver' END AS outcome FROM routed""", "routed")
+def r1_failing_transforms(s, d):
+    """R1 where one definition can't be compiled and another fails for every other packet: only their own packets are internal."""
+    line = F.col("with")
+    broken = F.when(line == fx.DEFINITIONS[1], '{"n":"{{ 12 % (payload.k % 2) }}"}').when(line == fx.DEFINITIONS[2], FAILING[2])
+    return rt.route(fx.packets(s, d), fx.runs(s, d), fx.pipelines(s, d), fx.workers(s, d), steps=fx.steps(s, d).withColumn("with", broken)).select("seq", "outcome")
+
+
 # ---- routing
 
 

@@ -13,7 +13,7 @@ from hubflow.operators import route as rt
 from hubflow.operators import steps as st
 from hubflow.operators import topology, transform
 
-DEFINITION = json.dumps({"output": "{{ payload.key || '-transformed' }}"})
+DEFINITION = json.dumps({"output": "{{ payload.key + '-transformed' }}"})
 
 
 def step(id_, ref=None, kind=None, with_=None, name=None):
@@ -109,12 +109,71 @@ def test_rewrite_legacy(spark):
     assert json.loads(got[0]) == {"a": "{{ inputs.x }}", "b": "payload.x", "c": {"d": "{{ payload.x }}"}, "e": 1} and got[1:] == [None, "[1]"]
 
 
-def test_forbidden_expressions():
-    for text in ("(select 1)", "rand()", "current_timestamp()"):
+def test_forbidden_expressions(spark):
+    for text in ("(select 1)", "rand()", "current_timestamp()", "raise_error('x')", "foo(", "nope.a", "payload.a.b[payload.i]", "payload.a rlike '('", "1 +", "payload.a::nothing", "@"):
         with pytest.raises(ValueError):
             transform.compile_expression(text)
 
 
+GOOD = '{"key":"value","a":5,"b":2,"t":true,"list":[1,2],"a b":"q","n":null}'
+ODD = '{"key":7,"a":"abc","b":0,"list":{"q":1},"t":1}'
+#: Expression, and what it makes of ``GOOD`` and of ``ODD``; ... where it fails.
+EXPRESSIONS = [
+    ("payload.key + '-transformed'", "value-transformed", ...), ("payload.key || '-x'", "value-x", "7-x"), ("payload.a", 5, "abc"), ("payload", json.loads(GOOD), json.loads(ODD)),
+    ("payload.list", [1, 2], {"q": 1}), ("payload.n", None, ...), ("payload.a::int / payload.b::int", 2.5, ...), ("payload.a + 1", 6, ...), ("payload.a + payload.a", 10, "abcabc"), ("payload.a % payload.b", 1, ...), ("-payload.a", -5, ...),
+    ("payload.a > 3 && has(payload.key) ? 'big' : 0", "big", ...), ("payload.a == 5 || payload.zz > 1", True, ...), ("payload.t || payload.zz == 1", True, ...), ("!payload.t", False, ...), ("not (payload.b > 1)", False, True),
+    ("payload.key in ['value', 'y']", True, False), ("2 in payload.list", True, ...), ("payload.a != 'abc'", True, False), ("payload.n == null", True, ...), ("payload.key < 'w'", True, ...), ("payload.a == payload.b", False, False), ("payload.key == 7", False, True),
+    ("size(payload.list) + size(payload.key)", 7, ...), ("payload.key.startsWith('va') and payload.key.contains('lu')", True, False), ("upper(payload['key'])", "VALUE", "7"), ("payload['a b']", "q", ...), ("payload.list[1]", 2, ...),
+    ("coalesce(payload.zz, payload.key, 1)", "value", 7), ("floor(payload.a / 2)", 2, ...), ("abs(0 - payload.b)", 2, 0), ("substring(payload.key, 2, 2)", "al", ""), ("replace(payload.key, 'a', 'o')", "volue", "7"), ("string(payload.a) + '!'", "5!", "abc!"), ("[payload.a, 'x']", [5, "x"], ["abc", "x"]),
+    ("9223372036854775807 + 1", ..., ...), ("'it\\'s'", "it's", "it's"), ("reverse(payload.key)", "eulav", "7"), ("cast(payload.key AS INT)", ..., 7), ("element_at(split(payload.key, 'u'), 5)", ..., ...), ("make_date(2020, payload.a::int, 1)", "2020-05-01", ...), ("payload.key rlike '^v'", True, False),
+]
+
+
+@pytest.mark.parametrize("group", [64, 1])
+def test_expressions(spark, group):
+    """Each failure stays with its packet; definitions as columns and as data give the same."""
+    rows = [(i, json.dumps({"x": f"{{{{ {e} }}}}"}), p) for i, (e, _, _) in enumerate(EXPRESSIONS) for p in (GOOD, ODD)]
+    df = spark.createDataFrame(rows, "i long, transform_with string, payload string").withColumn("transform_due", F.lit(True))
+    got = {(r.i, r.payload): r for r in transform.apply_transform(df, [r[1] for r in rows], group=group).collect()}
+    for i, (e, *want) in enumerate(EXPRESSIONS):
+        for p, w in zip((GOOD, ODD), want, strict=True):
+            r = got[(i, p)]
+            if w is ...:
+                assert (r.new_payload, r.transform_error) == (None, "evaluation error"), (e, p)
+            else:
+                assert (json.loads(r.new_payload), r.transform_error) == ({"x": w}, None), (e, p)
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+
+
+def test_templates_in_texts_and_objects(spark):
+    with_ = json.dumps({"o": {"l": [1, "{{ payload.a }}", {"z": "p-{{ upper(payload.key) }}"}]}, "both": "{{ payload.a }} and {{ payload.b }}", "odd": "{{ '}}' + payload.key }}", "none": None, "open": "{{ x"})
+    bad = json.dumps({"ok": 1, "deep": {"bad": "{{ foo( }}"}})
+    rows = [(1, with_, GOOD), (2, with_, '{"a":1}'), (3, bad, GOOD), (4, "{}", None), (5, '{"s":"plain"}', "broken")]
+    df = spark.createDataFrame(rows, "i long, transform_with string, payload string").withColumn("transform_due", F.lit(True))
+    got = {r.i: (r.new_payload and json.loads(r.new_payload), r.transform_error) for r in transform.apply_transform(df, [r[1] for r in rows]).collect()}
+    assert got[1] == ({"o": {"l": [1, 5, {"z": "p-VALUE"}]}, "both": "5 and 2", "odd": "}}value", "none": None, "open": "{{ x"}, None)
+    assert got[2] == (None, "evaluation error") and got[3][1].startswith("cannot compile 'foo('")
+    assert got[4] == ({}, None) and got[5] == ({"s": "plain"}, None)
+
+
+def test_one_read_for_all_definitions(spark, tmp_path):
+    """2,000 definitions with a few shapes: one scan of the packets, few conditions."""
+    texts = [json.dumps({f"n{i}": f"{{{{ payload.k{i % 7} || '-{i}' }}}}", "fixed": i}) for i in range(2000)]
+    rows = [(i, t, json.dumps({f"k{i % 7}": "a"})) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "i long, transform_with string, payload string").write.parquet(f"{tmp_path}/p")
+    out = transform.apply_transform(spark.read.parquet(f"{tmp_path}/p").withColumn("transform_due", F.lit(True)), texts)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange hash" not in plan
+    assert all(json.loads(r.new_payload) == {f"n{r.i}": f"a-{r.i}", "fixed": r.i} for r in out.collect())
+
+
+def test_errors_of_definitions(spark):
+    steps = [step("a", "e1"), *[step(f"t{i}", None, "transform", w) for i, w in enumerate((None, "[1]", '{"a":"{{ foo( }}"}', '{"a":"{{ payload.a }}"}'))]]
+    _, p, _ = tables(spark, steps)
+    got = {r.id: r.error for r in transform.transform_errors(st.explode_steps(p)).collect()}
+    assert got == {"t0": "transform step is missing 'with' block", "t1": "transform step's 'with' is not a JSON object", "t2": "cannot compile 'foo(': expected a value"}
+
+
 A_B_C = [step("a", "ea"), step("b", "eb"), step("t", None, "transform", "{}"), step("c", "ec")]
 
 
