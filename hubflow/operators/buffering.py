@@ -1,8 +1,8 @@
 """Links as tables: sessions, admission to bounded buffers, flush and eviction.
 
-A *log* has one row per event: namespace, run, step, ts, seq, kind (connect, disconnect, packet), size.
-``link_fates`` and its streaming form also take the kinds send_failed (a packet whose send over an open link failed: it
-waits in the buffer) and flush_failed (a flush that ended after ``size`` messages: the others stay buffered, in order).
+A *log* has one row per event: namespace, run, step, ts, seq, kind, size. Kinds are connect, disconnect, packet, send_failed
+(a packet whose send over an open link failed: it waits in the buffer) and flush_failed (a flush that ended after ``size``
+messages: the others stay buffered, in order).
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hubflow.names import LIMITS, MIB, NAMES, Limits, Names
-from hubflow.operators.links import SENT, Link
+from hubflow.operators.links import REFUSED, SENT, Link
+from hubflow.operators.ranges import LINK, carried
 
-LINK = ["namespace", "run", "step"]
-FATES = "namespace string, run string, step string, seq long, event string, at timestamp, outcome string, buffer_size int, buffer_bytes long"
+#: Most heartbeats of a session that are made from one row.
+STRETCH = 4096
+FATES = "namespace string, run string, step string, seq long, event string, at timestamp, outcome string, buffer_size int, buffer_bytes long, cause long"
 
 
 def link_log(packets: DataFrame, link_events: DataFrame, size: str | Column = "size") -> DataFrame:
@@ -29,29 +31,32 @@ def link_log(packets: DataFrame, link_events: DataFrame, size: str | Column = "s
 
 def link_sessions(link_events: DataFrame) -> DataFrame:
     """W1. One interval per connect: started_at, ended_at (the next event of the link, null: open), replaced (by a connect)."""
-    w = Window.partitionBy(*LINK).orderBy("ts", "seq")
-    rows = link_events.withColumns({"ended_at": F.lead("ts").over(w), "replaced": F.coalesce(F.lead("kind").over(w) == "connect", F.lit(False))})
-    return rows.where("kind = 'connect'").select(*LINK, "seq", F.col("ts").alias("started_at"), "ended_at", "replaced")
+    rows = carried(link_events, "ts", {"after": ("next", F.struct("ts", "kind"))})
+    return rows.where("kind = 'connect'").select(*LINK, "seq", F.col("ts").alias("started_at"), F.col("after.ts").alias("ended_at"), F.coalesce(F.col("after.kind") == "connect", F.lit(False)).alias("replaced"))
 
 
 def with_connection(log: DataFrame) -> DataFrame:
-    """Adds to the packets of a log: connect_no (connects before), connected, next_connect (time of the next one)."""
-    so_far = Window.partitionBy(*LINK).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    # backwards in time, as a frame that grows costs one step a row and one that shrinks is read again for each row
-    after = Window.partitionBy(*LINK).orderBy(F.desc("ts"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    """Adds to the log's packets and partial flushes: connect_no (connects before), connected, next_connect (time of the next one).
+
+    ``connected`` is false for a packet whose send failed.
+    """
     is_connect = F.col("kind") == "connect"
-    state = F.last(F.when(F.col("kind") != "packet", is_connect), ignorenulls=True).over(so_far)
-    rows = log.withColumns({
-        "connect_no": F.count(F.when(is_connect, 1)).over(so_far),
-        "connected": F.coalesce(state, F.lit(False)),
-        "next_connect": F.last(F.when(is_connect, F.col("ts")), ignorenulls=True).over(after),
+    rows = carried(log, "ts", {
+        "connect_no": ("count", F.when(is_connect, 1)),
+        "connected": ("last", F.when(F.col("kind").isin("connect", "disconnect"), is_connect)),
+        "next_connect": ("next", F.when(is_connect, F.col("ts"))),
     })
-    return rows.where("kind = 'packet'").drop("kind")
+    return rows.where("kind IN ('packet', 'send_failed', 'flush_failed')").withColumn("connected", F.coalesce("connected", F.lit(False)) & (F.col("kind") != "send_failed"))
 
 
 def admit_equal(waiting: DataFrame, max_messages: int = 100) -> DataFrame:
-    """W3 for packets of one size within the byte limit: the first ``max_messages`` of each (link, connect_no) are buffered."""
+    """W3 for packets of one size within the byte limit: the first ``max_messages`` of each (link, connect_no) are buffered.
+
+    Partial flushes, which make room, need ``admit_bounded``: such a row ends the job.
+    """
     n = F.row_number().over(Window.partitionBy(*LINK, "connect_no").orderBy("ts", "seq"))
+    if "kind" in waiting.columns:
+        n = F.when(F.col("kind") == "flush_failed", F.raise_error(F.lit("partial flushes need max_bytes"))).otherwise(n)
     return waiting.withColumn("outcome", F.when(n <= max_messages, "buffered").otherwise("buffer_full"))
 
 
@@ -59,49 +64,77 @@ def admit_bounded(waiting: DataFrame, max_messages: int = 100, max_bytes: int =
     """W3. Adds outcome to rows of (link, connect_no, ts, seq, size): oversize, buffer_full or buffered, in that order of checks.
 
     Admission is greedy, so a refused packet doesn't block a later smaller one and no prefix sum can decide it. Rows
-    are dealt by (link, connect_no), sorted, and folded in a stream with a counter and a sum as the only state: a group
-    may be of any size. All columns pass through.
+    are dealt by (link, connect_no), sorted, and folded in a stream: the state is the sizes of the packets in the buffer,
+    at most ``max_messages``, so a group may be of any size. All columns pass through.
     """
-    keys = [*LINK, "connect_no"]
-    columns = waiting.columns
+    return _fold(waiting, max_messages, max_bytes).drop("flushed_at")
+
+
+def _fold(waiting: DataFrame, max_messages: int, max_bytes: int) -> DataFrame:
+    """``admit_bounded`` with partial flushes (rows whose kind is flush_failed, which go): adds outcome and flushed_at."""
+    keys, columns, kinds = [*LINK, "connect_no"], waiting.columns, "kind" in waiting.columns
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, count, total = None, 0, 0
+        # rows whose fate is open: the buffered ones of the group at hand, in order, with their sizes
+        group, held, total, open_ = None, [], 0, None
         for batch in batches:
-            out = []
-            for *key, size in zip(*[batch.column(k).to_pylist() for k in (*keys, "size")], strict=True):
+            rows = pa.Table.from_batches([*(open_.to_batches() if open_ is not None else []), batch])
+            before = len(rows) - batch.num_rows
+            outcomes, flushed, held = ["buffered"] * before, [None] * before, [(i, size) for i, (_, size) in enumerate(held)]
+            kind = batch.column("kind").to_pylist() if kinds else ["packet"] * batch.num_rows
+            for i, (*key, size, ts, what) in enumerate(zip(*[batch.column(k).to_pylist() for k in (*keys, "size")], batch.column("ts"), kind, strict=True), before):
                 if key != group:
-                    group, count, total = key, 0, 0
-                size = size or 0
-                if size > max_bytes:
-                    out.append("oversize")
-                elif count >= max_messages or total + size > max_bytes:
-                    out.append("buffer_full")
+                    group, held, total = key, [], 0
+                size, out = size or 0, None
+                if what == "flush_failed":
+                    for j, s in held[:size]:
+                        flushed[j], total = ts.as_py(), total - s
+                    held = held[size:]
+                elif size > max_bytes:
+                    out = "oversize"
+                elif len(held) >= max_messages or total + size > max_bytes:
+                    out = "buffer_full"
                 else:
-                    count, total = count + 1, total + size
-                    out.append("buffered")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*columns, "outcome"])
+                    held.append((i, size))
+                    total, out = total + size, "buffered"
+                outcomes.append(out)
+                flushed.append(None)
+            waits = [i for i, _ in held]
+            gone = [i for i in range(len(rows)) if outcomes[i] is not None and i not in set(waits)] if waits else [i for i, o in enumerate(outcomes) if o is not None]
+            yield from _decided(rows, gone, outcomes, flushed)
+            open_ = rows.take(pa.array(waits, pa.int64()))
+        if open_ is not None:
+            n = len(open_)
+            yield from _decided(open_, list(range(n)), ["buffered"] * n, [None] * n)
 
     layout = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in waiting.schema)
-    return waiting.repartition(*keys).sortWithinPartitions(*keys, "ts", "seq").mapInArrow(fold, f"{layout}, outcome string")
+    return waiting.repartition(*keys).sortWithinPartitions(*keys, "ts", "seq").mapInArrow(fold, f"{layout}, outcome string, flushed_at timestamp").select(*columns, "outcome", "flushed_at")
+
+
+def _decided(rows: pa.Table, which: list[int], outcomes: list, flushed: list) -> Iterator[pa.RecordBatch]:
+    part = rows.take(pa.array(which, pa.int64()))
+    part = part.append_column("outcome", pa.array([outcomes[i] for i in which], pa.string()))
+    yield from part.append_column("flushed_at", pa.array([flushed[i] for i in which], pa.timestamp("us", "UTC"))).combine_chunks().to_batches()
 
 
 def send_or_buffer(log: DataFrame, max_messages: int = 100, max_bytes: int | None = 10 * MIB) -> DataFrame:
     """W2, W4 without eviction. One row per packet: outcome, delivered_at, next_connect, connect_no.
 
-    Connected packets are delivered at once. Others are admitted to the buffer of their (link, connect_no) and
-    delivered at the next connect, if one comes. ``max_bytes`` None: sizes don't matter, and no Python is run.
+    Connected packets are delivered at once. Others, and those whose send failed, are admitted to the buffer of their
+    (link, connect_no) and delivered by a partial flush that takes them, or else at the next connect, if one comes.
+    ``max_bytes`` None: sizes don't matter, and no Python is run.
     """
     rows = with_connection(log)
-    direct = rows.where("connected").withColumn("outcome", F.lit("delivered"))
-    waiting = rows.where("NOT connected")
-    held = admit_equal(waiting, max_messages) if max_bytes is None else admit_bounded(waiting, max_messages, max_bytes)
-    return direct.unionByName(held).withColumn("delivered_at", F.when(F.col("outcome") == "delivered", F.col("ts")).when(F.col("outcome") == "buffered", F.col("next_connect"))).drop("connected")
+    direct = rows.where("connected AND kind = 'packet'").withColumns({"outcome": F.lit("delivered"), "flushed_at": F.lit(None).cast("timestamp")})
+    waiting = rows.where("NOT (connected AND kind = 'packet')")
+    held = admit_equal(waiting, max_messages).withColumn("flushed_at", F.lit(None).cast("timestamp")) if max_bytes is None else _fold(waiting, max_messages, max_bytes)
+    at = F.when(F.col("outcome") == "delivered", F.col("ts")).when(F.col("outcome") == "buffered", F.coalesce("flushed_at", "next_connect"))
+    return direct.unionByName(held).withColumn("delivered_at", at).drop("connected", "kind", "flushed_at")
 
 
 def flush_on_connect(fates: DataFrame) -> DataFrame:
-    """W4. One row per connect that delivered buffered packets: link, connect_no (of the waiting packets), flushed_at, flushed."""
-    return fates.where("outcome = 'buffered' AND next_connect IS NOT NULL").groupBy(*LINK, "connect_no").agg(F.first("next_connect").alias("flushed_at"), F.count("*").alias("flushed"))
+    """W4. One row per connect or partial flush that delivered buffered packets: link, connect_no (of the waiting packets), flushed_at, flushed."""
+    return fates.where("outcome = 'buffered' AND delivered_at IS NOT NULL").groupBy(*LINK, "connect_no", F.col("delivered_at").alias("flushed_at")).agg(F.count("*").alias("flushed"))
 
 
 def link_fates(log: DataFrame, limits: Limits = LIMITS, until: str | None = None) -> DataFrame:
@@ -120,13 +153,13 @@ def link_fates(log: DataFrame, limits: Limits = LIMITS, until: str | None = None
         key, link, out = None, Link(limits), []
 
         def made() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [()] * 9
+            cols = list(zip(*out, strict=True)) or [()] * 10
             out.clear()
-            kinds = [pa.string()] * 3 + [pa.int64(), pa.string(), pa.timestamp("us", "UTC"), pa.string(), pa.int32(), pa.int64()]
+            kinds = [pa.string()] * 3 + [pa.int64(), pa.string(), pa.timestamp("us", "UTC"), pa.string(), pa.int32(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in FATES.split(", ")])
 
         def tell(events: Iterator[tuple]) -> None:
-            out.extend((*key, seq, event, at, outcome, n, total) for event, seq, at, outcome, n, total in events)
+            out.extend((*key, seq, event, at, outcome, n, total, cause) for event, seq, at, outcome, n, total, cause in events)
 
         for batch in batches:
             stamps = batch.column("ts").cast(pa.int64()).to_pylist()
@@ -152,13 +185,17 @@ def evict_idle(fates: DataFrame) -> DataFrame:
 def heartbeat_grid(sessions: DataFrame, every: str = "10 seconds", until: str | Column | None = None) -> DataFrame:
     """W6. The heartbeats to expect: one row per tick of each session, from one interval after its start.
 
-    The end of an open session is ``until``. Anti-join with observed heartbeats to find gaps.
+    ``every`` is a number of days or less. The end of an open session is ``until``. Anti-join with observed heartbeats to
+    find gaps. Ticks are made in stretches of at most ``STRETCH``, so a session of any length takes little memory.
     """
     end = F.coalesce(F.col("ended_at"), F.lit(until).cast("timestamp") if isinstance(until, str) else until if until is not None else F.col("ended_at"))
-    first = F.col("started_at") + F.expr(f"INTERVAL {every}")
-    ticks = F.when(first < end, F.sequence(first, end, F.expr(f"INTERVAL {every}")))
-    rows = sessions.withColumn("end", end).withColumn("tick", F.explode(ticks)).where("tick < end")
-    return rows.select(*LINK, "tick")
+    start, step = F.unix_micros("started_at"), F.expr(f"unix_micros(TIMESTAMP'1970-01-01 00:00:00Z' + INTERVAL {every})")
+    # ticks k = 1, 2, ... with start + k x step < end
+    rows = sessions.select(*LINK, start.alias("start"), step.alias("every"), F.unix_micros(end).alias("end"))
+    rows = rows.withColumn("n", F.expr("(end - start - 1) div every")).where("n > 0")
+    parts = rows.withColumn("part", F.explode(F.expr(f"sequence(0L, (n - 1) div {STRETCH})")))
+    ticks = parts.withColumn("k", F.explode(F.expr(f"sequence(part * {STRETCH} + 1, least(n, (part + 1) * {STRETCH}))")))
+    return ticks.select(*LINK, F.timestamp_micros(F.col("start") + F.col("k") * F.col("every")).alias("tick"))
 
 
 def heartbeat_rows(sessions: DataFrame, every: str = "10 seconds", until: str | Column | None = None, names: Names = NAMES) -> DataFrame:
@@ -169,10 +206,10 @@ def heartbeat_rows(sessions: DataFrame, every: str = "10 seconds", until: str |
 
 def sample_drop_warnings(fates: DataFrame, every: int = 100) -> DataFrame:
     """F14. The first, 101st, 201st ... refused packet of each link, with its running number and reason."""
-    drops = fates.where(F.col("outcome").isin("oversize", "buffer_full"))
+    drops = fates.where(F.col("outcome").isin(*REFUSED))
     at = "ts" if "ts" in fates.columns else "at"
-    n = F.row_number().over(Window.partitionBy(*LINK).orderBy(at, "seq"))
-    return drops.withColumn("dropped_total", n).where(F.col("dropped_total") % every == 1).select(*LINK, "seq", "dropped_total", F.col("outcome").alias("reason"))
+    numbered = carried(drops, at, {"dropped_total": ("count", F.lit(1))})
+    return numbered.where(F.col("dropped_total") % every == 1).select(*LINK, "seq", "dropped_total", F.col("outcome").alias("reason"))
 
 
 def sent_rows(fates: DataFrame) -> DataFrame:

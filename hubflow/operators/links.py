@@ -10,13 +10,19 @@ from hubflow.names import Limits
 
 #: One row per packet: what became of it when it was sent, and the buffer after that.
 SENT = "sent"
-#: One row per buffered packet that left its buffer (delivered or evicted), or per connect that flushed (flushed).
+#: One row per buffered packet that left its buffer (delivered or evicted).
 LEFT = "left"
+#: Outcomes of a packet that its link refused.
+REFUSED = ("oversize", "buffer_full")
 
 
 @dataclass
 class Link:
-    """Times are microseconds. ``held`` has (seq, size) of buffered packets in order."""
+    """Times are microseconds. ``held`` has (seq, size) of buffered packets in order.
+
+    Methods give (event, seq, at, outcome, buffer size, buffer bytes, cause): the buffer is that after the event, and the
+    cause is the number of the log's row, None for an eviction.
+    """
 
     limits: Limits
     connected: bool = False
@@ -37,22 +43,22 @@ class Link:
         """Drops the buffer if a tick up to ``now`` found it idle."""
         due = self.evict_due()
         if due is not None and due <= now:
-            yield from ((LEFT, seq, due, "evicted", None, None) for seq, _ in self.held)
+            yield from ((LEFT, seq, due, "evicted", 0, 0, None) for seq, _ in self.held)
             self.held, self.total, self.last_active = [], 0, None
 
-    def connect(self, now: int) -> Iterator[tuple]:
+    def connect(self, now: int, cause: int | None = None) -> Iterator[tuple]:
         """Delivers what is buffered, oldest first, and removes the buffer."""
         yield from self.evict(now)
         self.connected = True
-        yield from ((LEFT, seq, now, "delivered", None, None) for seq, _ in self.held)
+        yield from ((LEFT, seq, now, "delivered", 0, 0, cause) for seq, _ in self.held)
         self.held, self.total, self.last_active = [], 0, None
 
-    def flush_in_part(self, now: int, sent: int) -> Iterator[tuple]:
+    def flush_in_part(self, now: int, sent: int, cause: int | None = None) -> Iterator[tuple]:
         """A flush that ends after ``sent`` messages, by a failed send or a cancelled session: what is left stays, in order."""
         yield from self.evict(now)
         out, self.held = self.held[:sent], self.held[sent:]
-        yield from ((LEFT, seq, now, "delivered", None, None) for seq, _ in out)
         self.total -= sum(size for _, size in out)
+        yield from ((LEFT, seq, now, "delivered", len(self.held), self.total, cause) for seq, _ in out)
         if out:
             self.last_active = now
 
@@ -64,7 +70,8 @@ class Link:
         """A packet over an open link is delivered; without one, or where its send ``fails``, it waits if there is room."""
         yield from self.evict(now)
         if self.connected and not fails:
-            yield SENT, seq, now, "delivered", 0, 0
+            # an open link can have a buffer that a failed send began
+            yield SENT, seq, now, "delivered", len(self.held), self.total, seq
             return
         if self.last_active is None:
             self.last_active = now  # a refused packet makes a buffer, too
@@ -78,13 +85,13 @@ class Link:
             self.total += size
             self.last_active = now
         self.dropped += outcome != "buffered"
-        yield SENT, seq, now, outcome, len(self.held), self.total
+        yield SENT, seq, now, outcome, len(self.held), self.total, seq
 
     def handle(self, kind: str, seq: int, now: int, size: int | None) -> Iterator[tuple]:
         if kind == "connect":
-            return self.connect(now)
+            return self.connect(now, seq)
         if kind == "disconnect":
             return self.disconnect(now)
         if kind == "flush_failed":
-            return self.flush_in_part(now, size or 0)
+            return self.flush_in_part(now, size or 0, seq)
         return self.send(seq, now, size or 0, kind == "send_failed")

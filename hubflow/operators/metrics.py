@@ -40,13 +40,10 @@ def buffer_flushed(flushes: DataFrame, *, window: str | None = None, ts: str = "
 
 
 def buffer_gauges(fates: DataFrame) -> DataFrame:
-    """A5, A6. Last buffer size and bytes by link, after adds (refused ones too), flushes and evictions.
-
-    A packet that leaves a buffer leaves it empty, as flushes and evictions take the whole buffer.
-    """
-    left = F.col("event") == "left"
-    rows = fates.where(left | (F.col("outcome") != "delivered")).withColumns({"n": F.when(left, 0).otherwise(F.col("buffer_size")), "b": F.when(left, F.lit(0).cast("long")).otherwise(F.col("buffer_bytes"))})
-    last = F.max(F.struct("at", (~left).alias("sent"), "seq", "n", "b"))
+    """A5, A6. Last buffer size and bytes by link, after adds (refused ones too), flushes (partial ones too) and evictions."""
+    rows = fates.where((F.col("event") == "left") | (F.col("outcome") != "delivered"))
+    # what a tick evicted comes before the event that found it
+    last = F.max(F.struct("at", "cause", F.col("buffer_size").alias("n"), F.col("buffer_bytes").alias("b")))
     return rows.groupBy("run", "step").agg(last.alias("x")).select("run", "step", F.col("x.n").alias("buffer_size"), F.col("x.b").alias("buffer_bytes"))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from hubflow.functions import is_heartbeat
 from hubflow.names import MIB, NAMES, Names
@@ -75,7 +74,16 @@ def heartbeat_route(routed: DataFrame) -> DataFrame:
 
 
 def fail_stop(outcomes: DataFrame, session: tuple[str, ...] = ("namespace", "run", "step_id"), errors: tuple[str, ...] = ERRORS) -> DataFrame:
-    """P4. Adds processed: false for packets that come after an error of their session."""
-    w = Window.partitionBy(*session).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    failed = F.max(F.coalesce(F.col("outcome").isin(*errors), F.lit(False))).over(w)
-    return outcomes.withColumn("processed", ~F.coalesce(failed, F.lit(False)))
+    """P4. Adds processed: false for packets that come after an error of their session.
+
+    The first error of a session is an aggregate with partial sums, and Spark can split its join with the packets, so the
+    packets of a session never meet in one task. Sessions that begin again are those of ``sessions.run_fates``.
+    """
+    first = outcomes.where(F.col("outcome").isin(*errors)).groupBy(*session).agg(F.min(F.struct("ts", "seq")).alias("first_error"))
+    names = [f"{c}_of_error" for c in session]
+    first = first.select(*[F.col(c).alias(n) for c, n in zip(session, names, strict=True)], "first_error")
+    same = F.lit(True)
+    for c, n in zip(session, names, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    late = F.struct("ts", "seq") > F.col("first_error")
+    return outcomes.join(first, same, "left").withColumn("processed", ~F.coalesce(late, F.lit(False))).drop("first_error", *names)

@@ -88,6 +88,20 @@ def link_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.lit(SPACE).alias("namespace"), F.concat(F.lit("run-"), "user_id").alias("run"), F.lit("s1").alias("step"), instant("ts").alias("ts"), F.col("event_id").alias("seq"), (F.floor("value") + 1).cast("long").alias("size"))
 
 
+def troubled_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log with failed sends and partial flushes."""
+    i, t = F.col("event_id"), F.col("event_type")
+    kind = F.when(t == "signup", F.when(i % 3 == 0, "flush_failed").otherwise("connect")).when(t == "error", "disconnect").otherwise(F.when(i % 5 == 0, "send_failed").otherwise("packet"))
+    size = F.when(t == "signup", F.when(i % 3 == 0, i % 4)).when(t != "error", (F.floor("value") / 4).cast("long") + 1)
+    return table(spark, sf_dir, "events").select(F.lit(SPACE).alias("namespace"), F.concat(F.lit("run-"), "user_id").alias("run"), F.lit("s1").alias("step"), instant("ts").alias("ts"), i.alias("seq"), kind.alias("kind"), size.cast("long").alias("size"))
+
+
+def step_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connects and disconnects of every step of the packets' runs."""
+    e, i = table(spark, sf_dir, "events").where("event_type IN ('signup', 'error')"), F.col("event_id")
+    return e.select(F.lit(SPACE).alias("namespace"), F.concat(F.lit("run-"), "user_id").alias("run"), F.concat(F.lit("s"), (i % 8 + 1).cast("string")).alias("step"), instant("ts").alias("ts"), (i + 1_000_000_000).alias("seq"), F.when(F.col("event_type") == "signup", "connect").otherwise("disconnect").alias("kind"))
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("event_type")
     return table(spark, sf_dir, "events").select(F.lit("/proto.v1.HubService/Process").alias("method"), F.when(t == "error", "Internal").when(t == "signup", "Unavailable").otherwise("OK").alias("code"), (F.col("value") / 100).alias("duration_s"))
@@ -153,6 +167,27 @@ SQL = {
   SELECT e.run, e.rn, e.kind, e.seq, e.size, epoch_us(e.ts) AS t, f.connected, f.held, f.bytes, f.active, ((f.active + 172800000000) // 21600000000 + 1) * 21600000000 AS due
   FROM evicting f JOIN (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts, seq) AS rn FROM log) e ON e.run = f.run AND e.rn = f.rn + 1)))""",
     "sized": """SELECT run, connect_no, ts, seq, next_connect, 'delivered' AS outcome FROM linked WHERE kind = 'packet' AND connected UNION ALL SELECT run, connect_no, ts, seq, next_connect, outcome FROM fold""",
+    "troubled_log": """SELECT 'run-' || user_id AS run, ts, event_id AS seq, CASE event_type WHEN 'signup' THEN CASE WHEN event_id % 3 = 0 THEN 'flush_failed' ELSE 'connect' END WHEN 'error' THEN 'disconnect' ELSE CASE WHEN event_id % 5 = 0 THEN 'send_failed' ELSE 'packet' END END AS kind,
+  CASE event_type WHEN 'signup' THEN CASE WHEN event_id % 3 = 0 THEN event_id % 4 END WHEN 'error' THEN NULL ELSE CAST(floor(value) AS BIGINT) // 4 + 1 END AS size FROM events""",
+    # the whole state of a link after each of its events; gone has what the event delivered from the buffer
+    "troubled": """SELECT DISTINCT run, CAST(0 AS BIGINT) AS rn, false AS connected, CAST([] AS BIGINT[]) AS held, CAST([] AS BIGINT[]) AS sizes, CAST([] AS BIGINT[]) AS gone, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS t, CAST(NULL AS VARCHAR) AS outcome FROM troubled_log
+  UNION ALL SELECT run, rn, CASE kind WHEN 'connect' THEN true WHEN 'disconnect' THEN false ELSE connected END, CASE WHEN kind = 'connect' THEN [] WHEN kind = 'flush_failed' THEN held[size + 1:] WHEN outcome = 'buffered' THEN list_append(held, seq) ELSE held END,
+  CASE WHEN kind = 'connect' THEN [] WHEN kind = 'flush_failed' THEN sizes[size + 1:] WHEN outcome = 'buffered' THEN list_append(sizes, size) ELSE sizes END, CASE WHEN kind = 'connect' THEN held WHEN kind = 'flush_failed' THEN held[1:size] ELSE [] END, seq, t, outcome FROM (
+  SELECT e.run, e.rn, e.kind, e.seq, e.size, epoch_us(e.ts) AS t, f.connected, f.held, f.sizes, CASE WHEN e.kind = 'packet' AND f.connected THEN 'delivered' WHEN e.kind IN ('packet', 'send_failed') THEN CASE WHEN e.size > 60 THEN 'oversize' WHEN len(f.held) >= 5 OR coalesce(list_sum(f.sizes), 0) + e.size > 60 THEN 'buffer_full' ELSE 'buffered' END END AS outcome
+  FROM troubled f JOIN (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts, seq) AS rn FROM troubled_log) e ON e.run = f.run AND e.rn = f.rn + 1)""",
+    "troubled_gauges": """SELECT run, 's1' AS step, CAST(len(held) AS INTEGER) AS buffer_size, CAST(coalesce(list_sum(sizes), 0) AS BIGINT) AS buffer_bytes FROM (
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY rn DESC) AS k FROM troubled WHERE outcome IN ('buffered', 'buffer_full', 'oversize') OR len(gone) > 0) WHERE k = 1""",
+    "chain_log": """SELECT run, step_id AS step, ts, seq, 'packet' AS kind, outcome, w_key AS target, strlen(CASE WHEN outcome IN ('deliver', 'batch_submitted') THEN new_payload ELSE payload END) AS size FROM routed
+  UNION ALL SELECT 'run-' || user_id, 's' || (event_id % 8 + 1), ts, event_id + 1000000000, CASE event_type WHEN 'signup' THEN 'connect' ELSE 'disconnect' END, NULL, NULL, NULL FROM events WHERE event_type IN ('signup', 'error')""",
+    # the whole state of a run after each of its events: open links, ended sessions, all buffers
+    "chained": """SELECT DISTINCT run, CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS open, CAST([] AS VARCHAR[]) AS ended, CAST([] AS STRUCT(step VARCHAR, seq BIGINT, size BIGINT)[]) AS held, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS told, CAST(NULL AS VARCHAR) AS fate FROM chain_log
+  UNION ALL SELECT run, rn, CASE WHEN kind = 'connect' THEN list_append(list_filter(open, lambda x: x <> step), step) WHEN kind = 'disconnect' OR told IN ('unavailable', 'internal', 'resource_exhausted') THEN list_filter(open, lambda x: x <> step) ELSE open END,
+  CASE WHEN kind = 'connect' THEN list_filter(ended, lambda x: x <> step) WHEN told IN ('unavailable', 'internal', 'resource_exhausted') THEN list_append(ended, step) ELSE ended END,
+  CASE WHEN kind = 'connect' THEN list_filter(held, lambda x: x.step <> step) WHEN told = 'buffered' THEN list_append(held, struct_pack(step := target, seq := seq, size := size)) ELSE held END, seq, kind, told, fate FROM (
+  SELECT *, CASE WHEN kind <> 'packet' THEN NULL WHEN skipped THEN 'unprocessed' WHEN fate IN ('oversize', 'buffer_full') THEN CASE outcome WHEN 'heartbeat' THEN 'heartbeat_dropped' ELSE 'resource_exhausted' END ELSE coalesce(fate, outcome) END AS told FROM (
+  SELECT *, CASE WHEN kind = 'packet' AND NOT skipped AND outcome IN ('deliver', 'heartbeat') THEN CASE WHEN list_contains(open, target) THEN 'delivered' WHEN size > 60 THEN 'oversize' WHEN len(mine) >= 3 OR coalesce(list_sum(list_transform(mine, lambda x: x.size)), 0) + size > 60 THEN 'buffer_full' ELSE 'buffered' END END AS fate FROM (
+  SELECT e.*, f.open, f.ended, f.held, list_contains(f.ended, e.step) AS skipped, list_filter(f.held, lambda x: x.step = e.target) AS mine
+  FROM chained f JOIN (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts, seq) AS rn FROM chain_log) e ON e.run = f.run AND e.rn = f.rn + 1)))""",
     "paired": """SELECT *, lag(pos) OVER w AS up_pos, lag(key) OVER w AS up_key, lag(name) OVER w AS up_name, lag(ref) OVER w AS up_ref, lag(hubs) OVER w AS up_hubs, lead(name) OVER w AS down_name, lead(ref) OVER w AS down_ref, lead(hubs) OVER w AS down_hubs
   FROM (SELECT *, sum(CASE WHEN ref IS NULL AND type IN ('transform', 'filter') THEN 1 ELSE 0 END) OVER (PARTITION BY pipeline ORDER BY pos) AS hubs FROM steps) WHERE ref IS NOT NULL WINDOW w AS (PARTITION BY pipeline ORDER BY pos)""",
     "live": "SELECT r.run, r.pipeline, p.strategy, r.deleted_at, CASE WHEN r.deleted_at IS NULL THEN 'active' ELSE 'deleting' END AS phase FROM runs r JOIN pipelines p ON r.pipeline = p.pipeline WHERE p.pattern = 'streaming'",
@@ -163,7 +198,7 @@ SQL = {
   FROM paired s JOIN live l ON s.pipeline = l.pipeline WHERE l.phase = 'active') GROUP BY run, pipeline, worker""",
 }
 #: The views that each view needs.
-NEEDS = {"nexts": ["steps"], "located": ["packets", "runs", "steps", "nexts", "workers"], "routed": ["located"], "linked": ["log"], "counted": ["linked"], "waiting": ["linked"], "fold": ["waiting"], "evicting": ["log"], "sized": ["linked", "fold"], "paired": ["steps"], "live": ["runs", "pipelines"], "assigned": ["paired", "live"]}
+NEEDS = {"nexts": ["steps"], "located": ["packets", "runs", "steps", "nexts", "workers"], "routed": ["located"], "linked": ["log"], "counted": ["linked"], "waiting": ["linked"], "fold": ["waiting"], "evicting": ["log"], "sized": ["linked", "fold"], "troubled": ["troubled_log"], "troubled_gauges": ["troubled"], "chain_log": ["routed"], "chained": ["chain_log"], "paired": ["steps"], "live": ["runs", "pipelines"], "assigned": ["paired", "live"]}
 
 
 def sql(body: str, *views: str) -> str:

@@ -13,7 +13,7 @@ from hubflow.names import NAMES, Limits
 from hubflow.operators import buffering as buf
 from hubflow.operators import metrics as m
 from hubflow.operators import packets as pk
-from hubflow.operators import resolve, steps, topology, transform
+from hubflow.operators import resolve, sessions, steps, topology, transform
 from hubflow.operators import route as rt
 from hubflow.plans import fixtures as fx
 from hubflow.plans.fixtures import sql
@@ -353,6 +353,53 @@ def routed_counts(s, d):
     return _routed(s, d).groupBy("run", "step_id", "outcome").agg(F.count("*").alias("packets"))
 
 
+def _chain_log(s: SparkSession, d: str, packets: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+    """Routed packets with the bytes of what is sent, and the events of their runs' steps."""
+    routed = _routed(s, d) if packets is None else rt.route(packets, fx.runs(s, d), fx.pipelines(s, d), fx.workers(s, d), steps=fx.steps(s, d))
+    return sessions.run_log(routed, fx.step_events(s, d) if events is None else events, F.octet_length("payload"))
+
+
+CHAINED = "SELECT run, seq, told AS outcome, CASE WHEN fate IN ('oversize', 'buffer_full') THEN fate END AS reason FROM chained WHERE kind = 'packet'"
+
+
+@query(CHAINED, "chained")
+def r1_resource_exhausted(s, d):
+    """R1 with W2 and P4: refused packets end their sender's session and close its link."""
+    return sessions.run_fates(_chain_log(s, d), Limits(3, 60)).where("event = 'sent'").select("run", "seq", "outcome", "reason")
+
+
+@query(CHAINED, "chained")
+def r1_stream_sessions(s, d):
+    """The same as a stream: packets and events are written, read as streams, routed and followed in one query."""
+    path, before = scratch(s, "chain"), s.conf.get(streaming.STATE_STORE[0])
+    packets, events = fx.packets(s, d), fx.step_events(s, d)
+    packets.write.parquet(f"{path}/packets")
+    events.write.parquet(f"{path}/events")
+    read = lambda name, like: s.readStream.schema(like.schema).parquet(f"{path}/{name}")
+    s.conf.set(*streaming.STATE_STORE)
+    try:
+        fates = streaming.stream_run_fates(_chain_log(s, d, read("packets", packets), read("events", events)), Limits(3, 60))
+        sources.write_routed(fates, f"{path}/out", checkpoint=f"{path}/checkpoint", by=("event",)).awaitTermination()
+    finally:
+        s.conf.set(streaming.STATE_STORE[0], before)
+    return s.read.parquet(f"{path}/out").where("event = 'sent'").select("run", "seq", "outcome", "reason")
+
+
+@query("""SELECT seq, outcome, NOT coalesce(bool_or(outcome IN ('unavailable', 'internal', 'resource_exhausted')) OVER (PARTITION BY run, step, begun ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS processed
+  FROM (SELECT *, count(CASE WHEN kind = 'connect' THEN 1 END) OVER (PARTITION BY run, step ORDER BY ts, seq) AS begun FROM chain_log) WHERE kind = 'packet'""", "chain_log")
+def p4_stream_fail_stop(s, d):
+    """P4 over a stream: a session that an error ended stays so until its step connects again."""
+    path, before = scratch(s, "sessions"), s.conf.get(streaming.STATE_STORE[0])
+    _chain_log(s, d).write.parquet(f"{path}/in")
+    s.conf.set(*streaming.STATE_STORE)
+    try:
+        told = streaming.stream_fail_stop(s.readStream.schema(sessions.LOG).parquet(f"{path}/in"))
+        sources.write_routed(told, f"{path}/out", checkpoint=f"{path}/checkpoint").awaitTermination()
+    finally:
+        s.conf.set(streaming.STATE_STORE[0], before)
+    return s.read.parquet(f"{path}/out").select("seq", "outcome", "processed")
+
+
 # ---- links
 
 
@@ -449,6 +496,26 @@ def _fates(s: SparkSession, d: str) -> DataFrame:
     return buf.link_fates(_log(s, d), Limits(**CAPS))
 
 
+def _troubled(s: SparkSession, d: str) -> DataFrame:
+    return buf.send_or_buffer(fx.troubled_log(s, d), **CAPS)
+
+
+@query("SELECT s.run, s.seq, s.outcome, CASE s.outcome WHEN 'delivered' THEN s.t WHEN 'buffered' THEN g.t END AS delivered FROM troubled s LEFT JOIN (SELECT run, unnest(gone) AS seq, t FROM troubled) g ON g.run = s.run AND g.seq = s.seq WHERE s.outcome IS NOT NULL", "troubled")
+def w2_failed_sends(s, d):
+    return _troubled(s, d).select("run", "seq", "outcome", _us("delivered_at").alias("delivered"))
+
+
+@query("SELECT run, t AS flushed_at, len(gone) AS flushed FROM troubled WHERE len(gone) > 0", "troubled")
+def w4_flush_in_part(s, d):
+    return buf.flush_on_connect(_troubled(s, d)).select("run", _us("flushed_at").alias("flushed_at"), "flushed")
+
+
+@query("SELECT * FROM troubled_gauges", "troubled_gauges")
+def a5_gauges_after_failures(s, d):
+    """A5 and A6 where sends fail and flushes end in part."""
+    return m.buffer_gauges(buf.link_fates(fx.troubled_log(s, d), Limits(**CAPS)))
+
+
 @query(f"SELECT run, step, buffer_size FROM ({GAUGES})", "fold")
 def a5_buffer_size(s, d):
     return m.buffer_gauges(_fates(s, d)).select("run", "step", "buffer_size")

@@ -12,8 +12,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from hubflow.names import LIMITS, Limits
 from hubflow.operators.buffering import FATES, LINK
 from hubflow.operators.links import SENT, Link
+from hubflow.operators.route import ERRORS
+from hubflow.operators.sessions import FATES as RUN_FATES
+from hubflow.operators.sessions import RUN, Run, fates_batch
 
 LOG = "namespace STRING, run STRING, step STRING, ts TIMESTAMP, seq BIGINT, kind STRING, size BIGINT"
+#: What ``stream_fail_stop`` gives.
+PROCESSED = "namespace string, run string, step string, seq long, ts timestamp, outcome string, processed boolean"
 #: State that spills to disk; set on the session before a stateful query starts.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -49,9 +54,9 @@ class LinkProcessor(StatefulProcessor):
             self.handle.registerTimer(due // 1000 + 1)
 
     def _rows(self, key: tuple, events: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame([(*key, seq, event, at, outcome, n, total) for event, seq, at, outcome, n, total in events], columns=[x.split()[0] for x in FATES.split(", ")])
+        out = pd.DataFrame([(*key, seq, event, at, outcome, n, total, cause) for event, seq, at, outcome, n, total, cause in events], columns=[x.split()[0] for x in FATES.split(", ")])
         out["at"] = pd.to_datetime(out["at"], unit="us", utc=True).dt.tz_localize(None) if len(out) else pd.to_datetime(out["at"])
-        return out.astype({"seq": "int64", "buffer_size": "Int32", "buffer_bytes": "Int64"})
+        return out.astype({"seq": "int64", "buffer_size": "Int32", "buffer_bytes": "Int64", "cause": "Int64"})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         link, latest = self._load()
@@ -59,7 +64,7 @@ class LinkProcessor(StatefulProcessor):
         events: list[tuple] = []
         for seq, kind, size, at in zip(batch["seq"], batch["kind"], batch["size"], batch["at_us"], strict=True):
             if self.lateness is not None and at < latest - self.lateness * 1e6:
-                events += [(SENT, int(seq), int(at), "late", None, None)] if kind in ("packet", "send_failed") else []
+                events += [(SENT, int(seq), int(at), "late", None, None, None)] if kind in ("packet", "send_failed") else []
                 continue
             latest = max(latest, int(at))
             events += link.handle(kind, int(seq), int(at), None if pd.isna(size) else int(size))
@@ -73,6 +78,97 @@ class LinkProcessor(StatefulProcessor):
         yield self._rows(key, events)
 
 
+class RunProcessor(StatefulProcessor):
+    """R1 with W2 and P4 of one run: its links and buffers are list state (see ``sessions.Run``)."""
+
+    def __init__(self, limits: Limits = LIMITS):
+        self.limits = limits
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.steps = handle.getListState("steps", "step string, connected boolean, ended boolean, total long, dropped long, last_active long")
+        self.held = handle.getListState("held", "step string, seq long, size long")
+
+    def _load(self) -> Run:
+        state = Run(self.limits)
+        for step, connected, ended, total, dropped, active in self.steps.get() if self.steps.exists() else ():
+            if ended:
+                state.ended.add(step)
+            state.links[step] = Link(self.limits, connected, [], total, dropped, None if active < 0 else active)
+        for step, seq, size in self.held.get() if self.held.exists() else ():
+            state.links[step].held.append((seq, size))
+        return state
+
+    def _save(self, state: Run) -> None:
+        steps = [(k, x.connected, k in state.ended, x.total, x.dropped, -1 if x.last_active is None else x.last_active) for k, x in state.links.items()]
+        steps += [(k, False, True, 0, 0, -1) for k in state.ended if k not in state.links]
+        for kept, rows in ((self.steps, steps), (self.held, [(k, *h) for k, x in state.links.items() for h in x.held])):
+            if rows:
+                kept.put(rows)
+            else:
+                kept.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state, out = self._load(), []
+        batch = pd.concat(list(rows)).sort_values(["at_us", "seq"])
+        plain = lambda x: None if pd.isna(x) else x
+        for r in batch.itertuples():
+            out.extend((*key, *x) for x in state.handle(r.step, r.kind, int(r.seq), int(r.at_us), plain(r.outcome), plain(r.target), None if pd.isna(r.size_) else int(r.size_)))
+        self._save(state)
+        made = fates_batch(out).to_pandas()
+        made["at"] = made["at"].dt.tz_localize(None)
+        yield made.astype({"seq": "int64", "buffer_size": "Int32", "buffer_bytes": "Int64"})
+
+
+def stream_run_fates(log: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """The streaming form of ``sessions.run_fates``: routed packets and link events (see ``sessions.run_log``), keyed by run.
+
+    Routing is a join of the stream with static dimensions; its outcomes go on into the runs' state in the same query. A
+    micro-batch is sorted by (ts, seq) per run. Buffers without a time to live only; see ``stream_link_fates`` for eviction.
+    """
+    if limits.ttl_s is not None:
+        raise ValueError("buffers of runs have no time to live; use stream_link_fates")
+    keys = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in (*RUN, "step")]
+    rows = log.select(*keys, "seq", "kind", "outcome", "target", F.col("size").alias("size_"), F.unix_micros("ts").alias("at_us"))
+    return rows.groupBy(*RUN).transformWithStateInPandas(RunProcessor(limits), outputStructType=RUN_FATES, outputMode="Append", timeMode="None")
+
+
+class SessionProcessor(StatefulProcessor):
+    """P4 of one session: whether an error ended it. The state goes when the session begins again, or after its time to live."""
+
+    def __init__(self, errors: tuple[str, ...], ttl_ms: int | None):
+        self.errors, self.ttl = errors, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ended = handle.getValueState("ended", "ended boolean", self.ttl) if self.ttl else handle.getValueState("ended", "ended boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ended = self.ended.exists()
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["at_us", "seq"]).itertuples():
+            if r.kind == "connect":
+                ended = False
+            elif r.kind == "packet":
+                out.append((*key, r.seq, r.ts, r.outcome, not ended))
+                ended = ended or r.outcome in self.errors
+        if ended:
+            self.ended.update((True,))
+        else:
+            self.ended.clear()
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in PROCESSED.split(", ")]).astype({"seq": "int64", "processed": "bool"})
+
+
+def stream_fail_stop(log: DataFrame, errors: tuple[str, ...] = ERRORS, ttl_ms: int | None = None) -> DataFrame:
+    """P4 over a stream of ``sessions.run_log`` rows: namespace, run, step, seq, ts, outcome, processed of every packet.
+
+    Packets after an error of their session aren't processed until a connect of the step. ``ttl_ms`` (processing time)
+    bounds how long an ended session is remembered. A micro-batch is sorted by (ts, seq) per session.
+    """
+    keys = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in LINK]
+    rows = log.select(*keys, "seq", "ts", "kind", "outcome", F.unix_micros("ts").alias("at_us"))
+    return rows.groupBy(*LINK).transformWithStateInPandas(SessionProcessor(errors, ttl_ms), outputStructType=PROCESSED, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+
+
 def stream_link_fates(log: DataFrame, limits: Limits = LIMITS, *, lateness_s: float | None = None, watermark: str = "10 minutes") -> DataFrame:
     """The streaming form of ``buffering.link_fates``: same rows, keyed state instead of a sorted pass.
 
