@@ -47,13 +47,20 @@ def resolve_inputs(df: DataFrame, static: str = "target_with") -> DataFrame:
     return df.withColumns({"step_input": F.when(own, inputs_json("inputs")).otherwise(F.col(static)), "inputs_resolved": own})
 
 
-def session_deadline(packets: DataFrame, sessions: DataFrame, timeout: str = "30 seconds") -> DataFrame:
+def session_deadline(packets: DataFrame, sessions: DataFrame, timeout: str = "30 seconds", watermark: str = "10 minutes") -> DataFrame:
     """F11. Keeps packets that come before their session's start plus ``timeout``.
 
     ``sessions``: namespace, run, step_id, session_id, started_at; ``packets`` has session_id, so the join is by equality.
+    Over two streams a packet joins the sessions that began at most ``timeout`` before it, so the state of either side
+    ends once the watermarks (``watermark`` behind the latest times) are past; there no packet is older than its session.
     """
-    s = sessions.select("session_id", "started_at")
-    return packets.join(s, "session_id").where(F.col("ts") < F.col("started_at") + F.expr(f"INTERVAL {timeout}"))
+    s = sessions.select(F.col("session_id").alias("of_session"), "started_at")
+    if packets.isStreaming and sessions.isStreaming:
+        packets, s = packets.withWatermark("ts", watermark), s.withWatermark("started_at", watermark)
+    on = (F.col("session_id") == F.col("of_session")) & (F.col("ts") < F.col("started_at") + F.expr(f"INTERVAL {timeout}"))
+    if packets.isStreaming and sessions.isStreaming:
+        on = on & (F.col("ts") >= F.col("started_at"))
+    return packets.join(s, on).drop("of_session")
 
 
 def max_message_filter(df: DataFrame, size: str | Column, recv_max: int = 10 * MIB, send_max: int = 10 * MIB) -> DataFrame:

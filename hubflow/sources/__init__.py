@@ -64,3 +64,22 @@ def build_step_runs(routed: DataFrame, names: Names = NAMES) -> DataFrame:
 def dead_letters(routed: DataFrame, outcomes: tuple[str, ...] = DEAD) -> DataFrame:
     """S5. Packets that were dropped or refused."""
     return routed.where(F.col("outcome").isin(*outcomes))
+
+
+def write_two_sinks(df: DataFrame, path: str, dead_path: str, *, checkpoint: str, outcomes: tuple[str, ...] = DEAD, trigger: dict | None = None):
+    """S3 and S5 over a stream: dead letters to one folder, all other packets to another, from one pass; gives a started query.
+
+    Each micro-batch has a folder of its own in both places (``batch_no=...``), which is replaced as a whole. So a batch
+    that failed between its two sinks and is run again writes nothing twice.
+    """
+
+    def both(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        try:
+            dead = F.coalesce(F.col("outcome").isin(*outcomes), F.lit(False))
+            for where, rows in ((dead_path, kept.where(dead)), (path, kept.where(~dead))):
+                rows.write.mode("overwrite").parquet(f"{where}/batch_no={number}")
+        finally:
+            kept.unpersist()
+
+    return df.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -27,7 +27,7 @@ class LinkProcessor(StatefulProcessor):
     """W2 to W5 and W7 of one link. The buffer is list state, the rest one value; both are restored from the checkpoint."""
 
     def __init__(self, limits: Limits = LIMITS, lateness_s: float | None = None):
-        self.limits, self.lateness = limits, lateness_s
+        self.limits, self.lateness, self.timed = limits, lateness_s, limits.ttl_s is not None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -61,9 +61,10 @@ class LinkProcessor(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         link, latest = self._load()
         batch = pd.concat(list(rows)).sort_values(["at_us", "seq"])
+        behind = timerValues.getCurrentWatermarkInMs() * 1000 if self.timed else 0
         events: list[tuple] = []
         for seq, kind, size, at in zip(batch["seq"], batch["kind"], batch["size"], batch["at_us"], strict=True):
-            if self.lateness is not None and at < latest - self.lateness * 1e6:
+            if self.lateness is not None and at < latest - self.lateness * 1e6 or self.timed and at < behind:
                 events += [(SENT, int(seq), int(at), "late", None, None, None)] if kind in ("packet", "send_failed") else []
                 continue
             latest = max(latest, int(at))
@@ -174,12 +175,12 @@ def stream_link_fates(log: DataFrame, limits: Limits = LIMITS, *, lateness_s: fl
 
     A micro-batch is sorted by (ts, seq) per link. W7: with ``lateness_s`` a packet that is older than the latest event
     of its link by more gets the outcome ``late`` and changes nothing. With a time to live, timers evict idle buffers
-    when the watermark passes them; rows later than the watermark are dropped by Spark and counted in
-    numRowsDroppedByWatermark.
+    when the watermark passes them, and packets behind the watermark are ``late``, too: the time goes on as a number, so
+    Spark follows the watermark but drops no row. Every packet comes out, late ones for ``sources.write_two_sinks``.
     """
     timed = limits.ttl_s is not None
     rows = log.withWatermark("ts", watermark) if timed else log
-    rows = rows.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in LINK], "ts", "seq", "kind", "size", F.unix_micros("ts").alias("at_us"))
+    rows = rows.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in LINK], "seq", "kind", "size", F.unix_micros("ts").alias("at_us"))
     return rows.groupBy(*LINK).transformWithStateInPandas(LinkProcessor(limits, lateness_s), outputStructType=FATES, outputMode="Append", timeMode="EventTime" if timed else "None")
 
 

@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hubflow import streaming
+from hubflow import sources, streaming
 from hubflow.names import Limits
 from hubflow.operators import buffering as buf
+from hubflow.operators import packets as pk
 from hubflow.operators import ranges, sessions
 from hubflow.operators import route as rt
 
@@ -195,3 +196,52 @@ def test_first_errors_by_aggregate(spark):
     out = rt.fail_stop(df)
     assert {r.seq: r.processed for r in out.collect()} == {1: True, 2: True, 3: False, 4: True, 5: True, 6: False}
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+# late packets, two sinks, deadlines over streams
+
+
+@pytest.mark.parametrize("limits", [Limits(), Limits(ttl_s=600, every_s=60)])
+def test_every_packet_comes_out(spark, tmp_path, limits):
+    """Rows in are rows out, whether late by the link's own time or behind the watermark."""
+    files = [[("ns", "a", "s", 100_000 + i, i, "packet", 1) for i in range(5)], [("ns", "b", "s", 100_100, 10, "packet", 1)], [("ns", "a", "s", 10 + i, 20 + i, "packet", 1) for i in range(3)] + [("ns", "c", "s", 20, 30, "packet", 1), ("ns", "c", "s", 100_200, 31, "packet", 1)]]
+    for rows in files:
+        frame(spark, rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    src = streaming.read_log(spark, f"{tmp_path}/in", maxFilesPerTrigger="1")
+    fates = streaming.stream_link_fates(src, limits, lateness_s=None if limits.ttl_s else 60, watermark="1 minute").where("event = 'sent'")
+    sources.write_two_sinks(fates, f"{tmp_path}/out", f"{tmp_path}/dead", checkpoint=f"{tmp_path}/ck").awaitTermination()
+    out, dead = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("out", "dead"))
+    assert sorted(r.seq for r in out.unionByName(dead).collect()) == [0, 1, 2, 3, 4, 10, 20, 21, 22, 30, 31]
+    assert {r.outcome for r in dead.collect()} == {"late"}
+    # a link of its own has no time of its own yet, so it is late by the watermark alone
+    assert sorted(r.seq for r in dead.collect()) == ([20, 21, 22, 30] if limits.ttl_s else [20, 21, 22])
+
+
+def test_a_batch_that_failed_between_its_sinks(spark, tmp_path):
+    """The restarted query runs the batch again and nothing is there twice."""
+    df = spark.createDataFrame([(i, "late" if i % 3 == 0 else "delivered") for i in range(30)], "seq long, outcome string")
+    for k in range(3):
+        df.where(f"seq % 3 = {k} OR seq div 10 = {k}").where(f"seq div 10 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    src = lambda: spark.readStream.schema("seq long, outcome string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    # dead letters are written first; the second sink fails on a row of the second batch
+    fails = F.when((F.col("seq") == 11) & (F.col("outcome") != "late"), F.raise_error(F.lit("killed"))).otherwise(F.col("seq")).cast("long")
+    with pytest.raises(Exception, match="killed"):
+        sources.write_two_sinks(src().withColumn("seq", fails), f"{tmp_path}/out", f"{tmp_path}/dead", checkpoint=f"{tmp_path}/ck").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() < 20
+    sources.write_two_sinks(src(), f"{tmp_path}/out", f"{tmp_path}/dead", checkpoint=f"{tmp_path}/ck").awaitTermination()
+    out, dead = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("out", "dead"))
+    assert sorted(r.seq for r in dead.collect()) == list(range(0, 30, 3))
+    assert sorted(r.seq for r in out.collect()) == [i for i in range(30) if i % 3]
+
+
+def test_deadline_over_two_streams(spark, tmp_path):
+    packets = instants(spark.createDataFrame([(i, f"s{i % 3}", 1000 + 100 * (i % 3) + i) for i in range(90)], "seq long, session_id string, at long"))
+    begun = spark.createDataFrame([(f"s{k}", 1000 + 100 * k) for k in range(3)], "session_id string, at long").select("session_id", F.timestamp_seconds("at").alias("started_at"))
+    packets.write.parquet(f"{tmp_path}/p")
+    begun.write.parquet(f"{tmp_path}/s")
+    live = pk.session_deadline(spark.readStream.schema(packets.schema).parquet(f"{tmp_path}/p"), spark.readStream.schema(begun.schema).parquet(f"{tmp_path}/s"))
+    q = live.select("seq").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = sorted(r.seq for r in pk.session_deadline(packets, begun).collect())
+    assert sorted(r.seq for r in spark.read.parquet(f"{tmp_path}/out").collect()) == want == list(range(30))
+    assert "EventTimeWatermark" in live._jdf.queryExecution().logical().toString()
