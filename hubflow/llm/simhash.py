@@ -17,14 +17,15 @@ from hubflow.llm.components import connected_components, local_forest
 BITS = 64
 #: Largest part of a bucket that one task compares with another part; larger buckets are split into such parts.
 BLOCK = 4096
-#: Candidates a member of a bucket beyond which stars are verified first instead of all pairs.
-DENSE = 0.9
-#: Documents of a part whose candidates are verified in one task with those of another part.
-GROUP = 512
+#: Most differing bits of the fingerprints of longer shingles. Of unrelated pairs that pass the first fingerprint, one in
+#: 3,000 passes this one, too, so candidates of a large corpus don't all hang together.
+ALSO = 18
+#: Documents, and shingles, of a part whose candidates are verified in one task with those of another part.
+GROUP, SHINGLES = 512, 1 << 20
 #: One of so many nodes tells which buckets are large.
 ONE_OF = 32
-#: Most rows, and most bytes of shingle sets, that are broadcast.
-SMALL, SMALL_BYTES = 100_000, 32 << 20
+#: Most rows that are broadcast.
+SMALL = 100_000
 
 
 def covering_masks(radius: int, first: int = 0, width: int = BITS) -> list[int]:
@@ -139,46 +140,34 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-def _nearest_ranks(i: np.ndarray, j: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs i, j one for each member: the one with its partner of least ``rank``.
+def candidate_links(nodes: DataFrame, radius: int, also: int, *, parts: int = 2, block: int = BLOCK) -> DataFrame:
+    """Links ``a, b`` that connect what the candidates among ``nodes`` (``node, fp, other``) connect.
 
-    Ranks are the same in all tables, so the many buckets of a group mostly list the same pairs.
-    """
-    a, b = np.concatenate([i, j]), np.concatenate([j, i])
-    order = np.lexsort((rank[b], a))
-    first = order[np.concatenate([[True], np.diff(a[order]) > 0])]
-    return a[first], b[first]
-
-
-def candidate_pairs(nodes: DataFrame, radius: int, *, parts: int = 2, block: int = BLOCK, dense: float = DENSE, salt: int | None = None) -> DataFrame:
-    """Pairs ``a, b`` of nodes (``node, fp``) whose fingerprints differ in at most ``radius`` bits; ``one`` is false.
-
-    Tables are those of ``split_masks``; a pair counts in the first table in which it meets and in no other. A bucket
-    with more than ``dense`` such pairs for each of their members lists less: for each member a the pair with its partner
-    b of least rank (a hash with the ``salt``), and ``one`` is true. Without a salt only forests are listed that connect
-    what all pairs connect. A sample tells which buckets are large: these are dealt into parts of about ``block``, and each two
-    parts meet in a task. So no bucket is dropped, capped or gathered whole.
+    Candidates are the pairs whose ``fp`` differ in at most ``radius`` bits and whose ``other`` fingerprints in at most
+    ``also``. Tables are those of ``split_masks`` over ``fp``; a pair counts in the first table in which it meets. A task
+    returns a spanning forest of the candidates at hand instead of all. A sample tells which buckets are large: these are
+    dealt into parts of about ``block``, and each two parts meet in a task. So no bucket is dropped, capped or gathered whole.
     """
     masks, width = split_masks(radius, parts), BITS // parts
     tables = F.array(*[F.struct(F.lit(t << width).alias("table"), F.lit(m).alias("mask"), F.lit(t * parts // len(masks) * width).alias("shift")) for t, m in enumerate(masks)])
 
     def keyed(some: DataFrame) -> DataFrame:
-        return some.select("node", "fp", F.explode(tables).alias("x")).select(F.expr("shiftrightunsigned(fp & x.mask, x.shift) + x.table").alias("bucket"), "node", "fp")
+        return some.select("node", "fp", "other", F.explode(tables).alias("x")).select(F.expr("shiftrightunsigned(fp & x.mask, x.shift) + x.table").alias("bucket"), "node", "fp", "other")
 
     sample = keyed(nodes.where(F.pmod(F.xxhash64("node"), F.lit(ONE_OF)) == 0)).groupBy("bucket").agg((F.count("*") * ONE_OF).alias("n"))
     large = cut(sample.where(F.col("n") > block).select("bucket", F.ceil(2 * F.col("n") / block).cast("int").alias("parts")))
     if large.isEmpty():
-        met = keyed(nodes).select("bucket", F.lit(0).alias("deal"), "node", "fp", F.lit(0).alias("mine"))
+        met = keyed(nodes).select("bucket", F.lit(0).alias("deal"), "node", "fp", "other", F.lit(0).alias("mine"))
     else:
         split = keyed(nodes).join(F.broadcast(large) if large.count() <= SMALL else large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        split = split.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        met = split.select("bucket", (F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")).alias("deal"), "node", "fp", "mine")
+        split = split.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        met = split.select("bucket", (F.least("mine", "with") * F.col("parts") + F.greatest("mine", "with")).alias("deal"), "node", "fp", "other", "mine")
     met = met.repartition("bucket", "deal").sortWithinPartitions("bucket", "deal")
     unsigned = np.array(masks, np.int64).view(np.uint64)
-    names = ["bucket", "deal", "node", "fp", "mine"]
+    names = ["bucket", "deal", "node", "fp", "other", "mine"]
 
-    def compare(bucket: np.ndarray, deal: np.ndarray, node: np.ndarray, fp: np.ndarray, mine: np.ndarray) -> pa.RecordBatch:
-        fp, first, second = fp.view(np.uint64), [], []
+    def compare(bucket: np.ndarray, deal: np.ndarray, node: np.ndarray, fp: np.ndarray, other: np.ndarray, mine: np.ndarray) -> pa.RecordBatch:
+        fp, other, first, second = fp.view(np.uint64), other.view(np.uint64), [], []
         group = np.cumsum(np.concatenate([[0], (np.diff(bucket) != 0) | (np.diff(deal) != 0)]))[: len(bucket)]
         same, shift = np.arange(len(group)), 0
         while len(same):  # rows with a row of the same group so many places on
@@ -186,6 +175,7 @@ def candidate_pairs(nodes: DataFrame, radius: int, *, parts: int = 2, block: int
             same = same[same + shift < len(group)]
             same = same[group[same] == group[same + shift]]
             hit = same[np.bitwise_count(fp[same] ^ fp[same + shift]) <= radius]
+            hit = hit[np.bitwise_count(other[hit] ^ other[hit + shift]) <= also]
             first.append(hit)
             second.append(hit + shift)
         i, j = np.concatenate([np.zeros(0, np.int64), *first]), np.concatenate([np.zeros(0, np.int64), *second])
@@ -196,31 +186,16 @@ def candidate_pairs(nodes: DataFrame, radius: int, *, parts: int = 2, block: int
         for t, m in enumerate(unsigned):  # leaves out pairs that an earlier table has
             new = (t >= bucket[i] >> width) | ((fp[i] ^ fp[j]) & m != 0)
             i, j = i[new], j[new]
-        inside = np.unique(np.concatenate([i, j]))
-        if salt is None:  # one forest over all of the task's buckets at hand
-            names_, ends = np.unique(np.concatenate([node[i], node[j]]), return_inverse=True)
-            links = np.array(local_forest(len(names_), ends[: len(i)], ends[len(i) :]), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(names_[links[:, 0]]), pa.array(names_[links[:, 1]]), pa.array([False] * len(links), pa.bool_())], ["a", "b", "one"])
-        full = np.bincount(group[i], minlength=len(lowest)) > dense * np.bincount(group[inside], minlength=len(lowest))
-        listed = ~full[group[i]]
-        pairs, stars = [(node[i[listed]], node[j[listed]])], []
-        rank = (node.view(np.uint64) + np.uint64(1 + salt)) * np.uint64(0x9E3779B97F4A7C15)
-        rank = (rank ^ rank >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        inside = np.flatnonzero(full[group[i]])
-        inside = inside[np.argsort(group[i[inside]], kind="stable")]
-        for these in np.split(inside, np.flatnonzero(np.diff(group[i[inside]])) + 1) if len(inside) else ():
-            x, y = _nearest_ranks(i[these], j[these], rank)
-            stars.append((node[x], node[y]))
-        (a, b), (x, y) = ([np.concatenate([np.zeros(0, np.int64), *[p[k] for p in some]]) for k in (0, 1)] for some in (pairs, stars))
-        a, b, one = np.concatenate([np.minimum(a, b), x]), np.concatenate([np.maximum(a, b), y]), np.arange(len(a) + len(x)) >= len(a)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(one)], ["a", "b", "one"])
+        known, ends = np.unique(np.concatenate([node[i], node[j]]), return_inverse=True)
+        links = np.array(local_forest(len(known), ends[: len(i)], ends[len(i) :]), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(known[links[:, 0]], pa.int64()), pa.array(known[links[:, 1]], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for batch in batches:
             new = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
             if held and len(new[0]):
-                whole_ = [np.concatenate([h[k] for h in held] + [new[k]]) for k in range(5)]
+                whole_ = [np.concatenate([h[k] for h in held] + [new[k]]) for k in range(len(names))]
                 last = np.flatnonzero((np.diff(whole_[0]) != 0) | (np.diff(whole_[1]) != 0))
                 if len(last) and len(whole_[0]) >= 50_000:
                     yield compare(*[x[: last[-1] + 1] for x in whole_])
@@ -228,56 +203,39 @@ def candidate_pairs(nodes: DataFrame, radius: int, *, parts: int = 2, block: int
                     held = []
             held.append(new)
         if held:
-            yield compare(*[np.concatenate([h[k] for h in held]) for k in range(5)])
+            yield compare(*[np.concatenate([h[k] for h in held]) for k in range(len(names))])
 
-    return met.select(*names).mapInArrow(run, "a long, b long, one boolean")
+    return met.select(*names).mapInArrow(run, "a long, b long")
 
 
-def keep_unlike(docs: DataFrame, *, radius: int = 11, similarity: float = 0.8, shingle: int = 5, print_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, dense: float = DENSE, group: int = GROUP) -> DataFrame:
+def keep_unlike(docs: DataFrame, *, radius: int = 11, also: int = ALSO, similarity: float = 0.8, shingle: int = 5, print_shingle: int = 3, parts: int = 2, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one of each group of near copies.
 
     Near copies share at least ``similarity`` of their ``shingle``-word shingles (Jaccard, exact, over whole texts).
-    Candidates are the pairs whose SimHash fingerprints (of ``print_shingle``-word shingles) differ in at most
-    ``radius`` bits; covering masks find all of them. Links are candidates that are near copies. In a bucket with very
-    many candidates each member is first verified with one of its partners; what is linked becomes one document, and the
-    search is repeated, with other partners, among the documents of such buckets that are left. When few of them get
-    linked, the candidates of what still hangs together are verified in parts of about ``group`` documents, each two
-    parts in one task, without listing pairs. So no two documents that stay are linked, and every one that goes reaches
-    one that stays by links.
-
-    The document with the smallest id stays, nulls last; equal ids go by content. Rows with the same words are one
-    document, null and empty texts too; of repeated rows one stays. Other columns pass through, whatever their names;
+    Candidates are the pairs whose SimHash fingerprints of ``print_shingle``-word shingles differ in at most ``radius``
+    bits and those of ``shingle``-word shingles in at most ``also``; covering masks over the former find all of them.
+    Links are the candidates that are near copies, and a group is what links connect. All candidates within what
+    candidates connect are looked at, in parts of about ``group`` documents, each two parts in one task, but for pairs
+    that links of the task connect already: only forests of links are written. So the groups depend on the texts alone,
+    not on ``block``, ``group`` or partitions.
+
+    The document with the smallest id of a group stays, nulls last; equal ids go by content. Rows with the same words are
+    one document, null and empty texts too; of repeated rows one stays. Other columns pass through, whatever their names;
     an empty table gives no rows.
     """
     base = _hashed(docs, id_col, text_col).select("none", "id", "t1", "t2", ascii_lower(F.col("text")).alias("low"))
     cut_up = base.select("none", "id", "t1", "t2", split_words(F.col("low"), WHITE).alias("words"))
-    hashed = cut_up.select("none", "id", "t1", "t2", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), shingle_hashes("words", print_shingle).alias("hashes"))
-    prints = cut(hashed.select("none", "id", "t1", "t2", "h1", "h2", majority_bits("hashes").alias("fp")))
+    hashed = cut_up.select("none", "id", "t1", "t2", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), shingle_hashes("words", print_shingle).alias("hashes"), shingle_hashes("words", shingle).alias("others"))
+    prints = cut(hashed.select("none", "id", "t1", "t2", "h1", "h2", majority_bits("hashes").alias("fp"), majority_bits("others").alias("other")))
     best = F.min(F.struct("none", "id", "t1", "t2")).alias("best")
-    nodes = cut(prints.groupBy("h1", "h2").agg(F.min("fp").alias("fp"), best).select("fp", "best", F.monotonically_increasing_id().alias("node")))
-    search, lost, near = nodes.select("node", "fp"), [], (similarity, shingle, text_col)
-
-    def lose(links: DataFrame) -> DataFrame:
-        """The nodes that go: of each component all but the best."""
-        ranked = cut(connected_components(links).join(nodes.select("node", "best"), "node"))
-        first = ranked.groupBy("root").agg(F.min(F.struct("best", "node")).alias("first"))
-        lost.append(cut(ranked.join(first, "root").where("node <> first.node").select("node")))
-        return lost[-1]
-
-    while True:
-        found = cut(candidate_pairs(search, radius, block=block, dense=dense, salt=len(lost)))
-        gone = lose(_near_copies(docs, nodes, found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), *near))
-        members = cut(found.where("one").select(F.col("a").alias("node")).distinct())
-        search, before = cut(search.join(members.join(gone, "node", "left_anti"), "node", "left_semi")), members.count()
-        now = search.count()
-        if now > before // 2:
-            lose(_near_copies_in_parts(docs, nodes, search, radius, block, group, *near))
-        if now < 2 or now > before // 2:
-            break
-    for other in lost[1:]:
-        lost[0] = lost[0].unionByName(other)
+    nodes = cut(prints.groupBy("h1", "h2").agg(F.min("fp").alias("fp"), F.min("other").alias("other"), best).select("fp", "other", "best", F.monotonically_increasing_id().alias("node")))
+    hang = cut(connected_components(candidate_links(nodes.select("node", "fp", "other"), radius, also, parts=parts, block=block)))
+    links = _near_copies(docs, nodes, hang, radius, also, group, similarity, shingle, text_col)
+    ranked = cut(connected_components(links).join(nodes.select("node", "best"), "node"))
+    first = ranked.groupBy("root").agg(F.min(F.struct("best", "node")).alias("first"))
+    lost = cut(ranked.join(first, "root").where("node <> first.node").select("node"))
     key = ["none", "id", "t1", "t2"]
-    kept = nodes.join(lost[0], "node", "left_anti").select("best.*")
+    kept = nodes.join(lost, "node", "left_anti").select("best.*")
     times = prints.groupBy(*key).agg(F.count("*").alias("times"))
     gone = cut(times.join(kept, key, "left_anti").select(*key))
     rows = _hashed(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -304,39 +262,68 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle:
     return cut(hashes.select("node", F.array_distinct("hashes").alias("set")).dropDuplicates(["node"]))
 
 
-def _near_copies(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, shingle: int, text_col: str) -> DataFrame:
-    """The pairs of nodes whose texts share at least ``similarity`` of their distinct shingles; exact."""
-    sets = _shingle_sets(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), shingle, text_col)
-    a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    if (sets.agg(F.sum(F.size("set") + 8)).first()[0] or 0) * 8 <= SMALL_BYTES:
-        a, b = F.broadcast(a), F.broadcast(b)
-    both = pairs.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("set_a", "set_b")))
-    return cut(both.where(F.col("shared") >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - F.col("shared")) - 1e-9).select("a", "b"))
-
-
-def _near_copies_in_parts(docs: DataFrame, nodes: DataFrame, search: DataFrame, radius: int, block: int, group: int, similarity: float, shingle: int, text_col: str) -> DataFrame:
-    """Links that connect what all near copies among the candidates of ``search`` connect."""
-    hang = cut(connected_components(candidate_pairs(search, radius, block=block)))
-    parts = hang.groupBy("root").agg(F.ceil(F.count("*") / group).cast("int").alias("parts"))
-    dealt = hang.join(parts, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "mine")
-    whole_ = dealt.join(search, "node").join(_shingle_sets(docs, nodes, hang, shingle, text_col), "node")
-
-    def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        fp, mine, sets = rows["fp"].to_numpy().view(np.uint64), rows["mine"].to_numpy(), [np.sort(x) for x in rows["set"]]
-        near = []
-        for x in range(len(rows) - 1):
-            for y in x + 1 + np.flatnonzero((np.bitwise_count(fp[x + 1 :] ^ fp[x]) <= radius) & ((mine[x + 1 :] != mine[x]) | (key[1] == key[2]))):
-                total = len(sets[x]) + len(sets[y])
-                if min(len(sets[x]), len(sets[y])) >= similarity * max(len(sets[x]), len(sets[y])) - 1e-9:
-                    shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if shared >= similarity * (total - shared) - 1e-9:
-                        near.append((x, y))
-        i, j = np.array(near, np.int64).reshape(-1, 2).T
-        node = rows["node"].to_numpy()
-        return pd.DataFrame([(node[x], node[y]) for x, y in local_forest(len(rows), i, j)], columns=["a", "b"], dtype="int64")
-
-    return cut(whole_.groupBy("root", "i", "j").applyInPandas(verify, "a long, b long"))
+def linked(fp: np.ndarray, other: np.ndarray, mine: np.ndarray, sets: list[np.ndarray], crossed: bool, radius: int, also: int, similarity: float) -> list[tuple[int, int]]:
+    """Places of a forest of links: candidates whose sorted sets are alike. ``crossed``: only pairs of different parts."""
+    size = np.array([len(x) for x in sets])
+    up, found = list(range(len(sets))), []
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for x in range(len(sets) - 1):
+        rest = slice(x + 1, None)
+        apart = np.bitwise_count(fp[rest] ^ fp[x])
+        near = (apart <= radius) & (np.bitwise_count(other[rest] ^ other[x]) <= also) & (np.minimum(size[rest], size[x]) >= similarity * np.maximum(size[rest], size[x]) - 1e-9)
+        if crossed:
+            near &= mine[rest] != mine[x]
+        which = np.flatnonzero(near)
+        for y in (x + 1 + which[np.argsort(apart[which], kind="stable")]).tolist():
+            a, b = root(x), root(y)
+            if a != b:
+                short, long = (sets[x], sets[y]) if size[x] <= size[y] else (sets[y], sets[x])
+                at = np.minimum(long.searchsorted(short), len(long) - 1)
+                shared = int((long[at] == short).sum()) if len(long) else 0
+                if shared >= similarity * (size[x] + size[y] - shared) - 1e-9:
+                    up[max(a, b)] = min(a, b)
+                    found.append((x, y))
+    return found
+
+
+def _near_copies(docs: DataFrame, nodes: DataFrame, hang: DataFrame, radius: int, also: int, group: int, similarity: float, shingle: int, text_col: str) -> DataFrame:
+    """Links that connect what all near copies connect among the candidates that hang together (``node, root``)."""
+    sets = _shingle_sets(docs, nodes, hang, shingle, text_col)
+    sized = hang.join(sets.select("node", F.size("set").alias("n")), "node")
+    parts = sized.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("parts"))
+    dealt = hang.join(parts, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("root", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "node", "mine")
+    rows = dealt.join(nodes.select("node", "fp", "other"), "node").join(sets, "node").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    key = ("root", "i", "j")
+
+    def verify(rows: pa.Table) -> pa.RecordBatch:
+        node, fp, other, mine = (rows.column(c).to_numpy() for c in ("node", "fp", "other", "mine"))
+        each = rows.column("set").combine_chunks()
+        ends, flat = each.offsets.to_numpy(), each.values.to_numpy(zero_copy_only=False)
+        found = linked(fp.view(np.uint64), other.view(np.uint64), mine, [np.sort(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], rows.column("i")[0] != rows.column("j")[0], radius, also, similarity)
+        return pa.RecordBatch.from_arrays([pa.array([int(node[e[k]]) for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in key]
+            cuts = [0, *(np.flatnonzero(np.logical_or.reduce([np.diff(c) != 0 for c in columns])) + 1), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    if held and any(held[0].column(k)[0].as_py() != c[a] for k, c in zip(key, columns, strict=True)):
+                        yield verify(pa.Table.from_batches(held))
+                        held = []
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield verify(pa.Table.from_batches(held))
+
+    return cut(rows.select(*key, "node", "mine", "fp", "other", "set").mapInArrow(run, "a long, b long"))
 
 
 def hex16(fp: str | Column) -> Column:

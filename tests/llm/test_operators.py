@@ -138,9 +138,9 @@ def test_token_counts(spark):
 # ---- 3
 
 
-def fingerprint(text):
+def fingerprint(text, size=3):
     w = words(text)
-    s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+    s = [" ".join(w[i : i + size]) for i in range(len(w) - size + 1)] if len(w) >= size else [" ".join(w)] if w else []
     h = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in s]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 

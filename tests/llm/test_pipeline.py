@@ -68,34 +68,44 @@ def test_one_of_near_copies_stays(stages):
     assert len(set(comp.values())) < len(rows) and ids(stages[3]) == sorted(set(comp.values()))
 
 
-@pytest.mark.parametrize("dense, block, group", [(8, 4096, 512), (0.05, 4096, 10), (0.05, 16, 512), (10**9, 4096, 512)])
-def test_groups_of_near_copies(spark, dense, block, group):
-    """Groups of edited copies, large ones too: no two linked documents stay, and who goes reaches who stays by links.
-
-    Links are pairs at 0.8 or more within the radius; nearly all pairs at 0.8 are within it.
-    """
+@pytest.fixture(scope="module")
+def edited():
+    """Groups of edited copies, large ones too, a chain of copies that ends far from its start, and unrelated texts."""
     rng = random.Random(6)
     text = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
     rows = []
-    for size in (2, 3, 40, 250):
-        base = text(rng.randint(60, 300))
+    for size, words, edits in ((2, 60, 2), (3, 100, 2), (40, 300, 6), (250, 200, 4)):
+        base = text(words)
         for _ in range(size):
             w = base.copy()
-            for _ in range(rng.randint(1, max(1, len(w) // 50))):
+            for _ in range(rng.randint(1, edits)):
                 w[rng.randrange(len(w))] = f"x{rng.randrange(9999)}"
             rows.append((len(rows), " ".join(w)))
+    w = text(400)
+    for k in range(30):
+        w[k * 12 : k * 12 + 6] = text(6)
+        rows.append((len(rows), " ".join(w)))
     rows += [(len(rows) + i, " ".join(text(rng.randint(0, 80)))) for i in range(120)]
     rng.shuffle(rows)
-    out = simhash.keep_unlike(spark.createDataFrame(rows, "doc_id long, text string"), dense=dense, block=block, group=group)
-    kept = {r.doc_id for r in out.collect()}
-    prints = {i: fingerprint(t) for i, t in rows}
-    pairs = near_copies(rows)
-    links = [(a, b) for a, b in pairs if (prints[a] ^ prints[b]).bit_count() <= 11]
-    assert len(links) >= 0.98 * len(pairs) and not any(a in kept and b in kept for a, b in links)
-    comp = brute_components(sorted(prints), links)
-    assert {comp[i] for i in kept} == set(comp.values())
-    if dense == 10**9:
-        assert kept == set(comp.values())
+    prints = {i: (fingerprint(t), fingerprint(t, 5)) for i, t in rows}
+    near = near_copies(rows)
+    links = [(a, b) for a, b in near if (prints[a][0] ^ prints[b][0]).bit_count() <= 11 and (prints[a][1] ^ prints[b][1]).bit_count() <= simhash.ALSO]
+    assert len(links) >= 0.98 * len(near)
+    return rows, set(brute_components(sorted(prints), links).values()), set(brute_components(sorted(prints), near).values())
+
+
+@pytest.mark.parametrize("partitions, block, group", [(1, 4096, 512), (4, 16, 512), (7, 4096, 10), (4, 16, 10)])
+def test_groups_of_near_copies(spark, edited, partitions, block, group):
+    """What stays are the components of all links, whatever the parts and the partitions."""
+    rows, by_links, by_copies = edited
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+        kept = {r.doc_id for r in simhash.keep_unlike(df, block=block, group=group).select("doc_id").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert kept == by_links == by_copies
 
 
 def test_rows_without_and_with_repeated_ids(spark):
