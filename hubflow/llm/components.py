@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hubflow.llm.common import cut
 
+#: Edges of which one task makes a forest.
+MOST = 1 << 20
+
 
 def _mark(edges: DataFrame) -> tuple:
     """Count and order-free hash of an edge table: equal when a round changed nothing."""
@@ -39,6 +45,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def thinned(edges: DataFrame, most: int = MOST) -> DataFrame:
+    """Edges ``a, b`` that connect what the given ones connect: a forest for each ``most`` edges, made by one task each."""
+    e = cut(edges)
+    parts = max(1, -(-e.count() // most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*[[b.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")] for b in batches], strict=True)]
+        if pairs:
+            known, ends = np.unique(np.concatenate(pairs), return_inverse=True)
+            links = np.array(local_forest(len(known), ends[: len(pairs[0])], ends[len(pairs[0]) :]), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(known[links[:, k]], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return e.select("a", "b").repartition(parts).mapInArrow(run, "a long, b long")
+
+
 def local_forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     """Links that connect what the given ones connect, fewer than n of them."""
     up = list(range(n))

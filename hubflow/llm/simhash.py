@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hubflow.llm.common import WHITE, ascii_lower, cut, split_words, whole
-from hubflow.llm.components import connected_components, local_forest
+from hubflow.llm.components import connected_components, local_forest, thinned
 
 BITS = 64
 #: Largest part of a bucket that one task compares with another part; larger buckets are split into such parts.
@@ -229,9 +229,9 @@ def keep_unlike(docs: DataFrame, *, radius: int = 11, also: int = ALSO, similari
     prints = cut(hashed.select("none", "id", "t1", "t2", "h1", "h2", majority_bits("hashes").alias("fp"), majority_bits("others").alias("other")))
     best = F.min(F.struct("none", "id", "t1", "t2")).alias("best")
     nodes = cut(prints.groupBy("h1", "h2").agg(F.min("fp").alias("fp"), F.min("other").alias("other"), best).select("fp", "other", "best", F.monotonically_increasing_id().alias("node")))
-    hang = cut(connected_components(candidate_links(nodes.select("node", "fp", "other"), radius, also, parts=parts, block=block)))
+    hang = cut(connected_components(thinned(candidate_links(nodes.select("node", "fp", "other"), radius, also, parts=parts, block=block))))
     links = _near_copies(docs, nodes, hang, radius, also, group, similarity, shingle, text_col)
-    ranked = cut(connected_components(links).join(nodes.select("node", "best"), "node"))
+    ranked = cut(connected_components(thinned(links)).join(nodes.select("node", "best"), "node"))
     first = ranked.groupBy("root").agg(F.min(F.struct("best", "node")).alias("first"))
     lost = cut(ranked.join(first, "root").where("node <> first.node").select("node"))
     key = ["none", "id", "t1", "t2"]

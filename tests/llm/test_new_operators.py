@@ -186,3 +186,21 @@ def test_search_edges(spark):
     assert {x[2] for x in got[6] if x[1] == 8} == {2 * plum}
     assert lexical.rank(docs.where("false"), items).count() == 0
     assert lexical.rank(docs, items.where("false")).count() == 0
+
+
+# components
+
+
+@pytest.mark.parametrize("most", [5, 1 << 20])
+def test_thinned_edges(spark, most):
+    """Forests connect what the edges connect, and are smaller."""
+    from hubflow.llm.components import connected_components, thinned
+
+    r = random.Random(3)
+    edges = [(g * 100 + r.randrange(40), g * 100 + r.randrange(40)) for g in range(4) for _ in range(300)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    less = thinned(df, most)
+    assert less.count() <= (len(edges) if most == 5 else 4 * 39)
+    see = lambda e: sorted(tuple(x) for x in connected_components(e).collect())
+    assert see(less) == see(df)
+    assert thinned(df.where("false")).count() == 0
