@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,8 +29,15 @@ in binary form must reproduce the above copyright notice, this list of condition
 materials provided with the distribution."""),
     ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
 are met"""),
+    ("agpl-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
+    ("agpl-notice", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the
+hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+the GNU Affero General Public License for more details."""),
+    ("bsd-2-clause", "BSD 2-Clause License"),
+    ("bsd-3-clause", "BSD 3-Clause License"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl-notice", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
 published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the
@@ -38,8 +46,12 @@ the GNU General Public License for more details."""),
     ("gpl-notice", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"""),
     ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
 the above copyright notice and this permission notice appear in all copies."""),
+    ("lgpl-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1"),
+    ("lgpl-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
     ("lgpl-notice", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License
 as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."""),
+    ("lgpl-notice", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
     ("mit-grant", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
 (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
 distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following
@@ -53,12 +65,37 @@ THE SOFTWARE."""),
     ("mpl-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl-2.0", "Mozilla Public License, v. 2.0"),
     ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell,
 or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
     ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
 arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to
 alter it and redistribute it freely, subject to the following restrictions"""),
 )
+#: The names of Creative Commons licences by code, and identifiers of the SPDX list.
+CREATIVE_COMMONS = {
+    "by": "Attribution", "by-nc": "Attribution-NonCommercial", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike",
+    "by-nd": "Attribution-NoDerivatives", "by-sa": "Attribution-ShareAlike",
+}
+SPDX = ("AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib")
+TEMPLATES += tuple((f"cc-{code}", f"This work is licensed under a Creative Commons {name} 4.0 International License") for code, name in CREATIVE_COMMONS.items())
+TEMPLATES += tuple((f"cc-{code}", f"Licensed under CC {code.upper()} 4.0") for code in CREATIVE_COMMONS)
+TEMPLATES += tuple((f"spdx-{x.lower()}", f"SPDX-License-Identifier: {x}") for x in SPDX)
+
+#: By label the phrases that tell a licence from its relatives, which share most of its words. A block must
+#: hold all their word pairs that the template holds.
+MARKS = {
+    "agpl-3.0": ("gnu affero general", "version 3"), "agpl-notice": ("gnu affero general",), "apache-2.0": ("apache license", "version 2 0"),
+    "bsd-2-clause": ("bsd 2 clause",), "bsd-3-clause": ("bsd 3 clause",), "cc-by": ("attribution international",),
+    "gpl-2.0": ("gnu general", "version 2"), "gpl-3.0": ("gnu general", "version 3"), "gpl-notice": ("gnu general",),
+    "lgpl-2.1": ("gnu lesser general", "version 2 1"), "lgpl-3.0": ("gnu lesser general", "version 3"), "lgpl-notice": ("gnu lesser general",),
+    "mit-released": ("mit license",), "mpl-2.0": ("mozilla public license",),
+}
+for _code, _name in CREATIVE_COMMONS.items():
+    MARKS[f"cc-{_code}"] = (*MARKS.get(f"cc-{_code}", ()), f"{_name} 4".lower().replace("-", " "), f"{_code} 4".replace("-", " "))
+for _id in SPDX:
+    MARKS[f"spdx-{_id.lower()}"] = (re.sub(r"[-.]", " ", f"identifier {_id.lower()}"),)
+
 #: Least share of a template's word pairs that a block must hold; a block is at most 1 / CONTAINMENT times as long as the template.
 CONTAINMENT = 0.8
 
@@ -98,12 +135,17 @@ def word_pairs(words: str) -> Column:
     return F.transform(beside, lambda r, i: F.struct(i.alias("at"), F.concat_ws(" ", r["a"], r["b"]).alias("pair")))
 
 
-def template_sets(spark: SparkSession, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
-    """Per template: t, label, words (distinct), pairs (distinct), length (most words of a block), least (pairs that a block must hold)."""
-    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(templates)], "t int, label string, body string")
-    rows = rows.select("t", "label", words_of(ascii_lower(F.col("body"))).alias("all")).where(F.size("all") > 1)
-    sets = rows.select("t", "label", F.array_distinct("all").alias("words"), F.array_distinct(F.transform(word_pairs("all"), lambda x: x["pair"])).alias("pairs"), F.floor(F.size("all") / F.lit(threshold) + F.lit(1e-9)).cast("int").alias("length"))
-    return sets.withColumn("least", least_shared(F.size("pairs"), threshold))
+def mark_pairs(label: str, marks: Mapping[str, Sequence[str]]) -> list[str]:
+    """The word pairs of a label's marks."""
+    return [f"{a} {b}" for phrase in marks.get(label, ()) for a, b in zip(phrase.split(), phrase.split()[1:])]
+
+
+def template_sets(spark: SparkSession, templates: Sequence[tuple[str, str]], threshold: float, marks: Mapping[str, Sequence[str]] = MARKS) -> DataFrame:
+    """Per template: t, label, words (distinct), pairs (distinct), marks (pairs that a block must hold), length (most words of a block), least (how many pairs)."""
+    rows = spark.createDataFrame([(i, label, body, mark_pairs(label, marks)) for i, (label, body) in enumerate(templates)], "t int, label string, body string, marks array<string>")
+    rows = rows.select("t", "label", "marks", words_of(ascii_lower(F.col("body"))).alias("all")).where(F.size("all") > 1)
+    sets = rows.select("t", "label", "marks", F.array_distinct("all").alias("words"), F.array_distinct(F.transform(word_pairs("all"), lambda x: x["pair"])).alias("pairs"), F.floor(F.size("all") / F.lit(threshold) + F.lit(1e-9)).cast("int").alias("length"))
+    return sets.withColumn("marks", F.array_intersect("marks", "pairs")).withColumn("least", least_shared(F.size("pairs"), threshold))
 
 
 def template_index(sets: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -126,9 +168,10 @@ def similar_blocks(held: DataFrame, key: list[str], sets: DataFrame, frequencies
 
     ``held``: key, low (a text in lower case). Texts are reduced to the pairs of templates (``known``) and their places,
     as no other pair can be shared. A text meets a template on a pair of the template's prefix (prefix filter) if it has
-    ``least`` of its pairs in all (length filter); then for each place the distinct pairs of the block that begins there
-    are counted (positional filter: only places within the block's length are looked at). The template side is as large
-    as the ``templates`` argument, whatever the corpus, so it is broadcast.
+    ``least`` of its pairs in all (length filter) and its marks; then for each place the distinct pairs of the block that
+    begins there are counted (positional filter: only places within the block's length are looked at), and a block
+    without all marks counts for nothing. The template side is as large as the ``templates`` argument, whatever the
+    corpus, so it is broadcast.
     """
     cut_up = held.select(*key, words_of(F.col("low")).alias("all_words"))
     placed = cut(cut_up.select(*key, F.filter(word_pairs("all_words"), lambda x: x["pair"].isin(known)).alias("hits")))
@@ -136,22 +179,24 @@ def similar_blocks(held: DataFrame, key: list[str], sets: DataFrame, frequencies
     placed = placed.dropDuplicates(key)
     met = placed.select(*key, F.explode(F.array_distinct("hits.pair")).alias("prefix_pair")).join(F.broadcast(template_index(sets, frequencies)), "prefix_pair").select(*key, "t").distinct()
     p, m = placed.alias("p"), met.alias("m")
-    both = p.join(m, F.expr(" AND ".join(f"p.{k} <=> m.{k}" for k in key))).select("p.*", "m.t").join(F.broadcast(sets.select("t", "label", "pairs", "least", "length")), "t")
-    own = both.select(*key, "label", "pairs", "least", "length", F.filter("hits", lambda x: F.array_contains("pairs", x["pair"])).alias("own")).where(F.size(F.array_distinct("own.pair")) >= F.col("least"))
+    both = p.join(m, F.expr(" AND ".join(f"p.{k} <=> m.{k}" for k in key))).select("p.*", "m.t").join(F.broadcast(sets.select("t", "label", "pairs", "marks", "least", "length")), "t")
+    own = both.select(*key, "label", "pairs", "marks", "least", "length", F.filter("hits", lambda x: F.array_contains("pairs", x["pair"])).alias("own")).where((F.size(F.array_distinct("own.pair")) >= F.col("least")) & (F.size(F.array_except("marks", "own.pair")) == 0))
     # pairs stand at places of their own, so as many as a block has words are enough
     block = lambda x, i: F.filter(F.slice("own", i + 1, F.col("length")), lambda y: y["at"] < x["at"] + F.col("length") - 1)
-    most = F.array_max(F.transform("own", lambda x, i: F.size(F.array_distinct(F.transform(block(x, i), lambda y: y["pair"])))))
+    pairs = F.transform("own", lambda x, i: F.array_distinct(F.transform(block(x, i), lambda y: y["pair"])))
+    most = F.coalesce(F.array_max(F.transform(F.filter(pairs, lambda b: F.size(F.array_except("marks", b)) == 0), F.size)), F.lit(0))
     shared = own.select(*key, "label", F.size("pairs").alias("size"), most.alias("shared"), "least")
     return shared.where("shared >= least").select(*key, "label", (F.col("shared") / F.col("size")).alias("containment"))
 
 
-def scan_licences(docs: DataFrame, *, phrases: Mapping[str, str] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licences(docs: DataFrame, *, phrases: Mapping[str, str] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, marks: Mapping[str, Sequence[str]] = MARKS, threshold: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base labels are those of phrases whose words stand consecutively; places are counted for each phrase, and
     first_word and last_word are their smallest and largest start. ``labels`` adds those of templates of which a
     block (a run of words at most 1 / ``threshold`` times as long as the template, line feeds or not) holds at least
-    ``threshold`` of the distinct word pairs. score: the largest such share, 1 where a phrase stands, else 0.
+    ``threshold`` of the distinct word pairs and the ``marks`` of the label, which tell it from its relatives (the GPL from
+    the LGPL and the AGPL, a version or a variant from the others). score: the largest such share, 1 where a phrase stands, else 0.
 
     The corpus is read and cut into words once: each text leaves its places, its words that occur in templates, and,
     only if it holds enough words of some template for one of its blocks to match, the text. Words are counted over the
@@ -160,7 +205,7 @@ def scan_licences(docs: DataFrame, *, phrases: Mapping[str, str] = PHRASES, temp
     Nulls: a null text is empty; a null id stays null. No place gives null first_word and last_word, no label gives ''.
     Rows that repeat an id and a text share their results; other columns are ignored.
     """
-    sets = template_sets(docs.sparkSession, templates, threshold)
+    sets = template_sets(docs.sparkSession, templates, threshold, marks)
     rules = sets.collect()  # as large as the argument
     names = sorted({w for r in rules for w in r["words"]})
     known = F.array(*[F.lit(w) for w in names]).cast("array<string>")

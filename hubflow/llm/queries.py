@@ -132,10 +132,11 @@ n AS (SELECT *, lead(word) OVER v AS word2, lead(word, 2) OVER v AS word3 FROM e
 b AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(label) AS labels FROM n JOIN p ON p[1] = word AND p[2] = word2 AND (len(p) = 2 OR p[3] = word3) GROUP BY r),
 t AS (SELECT t, label, regexp_extract_all({_LOW.format("body")}, {_WORDS}) AS w FROM (VALUES {", ".join(f"({i}, {_quoted(a)}, {_quoted(b)})" for i, (a, b) in enumerate(licences.TEMPLATES))}) x(t, label, body)),
 u AS (SELECT DISTINCT t, label, len(w) AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pair FROM t),
-l AS (SELECT t, label, any_value(floor(n / {licences.CONTAINMENT} + 1e-9)) AS length, count(*) AS size FROM u GROUP BY t, label),
-h AS (SELECT n.r, u.t, l.label, l.length, l.size, u.pair, n.pos FROM n JOIN u ON u.pair = n.word || ' ' || n.word2 JOIN l ON l.t = u.t),
-c AS (SELECT a.r, a.t, a.label, a.size, count(DISTINCT o.pair) AS shared FROM h a JOIN h o ON o.r = a.r AND o.t = a.t AND o.pos >= a.pos AND o.pos < a.pos + a.length - 1 GROUP BY a.r, a.t, a.label, a.size, a.pos),
-m AS (SELECT r, list(label) AS labels, max(shared / size) AS most FROM c WHERE shared >= greatest(1, ceil(size * {licences.CONTAINMENT} - 1e-9)) GROUP BY r)
+k AS (SELECT DISTINCT label, pair FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a in licences.MARKS for b in licences.mark_pairs(a, licences.MARKS))}) x(label, pair)),
+l AS (SELECT t, u.label, any_value(floor(n / {licences.CONTAINMENT} + 1e-9)) AS length, count(*) AS size, count(k.pair) AS marks FROM u LEFT JOIN k ON k.label = u.label AND k.pair = u.pair GROUP BY t, u.label),
+h AS (SELECT n.r, u.t, l.label, l.length, l.size, l.marks, u.pair, n.pos, EXISTS (SELECT 1 FROM k WHERE k.label = u.label AND k.pair = u.pair) AS mark FROM n JOIN u ON u.pair = n.word || ' ' || n.word2 JOIN l ON l.t = u.t),
+c AS (SELECT a.r, a.t, a.label, a.size, a.marks, count(DISTINCT o.pair) AS shared, count(DISTINCT o.pair) FILTER (o.mark) AS marked FROM h a JOIN h o ON o.r = a.r AND o.t = a.t AND o.pos >= a.pos AND o.pos < a.pos + a.length - 1 GROUP BY a.r, a.t, a.label, a.size, a.marks, a.pos),
+m AS (SELECT r, list(label) AS labels, max(shared / size) AS most FROM c WHERE marked = marks AND shared >= greatest(1, ceil(size * {licences.CONTAINMENT} - 1e-9)) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(list_distinct(b.labels)), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,
   CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(most, 0) END AS DOUBLE) AS score FROM d LEFT JOIN b ON b.r = d.r LEFT JOIN m ON m.r = d.r

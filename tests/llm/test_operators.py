@@ -272,7 +272,9 @@ def brute_licences(text):
     for label, body in licences.TEMPLATES:
         t = re.findall(licences.WORD, body.lower())
         pairs, length = set(zip(t, t[1:])), int(len(t) / licences.CONTAINMENT + 1e-9)
-        shared = max((len(pairs & set(zip(w[i : i + length], w[i + 1 : i + length]))) for i in range(len(w))), default=0)
+        marks = pairs & {tuple(x.split()) for x in licences.mark_pairs(label, licences.MARKS)}
+        blocks = (pairs & set(zip(w[i : i + length], w[i + 1 : i + length])) for i in range(len(w)))
+        shared = max((len(b) for b in blocks if marks <= b), default=0)
         if shared >= licences.CONTAINMENT * len(pairs) - 1e-9:
             more.add(label)
             most = max(most, shared / len(pairs))
@@ -308,6 +310,30 @@ def test_wrapped_licences(spark):
     assert licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), templates=()).where("score > 0 AND n_base = 0").count() == 0
 
 
+def test_relatives_are_told_apart(spark):
+    """Each notice or sentence has exactly its own labels, though most of its words are those of its relatives."""
+    notice = """This program is free software{}; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by
+    the Free Software Foundation; either version {} of the License, or (at your option) any later version. This program is distributed in the hope that it
+    will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+    {}General Public License for more details."""
+    work, by = "This work is licensed under the GNU {}General Public License, version {}", "This work is licensed under a Creative Commons Attribution{} 4.0 International License"
+    cases = [
+        (notice.format("", "", "2", ""), "gpl,gpl-notice"), (notice.format("", "", "3", ""), "gpl,gpl-notice"),
+        (notice.format("", "Lesser ", "3", "Lesser "), "gpl,lgpl-notice"), (notice.replace("program", "library").format("", "Lesser ", "2.1", "Lesser "), "gpl,lgpl-notice"),
+        (notice.format("", "Affero ", "3", "Affero "), "agpl-notice,gpl"),
+        (work.format("", "2"), "gpl,gpl-2.0"), (work.format("", "3"), "gpl,gpl-3.0"), (work.format("Lesser ", "3"), "gpl,lgpl-3.0"), (work.format("Lesser ", "2.1"), "gpl,lgpl-2.1"), (work.format("Affero ", "3"), "agpl-3.0,gpl"),
+        (by.format(""), "cc-by"), (by.format("-NonCommercial"), "cc-by-nc"), (by.format("-ShareAlike"), "cc-by-sa"), (by.format("-NoDerivatives"), "cc-by-nd"),
+        (by.format("-NonCommercial-ShareAlike"), "cc-by-nc-sa"), (by.format("-NonCommercial-NoDerivatives"), "cc-by-nc-nd"),
+        *((f"Licensed under CC {x.upper()} 4.0", f"cc-{x}") for x in ("by", "by-nc", "by-sa", "by-nd", "by-nc-sa", "by-nc-nd")),
+        ("It is licensed under the terms of the BSD 3-Clause license", "bsd-3-clause"), ("the BSD 2-Clause License", "bsd-2-clause"), ("under the Mozilla Public License, v. 2.0", "mpl-2.0"),
+        *((f"// SPDX-License-Identifier: {x}", f"spdx-{x.lower()}") for x in licences.SPDX), ("SPDX-License-Identifier: GPL-9.0-only", ""), ("Licensed under the Acme License, Version 2.0", ""),
+    ]
+    rows = [(i, f"Some words before. {t}. And some after.") for i, (t, _) in enumerate(cases)]
+    got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {cases[i][0]: r.labels for i, r in got.items()} == dict(cases)
+    assert {i: tuple(r)[1:] for i, r in got.items()} == {i: brute_licences(t) for i, t in rows}
+
+
 def test_texts_that_only_look_like_licences(spark):
     texts = ["The film was released under the new law, with a driving license", "Licensed under the Open Data License, Version 2.0", "Mozilla Public License Version 2.0", "the terms of the public are subject to this source of code, a form of license", ""]
     got = licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
