@@ -159,8 +159,11 @@ def shares(own: DataFrame, weights: Mapping[str | None, float] | None, repeats:
 
 
 def _flows(group: pd.DataFrame, repeats: int) -> pd.DataFrame:
-    """The flow of one component: patterns that share sources with each other and with no other pattern."""
-    rows = group.sort_values("key")
+    """The flow of one component: patterns that share sources with each other and with no other pattern.
+
+    Flows of least cost need not be unique, so patterns are given in the order of their members, whatever the partitions.
+    """
+    rows = group.iloc[sorted(range(len(group)), key=lambda i: [(x is None, x or "") for x in group["members"].iloc[i]])]
     quotas = {s: t for names, targets in zip(rows["members"], rows["targets"], strict=True) for s, t in zip(names, targets, strict=True)}
     names = sorted(quotas, key=lambda x: (x is None, x or ""))
     index = {x: i for i, x in enumerate(names)}

@@ -51,6 +51,17 @@ def test_mixing_overlap(spark):
     assert [r.taken for r in sorted(out, key=lambda r: r.doc_id)] == [r.taken for r in sorted(mixing.mix(docs, weights={"a": 1, "b": 1, "c": 4}).collect(), key=lambda r: r.doc_id)]
 
 
+def test_mixing_overlap_at_any_partitioning(spark):
+    """Many flows cost the least; which one is taken doesn't depend on partitions or on the order of rows."""
+    rng = random.Random(8)
+    rows = [(i, "x " * rng.choice([1, 2, 5]), rng.sample("abcdefgh", rng.choice([1, 2, 2, 3]))) for i in range(600)]
+    layout, found = "doc_id long, text string, source array<string>", []
+    for parts in (1, 3, 7):
+        rng.shuffle(rows)
+        found.append({r.doc_id: (r.copies, r.taken) for r in mixing.mix(spark.createDataFrame(rows, layout).repartition(parts)).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 600
+
+
 def test_mixing_odd_memberships(spark):
     docs = spark.createDataFrame([(1, "a b", ["x"]), (2, "a b", None), (3, "a b", []), (4, "a", ["x", None])], "doc_id long, text string, source array<string>")
     got = {r.doc_id: (r.members, r.copies) for r in mixing.mix(docs).collect()}
