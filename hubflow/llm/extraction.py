@@ -29,7 +29,13 @@ LOOSE = frozenset("p li dt dd b i em strong u s a span font small big tt code br
 ASIDE = frozenset("nav footer aside form button dialog menu label".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 ASIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe teaser teasers toolbar topbar widget widgets".split()
+)
+#: Of these, the ones of what readers add, which has articles of its own.
+READERS = frozenset("comment comments disqus replies reply respond".split())
+#: Words that say nothing of a part's content: inside an article a class or id counts only if all its other words do.
+NEUTRAL = frozenset(
+    "area article articles bar block body bottom box button buttons card container content form group holder icons inline inner item left links list main module outer page panel post posts reader right section site slot stories story thread top unit user users wrap wrapper zone".split()
 )
 
 #: Words that make a class name one of a state ("has-sidebar", "comments-open") and not of a part of the page.
@@ -43,6 +49,8 @@ PARTS = re.compile(r"[^a-z0-9]+")
 
 #: What structure says of a line.
 OUTSIDE, ARTICLE, ASIDE_LINE = 0, 1, 2
+#: Apart, too, but by a class, an id or a form only, which may surround all of a page: an article inside still is one.
+LOOSELY = 3
 #: Pairs of equal lines up to which lines are aligned directly.
 FEW = 20_000
 #: Pages of a range of addresses that are sorted and paired together; a range has more where there would be more than RANGES.
@@ -50,25 +58,49 @@ PAIRED = 200
 RANGES = 2000
 
 
-def _apart(name: str, attributes: dict[str, str], in_article: bool) -> bool:
-    """True for elements that hold what is not the article.
+def _apart(name: str, attributes: dict[str, str], in_article: bool) -> int:
+    """ASIDE_LINE or LOOSELY for elements that hold what is not the article, else OUTSIDE.
 
-    A class or id counts by its words, but not if it names a state; on ``article`` and ``main`` only as a whole, and on
-    the page's root elements not at all.
+    A class or id counts by its words, but not if it names a state, nor inside an article if it names something else as
+    well ("related-work"); on ``article`` and ``main`` only as a whole or if it is of the readers, and on the page's root
+    elements not at all.
     """
     if name in ASIDE or name == "header" and not in_article:
-        return True
+        return LOOSELY if name == "form" else ASIDE_LINE
     if not attributes:
-        return False
+        return OUTSIDE
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or NOT_SHOWN.search(attributes.get("style", "")) or attributes.get("role") in ASIDE_ROLES:
-        return True
+        return ASIDE_LINE
     if name in ("html", "body"):
-        return False
+        return OUTSIDE
     for token in (attributes.get("class", "") + " " + attributes.get("id", "")).split():
-        words = {token} if name in ("article", "main") else set(PARTS.split(token))
-        if not words & STATE_WORDS and (words & ASIDE_WORDS or not in_article and "header" in words):
-            return True
-    return False
+        words = set(PARTS.split(token)) - {""}
+        if words & STATE_WORDS:
+            continue
+        if name in ("article", "main"):
+            words = words & READERS or {token}
+        elif in_article and any(w not in ASIDE_WORDS and w not in NEUTRAL and not w[-1].isdigit() for w in words):
+            continue
+        if words & ASIDE_WORDS or not in_article and "header" in words:
+            return ASIDE_LINE if words & READERS else LOOSELY
+    return OUTSIDE
+
+
+def _article_of(articles: list[list[int]], outside: int) -> set[int]:
+    """Which of the article and main elements make up the article of a page; each is (element around it, loosely apart, characters of its own).
+
+    The one with the most characters (the first of these) and those around it: others are comments or other stories. One
+    inside an element that is loosely apart comes in only if there is no other, and if it has as many as the page outside.
+    """
+    for loose in (0, 1):
+        sizes = [size if apart == loose else 0 for _, apart, size in articles]
+        if any(sizes) and (not loose or max(sizes) >= outside):
+            n, kept = sizes.index(max(sizes)), set()
+            while n >= 0:
+                kept.add(n)
+                n = articles[n][0]
+            return kept
+    return set()
 
 
 def _tag_end(html: str, at: int) -> tuple[int, dict[str, str], bool]:
@@ -100,18 +132,26 @@ def lines_of(html: str) -> tuple[list[str], list[int]]:
     lines: list[str] = []
     kinds: list[int] = []
     words: list[str] = []
-    stack: list[tuple[str, int]] = []  # open elements, each with the kind outside it
+    stack: list[tuple[str, int, int]] = []  # open elements, each with the kind and the article outside it
+    articles: list[list[int]] = []
+    owners: list[int] = []
     open_: dict[str, int] = defaultdict(int)
     endless: set[str] = set()
-    kind, at = OUTSIDE, 0
+    kind, article, at, outside = OUTSIDE, -1, 0, 0
 
     def end_line() -> None:
+        nonlocal outside
         if words:
             line = " ".join(unescape("".join(words)).split())
             words.clear()
             if line:
                 lines.append(line)
                 kinds.append(kind)
+                owners.append(article)
+                if kind == ARTICLE:
+                    articles[article][2] += len(line)
+                elif kind == OUTSIDE:
+                    outside += len(line)
 
     while (tag := html.find("<", at)) >= 0:
         closing = html.startswith("/", tag + 1)
@@ -146,27 +186,33 @@ def lines_of(html: str) -> tuple[list[str], list[int]]:
             words.append(" ")
         if name in BLOCK:
             end_line()
-        if name in VOID or name in LOOSE and not (attributes and not closing and kind != ASIDE_LINE and _apart(name, attributes, kind == ARTICLE)) and not open_[name]:
+        if name in VOID or name in LOOSE and not (attributes and not closing and kind < ASIDE_LINE and _apart(name, attributes, kind == ARTICLE)) and not open_[name]:
             continue
         if closing:
             if open_[name]:
                 while True:
                     end_line()
-                    n, kind = stack.pop()
+                    n, kind, article = stack.pop()
                     open_[n] -= 1
                     if n == name:
                         break
         elif not closed:
             if name in LOOSE:  # a marked element, or one inside it of the same name
                 end_line()
-            stack.append((name, kind))
+            stack.append((name, kind, article))
             open_[name] += 1
             main = name == "main" or attributes.get("role") == "main"
             if kind != ASIDE_LINE or main:  # a page has one main part, whatever its surroundings are called
-                kind = ASIDE_LINE if _apart(name, attributes, kind == ARTICLE) else ARTICLE if main or name == "article" else kind
+                apart = _apart(name, attributes, kind == ARTICLE)
+                if not apart and (main or name == "article"):
+                    articles.append([article, int(not main and (kind == LOOSELY or article >= 0 and articles[article][1] == 1)), 0])
+                    kind, article = ARTICLE, len(articles) - 1
+                elif kind != LOOSELY or apart == ASIDE_LINE:
+                    kind = apart or kind
     words.append(html[at:])
     end_line()
-    return lines, kinds
+    kept = _article_of(articles, outside)
+    return lines, [k if k == OUTSIDE else ARTICLE if k == ARTICLE and n in kept else ASIDE_LINE for k, n in zip(kinds, owners, strict=True)]
 
 
 def _few_matches(a: list[str], b: list[str], first: int, found: set[int]) -> None:
@@ -316,7 +362,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
        that, tables of more than one range are read twice.
     3. Lines are aligned by longest common subsequence and shared ones deleted. Differencing alone can't give right
        results: adverts differ from page to page, and articles repeat passages. So lines inside an article element
-       stay, and lines that structure sets apart go.
+       stay, and lines that structure sets apart go. Of several article elements the largest is the article.
 
     Nulls: a null html is empty and gives an empty text; pages with a null or odd URL form a host of their own.
     Repeated rows stay. Other columns are ignored.

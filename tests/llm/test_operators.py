@@ -589,6 +589,20 @@ def test_pages_of_the_corpus(spark):
         ("<div class='sidebar-layout'><main><p>A</p></main><p>b</p></div>", "A"),
         ("<article><p>A<object><p>B</article><article class='comment'><p>c</p></article>", "A\nB"),
         ("<article><p>1 <2 & 3</p><p>B</p></article><a href='x", "1 <2 & 3\nB"),
+        ("<form id=aspnetForm><nav>m</nav><article><p>A</p></article><input></form>", "A"),
+        ("<div id='content-sidebar-wrap'><article><p>A</p></article><aside>b</aside></div>", "A"),
+        ("<div class='widget-area'><div><article><p>A</p></article></div></div>", "A"),
+        ("<article><p>A</p></article><div class='widget-area'><article><p>a longer story of others</p></article></div>", "A"),
+        ("<p>The page has its text here</p><div class='promo'><article><p>buy</p></article></div>", "The page has its text here"),
+        ("<article><section class='related-work'><p>A</p></section><div class='social-history'>B</div><p class='notice-of-claim'>C</p><ul class='menu-items'><li>D</ul><h2 class='banner-title'>E</h2></article>", "A\nB\nC\nD\nE"),
+        ("<article><p>A</p><div class='ad-slot-2'>b</div><ul class='related-posts'><li>c</ul><div id='ad_300x250'>d</div><div class='reader-comments'><p>e</p></div></article>", "A"),
+        ("<article><p>A story</p><article class='comment-item'><p>a comment that is longer than it</p></article></article>", "A story"),
+        ("<article><p>A story</p></article><article class='reply-box'><p>a reply that is longer than it</p></article>", "A story"),
+        ("<article><p>A longer story</p></article><article class='teaser'><p>another story, far longer than that</p></article>", "A longer story"),
+        ("<article><p>A longer story</p><div class='c'><article><p>me too</p></article></div></article><article><p>other</p></article>", "A longer story"),
+        ("<main><h1>T</h1><article><p>A story</p></article><article><p>me too</p></article></main>", "T\nA story"),
+        ("<article class='page'><h1>T</h1><article><p>A story</p></article></article>", "T\nA story"),
+        ("<section class='comments'><article><p>first</p></article></section><p>Text</p>", "Text"),
     ],
 )
 def test_structure(body, text):
