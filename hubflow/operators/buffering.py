@@ -204,6 +204,23 @@ def heartbeat_rows(sessions: DataFrame, every: str = "10 seconds", until: str |
     return heartbeat_grid(sessions, every, until).select("namespace", "run", F.col("step").alias("step_id"), F.col("tick").alias("ts"), meta.alias("metadata"), F.lit("{}").alias("payload"))
 
 
+def missed_heartbeats(events: DataFrame, every: str = "10 seconds", until: str | Column | None = None) -> DataFrame:
+    """W6. One row per heartbeat that was due on an open link and didn't come: link, due.
+
+    ``events``: namespace, run, step, ts, seq, kind (connect, disconnect, heartbeat; other kinds are ignored). One is due
+    ``every`` after the connect, the last heartbeat or the last one missed, and missed if the link's next event is later.
+    A heartbeat on a closed link opens nothing. What is due after a link's last event counts up to ``until`` (null: not at
+    all). Only what was missed becomes rows: no grid is joined with the heartbeats.
+    """
+    kind = F.col("kind")
+    rows = carried(events.where(kind.isin("connect", "disconnect", "heartbeat")), "ts", {
+        "after": ("next", F.col("ts")),
+        "open": ("last", F.when(kind.isin("connect", "disconnect"), kind == "connect")),
+    })
+    waits = rows.where("open").select(*LINK, F.col("ts").alias("started_at"), F.col("after").alias("ended_at"))
+    return heartbeat_grid(waits, every, until).withColumnRenamed("tick", "due")
+
+
 def sample_drop_warnings(fates: DataFrame, every: int = 100) -> DataFrame:
     """F14. The first, 101st, 201st ... refused packet of each link, with its running number and reason."""
     drops = fates.where(F.col("outcome").isin(*REFUSED))

@@ -442,6 +442,17 @@ def w6_heartbeat_grid(s, d):
     return buf.heartbeat_grid(buf.link_sessions(fx.link_events(s, d)).where("ended_at IS NOT NULL"), "24 hours").select("run", _us("tick").alias("tick"))
 
 
+def _beats(s: SparkSession, d: str) -> DataFrame:
+    """Link events, and a third of the links' packets as heartbeats."""
+    beats = fx.link_packets(s, d).where("seq % 3 = 0").select(*buf.LINK, "ts", "seq", F.lit("heartbeat").alias("kind"))
+    return fx.link_events(s, d).unionByName(beats)
+
+
+@query("SELECT run, CAST(t AS BIGINT) AS due FROM (SELECT run, unnest(range(epoch_us(ts) + 86400000000, epoch_us(ended), 86400000000)) AS t FROM (SELECT *, lead(ts) OVER w AS ended, last_value(CASE WHEN kind <> 'packet' THEN kind END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state FROM log WHERE kind <> 'packet' OR seq % 3 = 0 WINDOW w AS (PARTITION BY run ORDER BY ts, seq)) WHERE state = 'connect' AND ended IS NOT NULL)", "log")
+def w6_missed_heartbeats(s, d):
+    return buf.missed_heartbeats(_beats(s, d), "24 hours").select("run", _us("due").alias("due"))
+
+
 @query("SELECT run, seq, outcome FROM sized", "sized")
 def w2_stream_links(s, d):
     """The streaming form over the same log, written and read back as a stream that ends when its files do."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hubflow.names import LIMITS, Limits
-from hubflow.operators.buffering import FATES, LINK
+from hubflow.operators.buffering import FATES, LINK, STRETCH
 from hubflow.operators.links import SENT, Link
 from hubflow.operators.route import ERRORS
 from hubflow.operators.sessions import FATES as RUN_FATES
@@ -19,6 +19,8 @@ from hubflow.operators.sessions import RUN, Run, fates_batch
 LOG = "namespace STRING, run STRING, step STRING, ts TIMESTAMP, seq BIGINT, kind STRING, size BIGINT"
 #: What ``stream_fail_stop`` gives.
 PROCESSED = "namespace string, run string, step string, seq long, ts timestamp, outcome string, processed boolean"
+#: What ``stream_missed_heartbeats`` gives.
+MISSED = "namespace string, run string, step string, due timestamp"
 #: State that spills to disk; set on the session before a stateful query starts.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -184,6 +186,69 @@ def stream_link_fates(log: DataFrame, limits: Limits = LIMITS, *, lateness_s: fl
     return rows.groupBy(*LINK).transformWithStateInPandas(LinkProcessor(limits, lateness_s), outputStructType=FATES, outputMode="Append", timeMode="EventTime" if timed else "None")
 
 
+class HeartbeatProcessor(StatefulProcessor):
+    """W6 of one link: when its next heartbeat is due. A timer for that instant repeats itself while the link is open."""
+
+    def __init__(self, every_us: int):
+        self.every = every_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.wait = handle.getValueState("wait", "latest long, due long, timer long")
+
+    def _missed(self, key: tuple, due: int, end: int) -> Iterator[pd.DataFrame]:
+        """What was due from ``due`` on and before ``end``, in frames of bounded size."""
+        step = self.every * STRETCH
+        for start in range(due, end, step):
+            ticks = pd.Series(range(start, min(start + step, end), self.every), dtype="int64")
+            yield pd.DataFrame({**dict(zip(LINK, key, strict=True)), "due": pd.to_datetime(ticks, unit="us")})
+
+    def _after(self, due: int, end: int) -> int:
+        """The first instant from ``due`` on in steps of a heartbeat that isn't before ``end``."""
+        return due if due >= end else due - (due - end) // self.every * self.every
+
+    def _save(self, latest: int, due: int | None, timer: int) -> None:
+        new = due // 1000 + 1 if due is not None else -1
+        if timer >= 0 and timer != new:
+            self.handle.deleteTimer(timer)
+        if due is None:
+            self.wait.clear()
+            return
+        if timer != new:
+            self.handle.registerTimer(new)
+        self.wait.update((latest, due, new))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest, due, timer = self.wait.get() if self.wait.exists() else (None, None, -1)
+        batch = pd.concat(list(rows)).sort_values(["at_us", "seq"])
+        for kind, at in zip(batch["kind"], batch["at_us"].astype("int64").tolist(), strict=True):
+            if due is None:
+                latest, due = (at, at + self.every) if kind == "connect" else (latest, None)
+            elif at >= latest:
+                yield from self._missed(key, due, at)
+                # the timer may have told of more than this event, if it is late
+                latest, due = at, None if kind == "disconnect" else max(at + self.every, due)
+        self._save(latest, due, timer)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.wait.exists():
+            latest, due, _ = self.wait.get()
+            end = timerValues.getCurrentWatermarkInMs() * 1000
+            yield from self._missed(key, due, end)
+            self._save(latest, self._after(due, end), -1)
+
+
+def stream_missed_heartbeats(events: DataFrame, every_s: float = 10, *, watermark: str = "10 minutes") -> DataFrame:
+    """The streaming form of ``buffering.missed_heartbeats``: namespace, run, step, due, told once the watermark passes it.
+
+    The state of an open link is three numbers, that of a closed one none. A micro-batch is sorted by (ts, seq) per link.
+    Events older than the last one of their open link change nothing, and what was told isn't taken back.
+    """
+    keys = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in LINK]
+    rows = events.withWatermark("ts", watermark).where("kind IN ('connect', 'disconnect', 'heartbeat')").select(*keys, "seq", "kind", F.unix_micros("ts").alias("at_us"))
+    return rows.groupBy(*LINK).transformWithStateInPandas(HeartbeatProcessor(round(every_s * 1e6)), outputStructType=MISSED, outputMode="Append", timeMode="EventTime")
+
+
 def read_log(spark: SparkSession, path: str, *, max_bytes: int = 256 << 20, **options: str) -> DataFrame:
     """A stream over log files; a micro-batch takes files of at most ``max_bytes`` (or one), which bounds a link's rows in it.
 

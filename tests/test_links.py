@@ -1,6 +1,7 @@
 """Links: the batch fold, the SQL fold's queries and the stream against a plain replay."""
 
 import random
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,3 +198,46 @@ def test_failed_sends_and_flushes(spark):
     got = buf.link_fates(frame(spark, [("ns", "r", "s", t, t, k, size) for t, (k, size) in enumerate(events)]), Limits(3, 10))
     assert [o for _, o in sent_of(got)] == ["buffered", "buffered", "buffered", "buffer_full", "buffered", "buffered", "delivered", "buffered"]
     assert left_of(got) == [(0, 5, "delivered"), (1, 5, "delivered"), (2, 7, "delivered"), (6, 7, "delivered"), (8, 12, "delivered"), (11, 12, "delivered")]
+
+
+# ---- heartbeats
+
+
+def beats(spark, rows):
+    """Rows of (run, seconds, kind)."""
+    made = [("d", run, "s", datetime.fromtimestamp(1_700_000_000 + at, timezone.utc), i, kind, None) for i, (run, at, kind) in enumerate(rows)]
+    return spark.createDataFrame(made, LOG)
+
+
+def missed(rows):
+    return sorted((r.run, r.due.replace(tzinfo=timezone.utc).timestamp() - 1_700_000_000) for r in rows)
+
+
+def test_missed_heartbeats(spark):
+    rows = [("a", 0, "connect"), ("a", 10, "heartbeat"), ("a", 45, "heartbeat"), ("a", 60, "disconnect"), ("a", 70, "heartbeat"), ("b", 5, "heartbeat"), ("c", 0, "connect"), ("c", 9, "packet"), ("c", 25, "connect")]
+    log = beats(spark, rows)
+    want = [("a", 20), ("a", 30), ("a", 40), ("a", 55), ("c", 10), ("c", 20)]
+    assert missed(buf.missed_heartbeats(log).collect()) == want
+    assert missed(buf.missed_heartbeats(log, until="2023-11-14 22:14:00").collect()) == [*want, ("c", 35)]
+    assert buf.missed_heartbeats(log.limit(0)).count() == 0
+    assert buf.missed_heartbeats(beats(spark, [("a", 0, "connect"), ("a", 365 * 86400, "disconnect")])).count() == 365 * 8640 - 1
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_stream_of_missed_heartbeats_equals_batch(spark, tmp_path, files):
+    rng, rows = random.Random(files), []
+    for run in "abcdef":
+        at = 0
+        for _ in range(30):
+            at += rng.choice([1, 4, 10, 10, 35])
+            rows.append((run, at, rng.choice(["connect", "heartbeat", "heartbeat", "disconnect"])))
+        rows.append((run, at + 21, "disconnect"))
+    rows += [("z", 5000, "connect"), ("z", 5000, "disconnect")]
+    rows.sort(key=lambda r: r[1])
+    for k in range(files):
+        beats(spark, rows).where(f"seq div {-(-len(rows) // files)} = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.conf.set(*streaming.STATE_STORE)
+    told = streaming.stream_missed_heartbeats(streaming.read_log(spark, f"{tmp_path}/in", maxFilesPerTrigger="1"), watermark="1 second")
+    told.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got, want = missed(spark.read.parquet(f"{tmp_path}/out").collect()), missed(buf.missed_heartbeats(beats(spark, rows)).collect())
+    assert got == want and len(want) > 20
