@@ -39,24 +39,24 @@ def _value_size(x: object) -> int:
     if isinstance(x, list):
         return _framed(sum(_framed(_value_size(y)) for y in x))
     if isinstance(x, str):
-        return _framed(len(x.encode()))
+        return _framed(len(x.encode("utf-8", "surrogatepass")))
     return 9 if isinstance(x, int | float) and not isinstance(x, bool) else 2
 
 
 def _struct_size(x: dict) -> int:
-    return sum(_framed(_framed(len(k.encode())) + _framed(_value_size(v))) for k, v in x.items())
+    return sum(_framed(_framed(len(k.encode("utf-8", "surrogatepass"))) + _framed(_value_size(v))) for k, v in x.items())
 
 
 @F.pandas_udf(T.LongType())
 def json_struct_size(texts: pd.Series) -> pd.Series:
-    """Encoded size of JSON objects as a packet field; 0 for null and for what is no object."""
+    """Encoded size of JSON objects as a packet field; 0 for null, for what is no object and for values nested too deep to parse."""
 
     def size(t: str | None) -> int:
         try:
             x = json.loads(t) if t is not None else None
-        except ValueError:
+            return _framed(_struct_size(x)) if isinstance(x, dict) else 0
+        except (ValueError, RecursionError):
             return 0
-        return _framed(_struct_size(x)) if isinstance(x, dict) else 0
 
     return texts.map(size).astype("int64")
 

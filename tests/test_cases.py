@@ -1,6 +1,7 @@
 """Cases of the model's own tests: envelopes, identity, forwarding, transforms, topology."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +104,42 @@ def test_sizes(spark):
     assert got == [2, 11, 2 + 1 + 3 + (2 + 1) + (3 + 203), 2 + (2 + 3 + 4) + (2 + 3 + 2 + (2 + 11 + 5)), 0, 0]
 
 
+def framed(n):
+    return 1 + max(1, -(-n.bit_length() // 7)) + n
+
+
+def encoded(x):
+    """Bytes of a dynamic value, by recursion."""
+    if isinstance(x, dict):
+        return framed(sum(framed(framed(len(k.encode())) + framed(encoded(v))) for k, v in x.items()))
+    if isinstance(x, list):
+        return framed(sum(framed(encoded(v)) for v in x))
+    return framed(len(x.encode())) if isinstance(x, str) else 2 if x is None or isinstance(x, bool) else 9
+
+
+def test_struct_size_of_any_depth(spark):
+    rng = random.Random(5)
+    words = ["", "a", '"', "\\", "\\\"{[,:]}", "é\n\u0001", "日本😀", ":", "true", "x" * 130, "\\u0041", "7"]
+
+    def value(depth):
+        kind = rng.randrange(8 if depth else 5)
+        if kind < 5:
+            return (rng.choice(words), rng.choice([0, -1.5, 10**15, 1e-9]), True, False, None)[kind]
+        return [value(depth - 1) for _ in range(rng.randrange(4))] if kind == 5 else {rng.choice(words) + str(i): value(depth - 1) for i in range(rng.randrange(5))}
+
+    objects = [{str(i) + rng.choice(words): value(5) for i in range(rng.randrange(6))} for _ in range(200)]
+    deep = {"a": 1}
+    for i in range(200):
+        deep = {"k": deep, "n": None} if i % 2 else {"l": [[], deep, "s"]}
+    objects += [deep, {"big": "y" * 300_000}, {"many": list(range(20_000))}, {"": {}}]
+    texts = [json.dumps(x, ensure_ascii=i % 2 == 0, indent=i % 3 or None) for i, x in enumerate(objects)]
+    odd = ['{"a":1,"a":"xyz"}', '{"a":"\\ud800"}', '{"a":' + "[" * 100_000 + "]" * 100_000 + "}", " [1] ", '"{"', "{", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + odd)], "i int, t string")
+    sizes = df.select("i", X.json_struct_size("t"))
+    got = [r[1] for r in sorted(sizes.collect())]
+    assert got == [encoded(x) for x in objects] + [encoded({"a": "xyz"}), encoded({"a": "xyz"})] + [0] * 6
+
+
 def test_rewrite_legacy(spark):
     df = spark.createDataFrame([('{"a":"{{payload.x}}","b":"payload.x","c":{"d":"{{ payload.x }}"},"e":1}',), (None,), ("[1]",)], "with string")
     got = [r[0] for r in df.select(transform.rewrite_legacy("with")).collect()]
