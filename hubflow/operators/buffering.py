@@ -8,6 +8,8 @@ messages: the others stay buffered, in order).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,7 +19,10 @@ from pyspark.sql.window import Window
 from hubflow.names import LIMITS, MIB, NAMES, Limits, Names
 from hubflow.operators.links import REFUSED, SENT, Link
 from hubflow.operators.ranges import LINK, carried
+from hubflow.sources import stored
 
+#: Waiting packets of a (link, connect_no) from which on its admissions are searched for instead of folded in order.
+HOT = 1_000_000
 #: Most heartbeats of a session that are made from one row.
 STRETCH = 4096
 FATES = "namespace string, run string, step string, seq long, event string, at timestamp, outcome string, buffer_size int, buffer_bytes long, cause long"
@@ -60,17 +65,64 @@ def admit_equal(waiting: DataFrame, max_messages: int = 100) -> DataFrame:
     return waiting.withColumn("outcome", F.when(n <= max_messages, "buffered").otherwise("buffer_full"))
 
 
-def admit_bounded(waiting: DataFrame, max_messages: int = 100, max_bytes: int = 10 * MIB) -> DataFrame:
+def admit_bounded(waiting: DataFrame, max_messages: int = 100, max_bytes: int = 10 * MIB, hot: int = HOT) -> DataFrame:
     """W3. Adds outcome to rows of (link, connect_no, ts, seq, size): oversize, buffer_full or buffered, in that order of checks.
 
     Admission is greedy, so a refused packet doesn't block a later smaller one and no prefix sum can decide it. Rows
     are dealt by (link, connect_no), sorted, and folded in a stream: the state is the sizes of the packets in the buffer,
-    at most ``max_messages``, so a group may be of any size. All columns pass through.
+    at most ``max_messages``, so a group may be of any size. All columns pass through. Groups of more than ``hot`` rows
+    are read by all tasks, in rounds, with the same outcomes (see ``_searched``). Null sizes are 0; none is negative.
     """
-    return _fold(waiting, max_messages, max_bytes).drop("flushed_at")
+    return _admit(waiting, max_messages, max_bytes, hot).drop("flushed_at")
 
 
-def _fold(waiting: DataFrame, max_messages: int, max_bytes: int) -> DataFrame:
+def _same(keys: list[str]) -> Column:
+    """Rows of one group, null keys included; the other side's keys begin with ``admit_``."""
+    return reduce(and_, [F.col(k).eqNullSafe(F.col(f"admit_{k}")) for k in keys])
+
+
+def _admit(waiting: DataFrame, max_messages: int, max_bytes: int, hot: int) -> DataFrame:
+    """``_fold``, with large groups by ``_searched``. A large group with partial flushes stays one ordered pass, as they make room again."""
+    keys = [*LINK, "connect_no"]
+    flushes = F.count_if(F.col("kind") == "flush_failed") if "kind" in waiting.columns else F.sum(F.lit(0))
+    sizes = waiting.groupBy(*keys).agg(F.count("*").alias("n"), flushes.alias("flushes"))
+    large = stored(sizes.where(f"n > {hot} AND flushes = 0").select(*[F.col(k).alias(f"admit_{k}") for k in keys]), "large")
+    if large.isEmpty():
+        return _fold(waiting, max_messages, max_bytes)
+    rest = _fold(waiting.join(large, _same(keys), "left_anti"), max_messages, max_bytes)
+    return rest.unionByName(_searched(waiting.join(large, _same(keys), "left_semi"), max_messages, max_bytes))
+
+
+def _searched(waiting: DataFrame, max_messages: int, max_bytes: int) -> DataFrame:
+    """``_fold`` for groups without partial flushes that are too large for one task.
+
+    At most ``max_messages`` packets of a group are ever admitted, and the room in its buffer only shrinks. So a packet
+    larger than the room is refused for good, and only the first few that fit matter next. A round finds these in all
+    tasks (each passes on its own first few of a group), folds them after those admitted so far, and goes on behind the
+    last one with the room that is left. The first that fits is always admitted, so there are at most ``max_messages``
+    rounds; buffers that fill up at once take one or two.
+    """
+    keys, columns, order = [*LINK, "connect_no"], waiting.columns, ("ts", "seq", "admit_id")
+    rows = stored(waiting.withColumn("admit_id", F.monotonically_increasing_id()), "waiting")
+    size, take = F.coalesce("size", F.lit(0)), min(2 * max_messages + 1, 1000)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    admitted, fitting = None, rows.where(size <= max_bytes)
+    while True:
+        found = stored(fitting.select(*keys, *order, size.cast("long").alias("size")).withColumn("nth", nth).where(f"nth <= {take}").drop("nth"), "found")
+        judged = _fold(found if admitted is None else admitted.unionByName(found), max_messages, max_bytes, order)
+        admitted = stored(judged.where("outcome = 'buffered'").drop("outcome", "flushed_at"), "admitted")
+        both = found.select(*keys, F.struct(*order).alias("at"), F.lit(None).cast("long").alias("size")).unionByName(admitted.select(*keys, F.lit(None).alias("at"), "size"))
+        ends = both.groupBy(*[F.col(k).alias(f"admit_{k}") for k in keys]).agg(F.count("at").alias("admit_seen"), F.max("at").alias("admit_last"), F.count("size").alias("admit_n"), (max_bytes - F.coalesce(F.sum("size"), F.lit(0))).alias("admit_room"))
+        ends = stored(ends.where(f"admit_seen = {take} AND admit_n < {max_messages}"), "ends")
+        if ends.isEmpty():
+            break
+        fitting = rows.join(ends, _same(keys)).where((F.struct(*order) > F.col("admit_last")) & (size <= F.col("admit_room")))
+    out = F.when(F.col("admit_in"), "buffered").when(size > max_bytes, "oversize").otherwise("buffer_full")
+    marked = rows.join(admitted.select("admit_id", F.lit(True).alias("admit_in")), "admit_id", "left")
+    return marked.select(*columns, out.alias("outcome"), F.lit(None).cast("timestamp").alias("flushed_at"))
+
+
+def _fold(waiting: DataFrame, max_messages: int, max_bytes: int, order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
     """``admit_bounded`` with partial flushes (rows whose kind is flush_failed, which go): adds outcome and flushed_at."""
     keys, columns, kinds = [*LINK, "connect_no"], waiting.columns, "kind" in waiting.columns
 
@@ -108,7 +160,7 @@ def _fold(waiting: DataFrame, max_messages: int, max_bytes: int) -> DataFrame:
             yield from _decided(open_, list(range(n)), ["buffered"] * n, [None] * n)
 
     layout = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in waiting.schema)
-    return waiting.repartition(*keys).sortWithinPartitions(*keys, "ts", "seq").mapInArrow(fold, f"{layout}, outcome string, flushed_at timestamp").select(*columns, "outcome", "flushed_at")
+    return waiting.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(fold, f"{layout}, outcome string, flushed_at timestamp").select(*columns, "outcome", "flushed_at")
 
 
 def _decided(rows: pa.Table, which: list[int], outcomes: list, flushed: list) -> Iterator[pa.RecordBatch]:
@@ -117,7 +169,7 @@ def _decided(rows: pa.Table, which: list[int], outcomes: list, flushed: list) ->
     yield from part.append_column("flushed_at", pa.array([flushed[i] for i in which], pa.timestamp("us", "UTC"))).combine_chunks().to_batches()
 
 
-def send_or_buffer(log: DataFrame, max_messages: int = 100, max_bytes: int | None = 10 * MIB) -> DataFrame:
+def send_or_buffer(log: DataFrame, max_messages: int = 100, max_bytes: int | None = 10 * MIB, hot: int = HOT) -> DataFrame:
     """W2, W4 without eviction. One row per packet: outcome, delivered_at, next_connect, connect_no.
 
     Connected packets are delivered at once. Others, and those whose send failed, are admitted to the buffer of their
@@ -127,7 +179,7 @@ def send_or_buffer(log: DataFrame, max_messages: int = 100, max_bytes: int | Non
     rows = with_connection(log)
     direct = rows.where("connected AND kind = 'packet'").withColumns({"outcome": F.lit("delivered"), "flushed_at": F.lit(None).cast("timestamp")})
     waiting = rows.where("NOT (connected AND kind = 'packet')")
-    held = admit_equal(waiting, max_messages).withColumn("flushed_at", F.lit(None).cast("timestamp")) if max_bytes is None else _fold(waiting, max_messages, max_bytes)
+    held = admit_equal(waiting, max_messages).withColumn("flushed_at", F.lit(None).cast("timestamp")) if max_bytes is None else _admit(waiting, max_messages, max_bytes, hot)
     at = F.when(F.col("outcome") == "delivered", F.col("ts")).when(F.col("outcome") == "buffered", F.coalesce("flushed_at", "next_connect"))
     return direct.unionByName(held).withColumn("delivered_at", at).drop("connected", "kind", "flushed_at")
 

@@ -26,6 +26,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written as Parquet to a ``scratch`` folder and read from there, with their lineage cut; the files go when the driver ends."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(files)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_packets(spark: SparkSession, path: str, *, streaming: bool = False, fmt: str = "parquet", layout: str = schema.PACKETS, **options: str) -> DataFrame:
     """S1. Scans packets in the envelope schema; a stream ends when its source does (``availableNow``)."""
     reader = spark.readStream if streaming else spark.read

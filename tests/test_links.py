@@ -102,6 +102,30 @@ def test_greedy_admission(spark):
     assert [o for _, o in got] == ["buffered", "buffer_full", "buffered", "oversize", "buffered"]
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_large_groups_are_searched(spark, parts):
+    """The search gives what the fold gives: hot groups, null keys, repeated rows, null sizes, sizes that shrink, flushes in part."""
+    r = random.Random(parts)
+    rows = []
+    for n in range(3000):
+        run = r.choice(["hot", "hot", None, "small sizes", "few"] if n % 40 else ["few"])
+        size = r.choice([None, 0, 1, 2, 30, 31, r.randint(1, 40)]) if run != "small sizes" else max(1, 29 - n // 100)
+        rows.append(("ns", run, "s", n // 7 if run == "hot" else n, n, "packet", size, r.randint(0, 1) if run is None else 0))
+    rows += [("ns", "flushed", "s", n, n, "flush_failed" if n % 50 == 9 else "packet", 2, 0) for n in range(300)]
+    rows += [("ns", "few", "s", 10**6, 9999, "packet", 1, 0)] * 3
+    df = spark.createDataFrame(rows, "namespace string, run string, step string, t long, seq long, kind string, size long, connect_no long")
+    df = df.withColumn("ts", F.timestamp_seconds("t")).repartition(parts)
+    for caps in ((5, 30), (300, 30), (0, 30), (40, 10**6)):
+        want = buf._fold(df, *caps).collect()
+        for waiting in (df, df.drop("kind")) if caps == (5, 30) else (df,):
+            got = buf._admit(waiting, *caps, 100)
+            key = lambda x: (x.run or "", x.seq, x.outcome, str(x.flushed_at))
+            same = [sorted(map(key, (x for x in rows_ if "kind" in waiting.columns or x.run != "flushed"))) for rows_ in (got.collect(), want)]
+            assert same[0] == same[1]
+    empty = df.where("false")
+    assert buf.admit_bounded(empty, 5, 30, 0).collect() == []
+
+
 def test_eviction_at_and_past_its_time(spark):
     for at, fate in ((600, "delivered"), (661, "evicted")):
         log = [("ns", "r", "s", 0, 0, "packet", 1), ("ns", "r", "s", at, 1, "connect", None)]
