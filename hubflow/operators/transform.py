@@ -130,4 +130,6 @@ def transform_errors(steps: DataFrame) -> DataFrame:
         except Bad as e:
             wrong.append((t, str(e)))
     of = steps.sparkSession.createDataFrame(wrong, "wrong_text string, error string")
-    return steps.where("type = 'transform'").join(of, F.col("with").eqNullSafe(F.col("wrong_text"))).drop("wrong_text")
+    # a shuffle would bring all steps of one definition, such as a missing one, to one task
+    small = sum(len(t or "") + len(e) for t, e in wrong) <= SMALL_BYTES
+    return steps.where("type = 'transform'").join(F.broadcast(of) if small else of, F.col("with").eqNullSafe(F.col("wrong_text"))).drop("wrong_text")

@@ -1,10 +1,11 @@
-"""Streams of many small keys: buckets of keys change no row, and what a stream does for a key is little."""
+"""Many small keys and few large ones: buckets of a stream's keys change no row, and frequent values stay where they are."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from hubflow import streaming
 from hubflow.operators import route as rt
+from hubflow.operators import transform
 from tests.test_sessions import processed, random_runs, run_frame
 
 
@@ -81,3 +82,12 @@ def test_a_session_takes_no_call_without_an_error():
     (out,) = stops.handleInputRows((0,), iter([rows]), handle)
     assert len(out) == 10_000 and out["processed"].all() and handle.calls == 2
     assert list(handle.maps["kept"]) == [("ns", "r", "s7")]
+
+
+def test_steps_of_one_wrong_definition_stay_apart(spark):
+    """Steps without a definition are as many as there are pipelines, so they aren't shuffled by it."""
+    steps = spark.range(1000).select(F.col("id").alias("pos"), F.lit("transform").alias("type"), F.when(F.col("id") % 2 == 0, F.lit("[1]")).when(F.col("id") % 5 == 0, F.lit("{}")).alias("with"))
+    errors = transform.transform_errors(steps)
+    assert errors.count() == 900 and errors.where("with IS NULL").count() == 400 and errors.where("error IS NULL").count() == 0
+    plan = errors._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
