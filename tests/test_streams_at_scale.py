@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from hubflow import streaming
+from hubflow.names import Limits
 from hubflow.operators import route as rt
 from hubflow.operators import transform
-from tests.test_sessions import processed, random_runs, run_frame
+from tests.test_sessions import processed, random_runs, replay, run_frame
 
 
 class Timers:
@@ -91,3 +92,12 @@ def test_steps_of_one_wrong_definition_stay_apart(spark):
     assert errors.count() == 900 and errors.where("with IS NULL").count() == 400 and errors.where("error IS NULL").count() == 0
     plan = errors._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_buckets_of_runs_change_nothing(spark, tmp_path, buckets):
+    rows = random_runs(300, 8)
+    log = run_frame(spark, rows)
+    in_parts(log, tmp_path, 3)
+    got = stream(spark, tmp_path, log, "runs", lambda s: streaming.stream_run_fates(s, Limits(3, 20), buckets=buckets).where("event = 'sent'"), maxFilesPerTrigger="1")
+    assert sorted(((r.seq, r.outcome, r.reason) for r in got), key=str) == replay(rows, 3, 20)
