@@ -101,3 +101,18 @@ def test_buckets_of_runs_change_nothing(spark, tmp_path, buckets):
     in_parts(log, tmp_path, 3)
     got = stream(spark, tmp_path, log, "runs", lambda s: streaming.stream_run_fates(s, Limits(3, 20), buckets=buckets).where("event = 'sent'"), maxFilesPerTrigger="1")
     assert sorted(((r.seq, r.outcome, r.reason) for r in got), key=str) == replay(rows, 3, 20)
+
+
+def test_timers_of_a_bucket_are_shared():
+    """1,000 idle links in one bucket: one timer, which evicts all of them, and what is kept says so."""
+    import pandas as pd
+
+    handle, links = Timers(), streaming.LinkProcessor(Limits(ttl_s=600, every_s=60))
+    links.init(handle)
+    rows = pd.DataFrame([("ns", "r", f"s{i}", i, "packet", 1, i) for i in range(1000)], columns=["namespace", "run", "step", "seq", "kind", "size", "at_us"])
+    (out,) = links.handleInputRows((0,), iter([rows]), handle)
+    assert set(out["outcome"]) == {"buffered"} and len(out) == 1000 and len(handle.timers) == 1
+    handle.getExpiryTimeInMs = lambda: handle.timers[0]
+    (gone,) = links.handleExpiredTimer((0,), handle, handle)
+    assert set(gone["outcome"]) == {"evicted"} and sorted(gone["seq"]) == list(range(1000))
+    assert not handle.maps["due"] and all(v[5] == [] for v in handle.maps["kept"].values())
